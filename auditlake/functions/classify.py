@@ -21,30 +21,52 @@ def _first_match(tests: list[tuple[Column, str]], default: str) -> Column:
     return F.lit(default) if chain is None else chain.otherwise(default)
 
 
-def op_category(stmt: Column, profile: Profile = PYTHON) -> Column:
-    """Category of a statement with its leading comment already cut."""
-    opening = F.upper(F.substring(stmt, 1, OPENING_CHARS))
+def opening(stmt: Column) -> Column:
+    """The start of a statement in upper case, enough for every rule that compares prefixes."""
+    return F.upper(F.substring(stmt, 1, OPENING_CHARS))
+
+
+def op_category(stmt: Column, profile: Profile = PYTHON, start: Column | None = None) -> Column:
+    """Category of a statement with its leading comment already cut.
+
+    ``start`` may name a column that holds ``opening(stmt)``; computed beforehand, it is evaluated
+    once instead of once per rule.
+    """
+    start = opening(stmt) if start is None else start
     if profile.loose_phrases:
         # White space between the words may be any length, so this test needs the whole text.
-        whole = F.upper(stmt)
+        first_words = {phrase.split()[0] for phrase in fx.PHRASE_CATEGORY}
+        candidate = _any_prefix(start, sorted(first_words))
         phrases = [
-            (whole.rlike("^" + r"\s+".join(phrase.split())), label)
+            (candidate & F.upper(stmt).rlike("^" + r"\s+".join(phrase.split())), label)
             for phrase, label in fx.PHRASE_CATEGORY.items()
         ]
     else:
-        phrases = [(opening.startswith(p), label) for p, label in fx.PHRASE_CATEGORY.items()]
+        phrases = [(start.startswith(p), label) for p, label in fx.PHRASE_CATEGORY.items()]
 
     words = dict(fx.WORD_CATEGORY)
     if profile.bare_load:
         words["LOAD"] = "LOAD"
     if profile.word_match == "whole":
-        first_word = F.regexp_extract(opening, "^[A-Z]+", 0)
-        singles = [(first_word == word, label) for word, label in words.items()]
+        singles = [(_is_first_word(start, word), label) for word, label in words.items()]
     else:
-        singles = [(opening.startswith(word), label) for word, label in words.items()]
+        singles = [(start.startswith(word), label) for word, label in words.items()]
     return _first_match(phrases + singles, "OTHER")
 
 
+def _any_prefix(start: Column, prefixes: list[str]) -> Column:
+    hit = F.lit(False)
+    for prefix in prefixes:
+        hit = hit | start.startswith(prefix)
+    return hit
+
+
+def _is_first_word(start: Column, word: str) -> Column:
+    """``word`` followed by anything but a letter, or by the end."""
+    following = F.substring(start, len(word) + 1, 1)
+    return start.startswith(word) & ~following.between("A", "Z")
+
+
 def op_type_of(category: Column) -> Column:
     """Operation type of a category; every category belongs to exactly one type."""
     tests = []
@@ -57,5 +79,5 @@ def op_type_of(category: Column) -> Column:
 def pattern_type(pattern: Column, merged: bool = False) -> Column:
     """Type under which the pattern reports list a fingerprint."""
     table: Mapping[str, str] = fx.PATTERN_TYPES_MERGED if merged else fx.PATTERN_TYPES_SINGLE
-    opening = F.upper(F.substring(pattern, 1, OPENING_CHARS))
-    return _first_match([(opening.startswith(p), label) for p, label in table.items()], "OTHER")
+    start = opening(pattern)
+    return _first_match([(start.startswith(p), label) for p, label in table.items()], "OTHER")

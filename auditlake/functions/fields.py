@@ -18,7 +18,8 @@ def strip(text: Column, posix: bool = False) -> Column:
     """Remove white space at both ends (the plain SQL trim removes spaces only).
 
     Trimming a set of characters walks the whole text, so it is done only where the first or the
-    last character can be white space at all: that is, is not a printable ASCII character.
+    last character can be white space at all: that is, is not a printable ASCII character. As the
+    text is used several times, it should be a plain column and not an expression.
     """
     trimmed = F.trim(text, F.lit(fx.POSIX_SPACE if posix else fx.UNICODE_SPACE))
     first, last = F.ascii(text), F.ascii(F.substring(text, -1, 1))
@@ -67,7 +68,7 @@ def strip_leading_comment(stmt: Column, profile_name: str) -> Column:
     end = F.locate("*/", stmt, 3)
     if profile_name == "P":
         rest = F.substring(stmt, end + 2, F.length(stmt))
-        return strip(F.when(has_comment & (end > 0), rest).otherwise(stmt))
+        return F.when(has_comment & (end > 0), rest).otherwise(stmt)
     if profile_name == "A":
         rest = F.substring_index(stmt, "*/", -1)
         cut = F.ltrim(rest, F.lit(fx.POSIX_SPACE))

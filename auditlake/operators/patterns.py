@@ -70,7 +70,7 @@ def merge_pattern_counts(per_file: DataFrame, files: DataFrame) -> DataFrame:
     ``files`` gives every ``file`` its ``file_index``. ``first_pos`` orders by file and then by place
     in the file. The join is on already aggregated rows; Spark decides by size whether to broadcast.
     """
-    place = F.col("file_index").cast("decimal(10,0)") * F.lit(10**28).cast("decimal(29,0)")
+    place = F.col("file_index").cast("decimal(10,0)") * F.lit("1" + 28 * "0").cast("decimal(29,0)")
     first_pos = (place + F.col("first_pos").cast("decimal(28,0)")).cast("decimal(38,0)")
     return (
         per_file.join(files.select("file", "file_index"), "file")
