@@ -23,6 +23,8 @@ def build_session(app: str = "auditlake", master: str | None = None, **conf) ->
         "spark.sql.files.maxPartitionBytes": "512m",
         "spark.ui.showConsoleProgress": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # Call-site capture per column expression only slows down building large plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():

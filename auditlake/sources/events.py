@@ -7,84 +7,58 @@ tables and be compared with SQL over the same rule.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+STATEMENT = r"""
+CASE event_id % 23
+  WHEN 0 THEN concat('SELECT a||b FROM t_5 WHERE id = ', user_id % 3, ' AND n = \'', event_type, '\'')
+  WHEN 1 THEN concat('/* rid ', event_id, ' */ select * from u where d = \'2024-01-02\' and x in (',
+                     user_id % 3, ', 7)')
+  WHEN 2 THEN concat('with q as (select ', user_id % 2, ') select * from q')
+  WHEN 3 THEN 'SHOW TABLES'
+  WHEN 4 THEN 'desc t1'
+  WHEN 5 THEN 'EXPLAIN SELECT 1'
+  WHEN 6 THEN concat('INSERT INTO t VALUES (', event_id, ', \'', event_type, '\')')
+  WHEN 7 THEN concat('CREATE ROUTINE LOAD db.j', event_id % 3, ' ON t')
+  WHEN 8 THEN 'SUBMIT TASK AS INSERT INTO t SELECT 1'
+  WHEN 9 THEN concat('LOAD LABEL l', event_id % 2)
+  WHEN 10 THEN 'CREATE PIPE p AS INSERT INTO t SELECT 1'
+  WHEN 11 THEN concat('UPDATE t SET v = ', event_id, ' WHERE k = 3')
+  WHEN 12 THEN 'DELETE FROM t WHERE d < 2024-01-02 03:04:05'
+  WHEN 13 THEN 'TRUNCATE TABLE t'
+  WHEN 14 THEN concat('ALTER TABLE t DROP PARTITION (p', event_id % 4, ')')
+  WHEN 15 THEN 'CREATE TABLE t (a INT)'
+  WHEN 16 THEN 'DROP TABLE t'
+  WHEN 17 THEN 'SET ROLE all'
+  WHEN 18 THEN 'BEGIN'
+  WHEN 19 THEN 'SETTINGS x'
+  WHEN 20 THEN 'LOAD DATA x'
+  WHEN 21 THEN '/* only */'
+  WHEN 22 THEN 'SELECT /* a */ 1 /* b */'
+END"""
 
-def _statement() -> Column:
-    e = F.col("event_id")
-    u = F.col("user_id")
-    kind = F.col("event_type")
-
-    def num(column: Column) -> Column:
-        return column.cast("string")
-
-    lit = F.lit
-    statements = [
-        F.concat(lit("SELECT a||b FROM t_5 WHERE id = "), num(u % 3), lit(" AND n = '"), kind, lit("'")),
-        F.concat(
-            lit("/* rid "), num(e), lit(" */ select * from u where d = '2024-01-02' and x in ("),
-            num(u % 3), lit(", 7)"),
-        ),
-        F.concat(lit("with q as (select "), num(u % 2), lit(") select * from q")),
-        lit("SHOW TABLES"),
-        lit("desc t1"),
-        lit("EXPLAIN SELECT 1"),
-        F.concat(lit("INSERT INTO t VALUES ("), num(e), lit(", '"), kind, lit("')")),
-        F.concat(lit("CREATE ROUTINE LOAD db.j"), num(e % 3), lit(" ON t")),
-        lit("SUBMIT TASK AS INSERT INTO t SELECT 1"),
-        F.concat(lit("LOAD LABEL l"), num(e % 2)),
-        lit("CREATE PIPE p AS INSERT INTO t SELECT 1"),
-        F.concat(lit("UPDATE t SET v = "), num(e), lit(" WHERE k = 3")),
-        lit("DELETE FROM t WHERE d < 2024-01-02 03:04:05"),
-        lit("TRUNCATE TABLE t"),
-        F.concat(lit("ALTER TABLE t DROP PARTITION (p"), num(e % 4), lit(")")),
-        lit("CREATE TABLE t (a INT)"),
-        lit("DROP TABLE t"),
-        lit("SET ROLE all"),
-        lit("BEGIN"),
-        lit("SETTINGS x"),
-        lit("LOAD DATA x"),
-        lit("/* only */"),
-        lit("SELECT /* a */ 1 /* b */"),
-    ]
-    chosen = F.when(e % len(statements) == 0, statements[0])
-    for i, text in enumerate(statements[1:], 1):
-        chosen = chosen.when(e % len(statements) == i, text)
-    return chosen
+LINE = r"""
+CASE
+  WHEN event_id % 50 = 49 THEN 'noise line'
+  WHEN event_id % 50 = 48 THEN concat('{"message":"|Timestamp=', line_ms, '|User=u|Stmt=|Time=1|"}')
+  WHEN event_id % 50 = 47 THEN concat(CAST(day AS STRING), ' 00:00:0', event_id % 7,
+    '.123+08:00 | Stmt=', stmt_text, ' | Time=', event_id % 500)
+  ELSE concat('{"message":"|Timestamp=', line_ms, '|User=u', user_id, '|Stmt=', stmt_text, '|Time=',
+    event_id % 500, '|"}')
+END"""
 
 
 def audit_lines(events: DataFrame) -> DataFrame:
     """``(event_id, file, line)`` from ``events(event_id, ts, user_id, event_type)``."""
-    e = F.col("event_id")
-    slot = e % 50
-    day = F.col("ts").cast("date")
-    day_ms = F.unix_date(day).cast("bigint") * 86400000
-    ms = (day_ms + (e % 7) * 1000 + 123).cast("string")
-    took = (e % 500).cast("string")
-    line = (
-        F.when(slot == 49, F.lit("noise line"))
-        .when(
-            slot == 48,
-            F.concat(F.lit('{"message":"|Timestamp='), ms, F.lit('|User=u|Stmt=|Time=1|"}')),
+    return (
+        events.selectExpr(
+            "event_id", "user_id", "CAST(ts AS DATE) AS day", f"{STATEMENT} AS stmt_text"
         )
-        .when(
-            slot == 47,
-            F.concat(
-                day.cast("string"), F.lit(" 00:00:0"), (e % 7).cast("string"),
-                F.lit(".123+08:00 | Stmt="), F.col("stmt_text"), F.lit(" | Time="), took,
-            ),
+        .selectExpr(
+            "*",
+            "CAST(unix_date(day) AS BIGINT) * 86400000 + (event_id % 7) * 1000 + 123 AS line_ms",
         )
-        .otherwise(
-            F.concat(
-                F.lit('{"message":"|Timestamp='), ms, F.lit("|User=u"),
-                F.col("user_id").cast("string"), F.lit("|Stmt="), F.col("stmt_text"),
-                F.lit("|Time="), took, F.lit('|"}'),
-            )
-        )
-    )
-    return events.withColumn("stmt_text", _statement()).select(
-        "event_id", (e % 3).cast("string").alias("file"), line.alias("line")
+        .selectExpr("event_id", "CAST(event_id % 3 AS STRING) AS file", f"{LINE} AS line")
     )
 
 
