@@ -1,4 +1,10 @@
-"""Statement classification: operation type, category, and pattern type."""
+"""Statement classification: operation type, category, and pattern type.
+
+The rules are tables (``fixed_values``). Prefix rules become one ``CASE`` over the opening of the
+statement, which is the fastest form; whole-word rules find the word once and look it up in a
+constant map. Both keep the generated code of a whole parse below the size that the JVM still
+compiles (8,000 bytes per method); beyond it, the parse runs two to three times slower.
+"""
 
 from __future__ import annotations
 
@@ -14,70 +20,62 @@ from auditlake.profiles import PYTHON, Profile
 OPENING_CHARS = 32
 
 
-def _first_match(tests: list[tuple[Column, str]], default: str) -> Column:
-    chain = None
-    for condition, label in tests:
-        chain = F.when(condition, label) if chain is None else chain.when(condition, label)
-    return F.lit(default) if chain is None else chain.otherwise(default)
+def _lookup(table: Mapping[str, str], key: str) -> str:
+    """SQL that looks ``key`` up in a constant map; null if it is not there."""
+    entries = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return f"try_element_at(map({entries}), {key})"
+
+
+def _opening(text: str) -> str:
+    return f"upper(substring({text}, 1, {OPENING_CHARS}))"
 
 
-def opening(stmt: Column) -> Column:
+def opening(stmt: str) -> Column:
     """The start of a statement in upper case, enough for every rule that compares prefixes."""
-    return F.upper(F.substring(stmt, 1, OPENING_CHARS))
+    return F.expr(_opening(stmt))
 
 
-def op_category(stmt: Column, profile: Profile = PYTHON, start: Column | None = None) -> Column:
-    """Category of a statement with its leading comment already cut.
+def _prefix_case(start: str, table: Mapping[str, str]) -> str:
+    """SQL for the label of the first entry that ``start`` starts with."""
+    branches = [f"WHEN startswith({start}, '{p}') THEN '{label}'" for p, label in table.items()]
+    return f"CASE {' '.join(branches)} ELSE 'OTHER' END"
 
-    ``start`` may name a column that holds ``opening(stmt)``; computed beforehand, it is evaluated
-    once instead of once per rule.
-    """
-    start = opening(stmt) if start is None else start
-    if profile.loose_phrases:
-        # White space between the words may be any length, so this test needs the whole text.
-        first_words = {phrase.split()[0] for phrase in fx.PHRASE_CATEGORY}
-        candidate = _any_prefix(start, sorted(first_words))
-        phrases = [
-            (candidate & F.upper(stmt).rlike("^" + r"\s+".join(phrase.split())), label)
-            for phrase, label in fx.PHRASE_CATEGORY.items()
-        ]
-    else:
-        phrases = [(start.startswith(p), label) for p, label in fx.PHRASE_CATEGORY.items()]
 
+def op_category(stmt: str, profile: Profile = PYTHON, start: str | None = None) -> Column:
+    """Category of a statement (a column name) with its leading comment already cut.
+
+    ``start`` names a column that holds ``opening(stmt)``; many rules look at it, so it should be
+    computed once, beforehand.
+    """
+    start = start or _opening(stmt)
     words = dict(fx.WORD_CATEGORY)
     if profile.bare_load:
         words["LOAD"] = "LOAD"
+    table = {**fx.PHRASE_CATEGORY, **words}
     if profile.word_match == "whole":
-        singles = [(_is_first_word(start, word), label) for word, label in words.items()]
-    else:
-        singles = [(start.startswith(word), label) for word, label in words.items()]
-    return _first_match(phrases + singles, "OTHER")
-
-
-def _any_prefix(start: Column, prefixes: list[str]) -> Column:
-    hit = F.lit(False)
-    for prefix in prefixes:
-        hit = hit | start.startswith(prefix)
-    return hit
-
-
-def _is_first_word(start: Column, word: str) -> Column:
-    """``word`` followed by anything but a letter, or by the end."""
-    following = F.substring(start, len(word) + 1, 1)
-    return start.startswith(word) & ~following.between("A", "Z")
+        # A phrase may be followed by anything, a single word only by a non-letter.
+        openings = "|".join(fx.PHRASE_CATEGORY) + "|[A-Z]+"
+        found = f"regexp_extract({start}, '^({openings})', 1)"
+        return F.expr(f"coalesce({_lookup(table, found)}, 'OTHER')")
+    by_prefix = _prefix_case(start, table)
+    if profile.loose_phrases:
+        # White space inside a phrase may be any length, so this looks at the whole text, but only
+        # of statements that start with the first word of a phrase.
+        first_words = "|".join(dict.fromkeys(phrase.split()[0] for phrase in fx.PHRASE_CATEGORY))
+        phrases = "|".join(phrase.replace(" ", r"\s+") for phrase in fx.PHRASE_CATEGORY)
+        found = f"regexp_extract({stmt}, r'(?i)^({phrases})', 1)"
+        label = _lookup(fx.PHRASE_CATEGORY, rf"upper(regexp_replace({found}, r'\s+', ' '))")
+        candidate = f"{start} RLIKE '^({first_words})'"
+        by_prefix = f"coalesce(CASE WHEN {candidate} THEN {label} END, {by_prefix})"
+    return F.expr(by_prefix)
 
 
-def op_type_of(category: Column) -> Column:
-    """Operation type of a category; every category belongs to exactly one type."""
-    tests = []
-    for op_type in fx.OP_TYPES[:-1]:
-        labels = [c for c, t in fx.CATEGORY_OP_TYPE.items() if t == op_type]
-        tests.append((category.isin(labels), op_type))
-    return F.when(category.isNotNull(), _first_match(tests, fx.OP_TYPES[-1]))
+def op_type_of(category: str) -> Column:
+    """Operation type of a category, which belongs to exactly one; null for null."""
+    return F.expr(_lookup(fx.CATEGORY_OP_TYPE, category))
 
 
-def pattern_type(pattern: Column, merged: bool = False) -> Column:
+def pattern_type(pattern: str, merged: bool = False) -> Column:
     """Type under which the pattern reports list a fingerprint."""
-    table: Mapping[str, str] = fx.PATTERN_TYPES_MERGED if merged else fx.PATTERN_TYPES_SINGLE
-    start = opening(pattern)
-    return _first_match([(start.startswith(p), label) for p, label in table.items()], "OTHER")
+    table = fx.PATTERN_TYPES_MERGED if merged else fx.PATTERN_TYPES_SINGLE
+    return F.expr(_prefix_case(_opening(pattern), table))

@@ -92,21 +92,27 @@ def epoch_ms_to_wall_second(ms: Column, tz: str) -> Column:
     return F.when(wall <= fx.MAX_EPOCH_SECOND, wall)
 
 
-def plain_wall_second(stamp: Column) -> Column:
+def plain_wall_second(stamp: str) -> Column:
     """Wall-clock second of a plain timestamp in its own offset; null if any part is out of range.
 
-    Computed from the date and the clock digits, so the session time zone plays no part.
+    ``stamp`` names the column. Computed from the date and the clock digits, so the session time
+    zone plays no part.
     """
 
-    def part(start: int) -> Column:
-        return F.substring(stamp, start, 2).try_cast("bigint")
+    def part(start: int) -> str:
+        return f"substring({stamp}, {start}, 2)"
 
-    day = F.unix_date(F.substring(stamp, 1, 10).try_cast("date")).cast("bigint")
-    clock_ok = (part(12) <= 23) & (part(15) <= 59) & (part(18) <= 59)
-    offset_ok = (part(25) <= 23) & (part(28) <= 59)
-    year_ok = F.substring(stamp, 1, 4) > "0000"
-    seconds = day * 86400 + part(12) * 3600 + part(15) * 60 + part(18)
-    return F.when(year_ok & clock_ok & offset_ok, seconds)
+    def number(start: int) -> str:
+        return f"try_cast({part(start)} AS BIGINT)"
+
+    # All parts are two digits, so they compare as text.
+    limits = {12: "23", 15: "59", 18: "59", 25: "23", 28: "59"}
+    in_range = " AND ".join(f"{part(i)} <= '{limit}'" for i, limit in limits.items())
+    return F.expr(
+        f"""CASE WHEN substring({stamp}, 1, 4) > '0000' AND {in_range}
+            THEN unix_date(try_cast(substring({stamp}, 1, 10) AS DATE)) * 86400L
+                 + {number(12)} * 3600 + {number(15)} * 60 + {number(18)} END"""
+    )
 
 
 def plain_instant(stamp: Column, wall_second: Column) -> Column:

@@ -42,7 +42,7 @@ def finish_cells(cells: DataFrame, profile: Profile, by: Sequence[str] = ()) ->
     """Operation type and second text for aggregated ``(op_category, second_key, n)`` rows."""
     return cells.select(
         *by,
-        classify.op_type_of(F.col("op_category")).alias("op_type"),
+        classify.op_type_of("op_category").alias("op_type"),
         "op_category",
         second_text(profile).alias("second"),
         "n",

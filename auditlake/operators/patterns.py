@@ -94,7 +94,7 @@ def top_patterns(
     window = Window.partitionBy("pattern_type").orderBy(F.desc("n"), *tie)
     return (
         counts.where(F.col("n") >= min_count)
-        .withColumn("pattern_type", classify.pattern_type(F.col("pattern"), merged))
+        .withColumn("pattern_type", classify.pattern_type("pattern", merged))
         .withColumn("rank", F.row_number().over(window))
         .where(F.col("rank") <= k)
         .select("pattern_type", "rank", "pattern", "n")

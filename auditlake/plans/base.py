@@ -3,8 +3,8 @@
 A report needs counts per (category, second) and counts per pattern. As two queries they would read
 and parse the logs twice, which is nearly all of the work. ``base_aggregates`` groups by two grouping
 sets instead: every row is scanned and parsed once and enters both aggregates. The result is small
-against the logs (it grows with seconds and distinct patterns, not with lines) and is checkpointed,
-so that all report parts read it instead of the logs.
+against the logs (it grows with seconds and distinct patterns, not with lines) and is written once
+as a table with one partition per aggregate; all report parts read that instead of the logs.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ def base_aggregates(
     profile: Profile = PYTHON,
     by: Sequence[str] = (),
     pos: str | None = None,
-    checkpoint: bool = True,
 ) -> BaseAggregates:
     """Both aggregates from one scan of ``parsed``; ``by`` keeps files apart."""
     cell_keys = [*by, "reject_reason", "op_category", "second_key"]
@@ -46,14 +45,13 @@ def base_aggregates(
     rows = parsed.withColumn("pattern", patterns.pattern_column(profile))
     first = [F.min(pos).alias("first_pos")] if pos else []
     both = rows.groupingSets([cell_keys, pattern_keys], *columns).agg(
-        F.grouping("pattern").alias("is_cell"),
+        F.grouping("pattern").cast("int").alias("is_cell"),
         F.count(F.lit(1)).alias("rows"),
         F.count("op_category").alias("n"),
         patterns.counted_patterns(profile).alias("patterns_n"),
         *first,
     )
-    if checkpoint:
-        both = materialize(both)
+    both = materialize(both, partition_by=["is_cell"])
 
     cells = both.where((F.col("is_cell") == 1) & (F.col("n") > 0))
     counted = both.where((F.col("is_cell") == 0) & (F.col("patterns_n") > 0))

@@ -52,10 +52,10 @@ def _record_columns(parsed: DataFrame, profile: Profile = PYTHON) -> DataFrame:
 
 def _parse(profile: Profile, json: bool | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = read_audit_lines(spark, sf_dir)
+        parsed = _parsed(spark, sf_dir, profile)
         if json is not None:
-            lines = lines.where(F.col("line").startswith("{") == F.lit(json))
-        return _record_columns(parse.parse_lines(lines, profile), profile)
+            parsed = parsed.where(F.col("line").startswith("{") == F.lit(json))
+        return _record_columns(parsed, profile)
 
     return query
 

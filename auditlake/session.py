@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,9 @@ def build_session(app: str = "auditlake", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.files.maxPartitionBytes": "512m",
         "spark.ui.showConsoleProgress": "false",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # Generated methods above this size are never compiled by the JVM; run such a stage operator
+        # by operator instead, which measured twice as fast.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # Call-site capture per column expression only slows down building large plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
@@ -41,8 +45,6 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
         return configured
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -50,11 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+def materialize(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Compute ``df`` once, write it as a Parquet table in the shared folder, and read that.
 
-    Used for the small aggregates that several reports share: later reports read the checkpoint
-    files, and a lost executor costs a re-read instead of another scan of the logs.
+    Used for the small aggregates that several report parts share. The lineage to the logs is cut: a
+    lost executor costs a re-read of the table instead of another scan of the logs, and every part
+    reads only its columns and its partitions. The tables stay below ``auditlake`` in the shared
+    folder until the owner of that folder expires them.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/auditlake/aggregate-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,33 +9,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STATEMENT = r"""
-CASE event_id % 23
-  WHEN 0 THEN concat('SELECT a||b FROM t_5 WHERE id = ', user_id % 3, ' AND n = \'', event_type, '\'')
-  WHEN 1 THEN concat('/* rid ', event_id, ' */ select * from u where d = \'2024-01-02\' and x in (',
-                     user_id % 3, ', 7)')
-  WHEN 2 THEN concat('with q as (select ', user_id % 2, ') select * from q')
-  WHEN 3 THEN 'SHOW TABLES'
-  WHEN 4 THEN 'desc t1'
-  WHEN 5 THEN 'EXPLAIN SELECT 1'
-  WHEN 6 THEN concat('INSERT INTO t VALUES (', event_id, ', \'', event_type, '\')')
-  WHEN 7 THEN concat('CREATE ROUTINE LOAD db.j', event_id % 3, ' ON t')
-  WHEN 8 THEN 'SUBMIT TASK AS INSERT INTO t SELECT 1'
-  WHEN 9 THEN concat('LOAD LABEL l', event_id % 2)
-  WHEN 10 THEN 'CREATE PIPE p AS INSERT INTO t SELECT 1'
-  WHEN 11 THEN concat('UPDATE t SET v = ', event_id, ' WHERE k = 3')
-  WHEN 12 THEN 'DELETE FROM t WHERE d < 2024-01-02 03:04:05'
-  WHEN 13 THEN 'TRUNCATE TABLE t'
-  WHEN 14 THEN concat('ALTER TABLE t DROP PARTITION (p', event_id % 4, ')')
-  WHEN 15 THEN 'CREATE TABLE t (a INT)'
-  WHEN 16 THEN 'DROP TABLE t'
-  WHEN 17 THEN 'SET ROLE all'
-  WHEN 18 THEN 'BEGIN'
-  WHEN 19 THEN 'SETTINGS x'
-  WHEN 20 THEN 'LOAD DATA x'
-  WHEN 21 THEN '/* only */'
-  WHEN 22 THEN 'SELECT /* a */ 1 /* b */'
-END"""
+# Statement by ``event_id % 23``; names in braces stand for numbers and words of the event.
+STATEMENTS = (
+    "SELECT a||b FROM t_5 WHERE id = {user%3} AND n = '{type}'",
+    "/* rid {id} */ select * from u where d = '2024-01-02' and x in ({user%3}, 7)",
+    "with q as (select {user%2}) select * from q",
+    "SHOW TABLES",
+    "desc t1",
+    "EXPLAIN SELECT 1",
+    "INSERT INTO t VALUES ({id}, '{type}')",
+    "CREATE ROUTINE LOAD db.j{id%3} ON t",
+    "SUBMIT TASK AS INSERT INTO t SELECT 1",
+    "LOAD LABEL l{id%2}",
+    "CREATE PIPE p AS INSERT INTO t SELECT 1",
+    "UPDATE t SET v = {id} WHERE k = 3",
+    "DELETE FROM t WHERE d < 2024-01-02 03:04:05",
+    "TRUNCATE TABLE t",
+    "ALTER TABLE t DROP PARTITION (p{id%4})",
+    "CREATE TABLE t (a INT)",
+    "DROP TABLE t",
+    "SET ROLE all",
+    "BEGIN",
+    "SETTINGS x",
+    "LOAD DATA x",
+    "/* only */",
+    "SELECT /* a */ 1 /* b */",
+)
+PLACEHOLDERS = {
+    "{user%3}": "user_id % 3",
+    "{user%2}": "user_id % 2",
+    "{id%2}": "event_id % 2",
+    "{id%3}": "event_id % 3",
+    "{id%4}": "event_id % 4",
+    "{id}": "event_id",
+    "{type}": "event_type",
+}
+
+
+def _statement() -> str:
+    texts = ", ".join('"' + text + '"' for text in STATEMENTS)
+    sql = f"element_at(array({texts}), CAST(event_id % {len(STATEMENTS)} AS INT) + 1)"
+    for name, value in PLACEHOLDERS.items():
+        sql = f"replace({sql}, '{name}', CAST({value} AS STRING))"
+    return sql
+
 
 LINE = r"""
 CASE
@@ -52,7 +69,7 @@ def audit_lines(events: DataFrame) -> DataFrame:
     """``(event_id, file, line)`` from ``events(event_id, ts, user_id, event_type)``."""
     return (
         events.selectExpr(
-            "event_id", "user_id", "CAST(ts AS DATE) AS day", f"{STATEMENT} AS stmt_text"
+            "event_id", "user_id", "CAST(ts AS DATE) AS day", f"{_statement()} AS stmt_text"
         )
         .selectExpr(
             "*",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,20 +23,25 @@ def _plain(path: str) -> str:
     return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path)
 
 
-def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The paths that Spark can resolve, in order. One lookup if all exist."""
+def _read_text(spark: SparkSession, paths: list[str], skip_unreadable: bool) -> DataFrame | None:
+    """Text reader over the paths that can be resolved; None without any. One listing if all can."""
+    reader = spark.read
+    if not skip_unreadable:
+        return reader.text(paths)
+    reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
     try:
-        spark.read.text(list(paths))
-        return list(paths)
+        return reader.text(paths)
     except AnalysisException:
-        found = []
-    for path in paths:
-        try:
-            spark.read.text(path)
-            found.append(path)
-        except AnalysisException:
-            continue
-    return found
+        found = [p for p in paths if _resolves(spark, p)]
+    return reader.text(found) if found else None
+
+
+def _resolves(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def read_lines(
@@ -52,15 +57,12 @@ def read_lines(
     These columns must be computed before any shuffle, which is why they are made here.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read
-    if skip_unreadable:
-        paths = existing_paths(spark, paths)
-        reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
-    if not paths:
+    lines = _read_text(spark, paths, skip_unreadable)
+    if lines is None:
         return spark.createDataFrame(
             [], "file string, block_start bigint, rid bigint, line string"
         )
-    return reader.text(paths).select(
+    return lines.select(
         without_scheme(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("rid"),
@@ -86,18 +88,19 @@ def file_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     so that per-file reports can show it with zeros. Only names are listed; no file is read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    readable = existing_paths(spark, paths)
-    found = sorted(_plain(p) for p in spark.read.text(readable).inputFiles()) if readable else []
+    lines = _read_text(spark, paths, skip_unreadable=True)
+    found = sorted({_plain(p) for p in lines.inputFiles()}) if lines is not None else []
+    known = set(found)
     ordered: dict[str, None] = {}
     for path in paths:
-        for file in _files_of(_plain(path).rstrip("/"), found):
+        for file in _files_of(_plain(path).rstrip("/"), known, found):
             ordered.setdefault(file)
     rows = [(file, index) for index, file in enumerate(ordered)]
     return spark.createDataFrame(rows, "file string, file_index bigint")
 
 
-def _files_of(path: str, found: Iterable[str]) -> list[str]:
-    if path in found:
+def _files_of(path: str, known: set[str], found: list[str]) -> list[str]:
+    if path in known:
         return [path]
     inside = [f for f in found if f.startswith(path + "/") or fnmatch.fnmatch(f, path)]
     return inside or [path]

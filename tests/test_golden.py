@@ -45,8 +45,8 @@ RECORD_CASES = [
     (json_line("/* a ?*/ SELECT 1"), "E", "SELECT 1", 0, "20250805040004"),
     (json_line("/*/ SELECT 1"), "P", "/*/ SELECT 1", 15, "20250805040004"),
     (json_line("SELECT 1", tail="|Time=15"), "P", "SELECT 1", 0, "20250805040004"),
-    (json_line("/* a b */ SELECT 1"), "P", "SELECT 1", 15, "20250805040004"),
-    ("　 " + json_line(" SELECT 1 ") + "\t", "P", "SELECT 1", 15, "20250805040004"),
+    (json_line("/* a\u2028b */ SELECT 1"), "P", "SELECT 1", 15, "20250805040004"),
+    ("\u3000\x1f " + json_line("\xa0SELECT 1\u2003") + "\t", "P", "SELECT 1", 15, "20250805040004"),
     (json_line("SELECT 'a|b=c' FROM t"), "P", "SELECT 'a", 15, "20250805040004"),
     (json_line("SELECT 1", ms="1754366404"), "A", "SELECT 1", 15, "1754366404"),
     (plain_line(" SELECT 1"), "E", " SELECT 1 ", 0, "20240115103045"),
@@ -156,7 +156,7 @@ CLASS_CASES = [
 @pytest.mark.parametrize("profile", PROFILES)
 def test_classify(spark, profile):
     df = spark.createDataFrame([(s, e[profile]) for s, e in CLASS_CASES], "s string, expected string")
-    got = df.withColumn("got", classify.op_category(F.col("s"), PROFILES[profile]))
+    got = df.withColumn("got", classify.op_category("s", PROFILES[profile]))
     assert got.where("got != expected").collect() == []
 
 
@@ -217,7 +217,7 @@ PATTERN_TYPE_CASES = [
 def test_pattern_type(spark):
     df = spark.createDataFrame(PATTERN_TYPE_CASES, "p string, single string, merged string")
     got = df.select(
-        "p", classify.pattern_type(F.col("p")), classify.pattern_type(F.col("p"), merged=True)
+        "p", classify.pattern_type("p"), classify.pattern_type("p", merged=True)
     )
     assert [tuple(r) for r in got.collect()] == PATTERN_TYPE_CASES
 

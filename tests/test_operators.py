@@ -441,4 +441,5 @@ def test_text_position_aggregates_by_hash(spark, tmp_path, capsys):
 def test_report_reads_the_logs_once(spark, sf_dir, capsys):
     report = reports.single_report(read_audit_lines(spark, sf_dir), pos="event_id")
     for name, df in report.items():
-        assert "FileScan" not in plan_of(df, capsys), name
+        plan = plan_of(df, capsys)
+        assert "events.parquet" not in plan and "FileScan" in plan, name
