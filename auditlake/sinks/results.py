@@ -27,6 +27,12 @@ def _fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _write_lines(df: DataFrame, path: str) -> DataFrame:
+    """Write as JSON lines and read back, so that later steps do not compute the rows again."""
+    df.write.mode("overwrite").json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
 def _kind(name: str, df: DataFrame) -> DataFrame:
     return df.withColumn("kind", F.lit(name))
 
@@ -59,8 +65,8 @@ def _overall(op_type: str) -> Column:
 
 def write_result(report: dict[str, DataFrame], path: str, embed_rows: int = EMBED_ROWS) -> None:
     """Result of a single log: summary, five sections, patterns, line counts of the run."""
-    dictionary = report["pattern_counts"].select("pattern", "n")
-    dictionary.write.mode("overwrite").json(f"{path}/sql_patterns")
+    counts = report["pattern_counts"].select("pattern", "n")
+    dictionary = _write_lines(counts, f"{path}/sql_patterns")
 
     parts = [
         _kind("totals", report["totals"]),
@@ -96,10 +102,9 @@ def write_merged_result(
     report: dict[str, DataFrame], path: str, embed_rows: int = EMBED_ROWS
 ) -> None:
     """Result of several logs: file list with totals, merged summary and concurrency, patterns."""
-    dictionary = report["pattern_counts"].select("pattern", "n")
-    dictionary.write.mode("overwrite").json(f"{path}/combined_sql_patterns")
-    files = report["file_totals"]
-    files.write.mode("overwrite").json(f"{path}/file_stats")
+    merged = report["pattern_counts"].select("pattern", "n")
+    dictionary = _write_lines(merged, f"{path}/combined_sql_patterns")
+    files = _write_lines(report["file_totals"], f"{path}/file_stats")
 
     counts = ["total_ops", *[f"{t}_ops" for t in fx.OP_TYPES]]
     parts = [

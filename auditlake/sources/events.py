@@ -55,25 +55,27 @@ def _statement() -> str:
 
 
 LINE = r"""
-CASE
-  WHEN event_id % 50 = 49 THEN 'noise line'
-  WHEN event_id % 50 = 48 THEN concat('{"message":"|Timestamp=', line_ms, '|User=u|Stmt=|Time=1|"}')
-  WHEN event_id % 50 = 47 THEN concat(CAST(day AS STRING), ' 00:00:0', event_id % 7,
-    '.123+08:00 | Stmt=', stmt_text, ' | Time=', event_id % 500)
-  ELSE concat('{"message":"|Timestamp=', line_ms, '|User=u', user_id, '|Stmt=', stmt_text, '|Time=',
-    event_id % 500, '|"}')
+CASE slot
+  WHEN 49 THEN 'noise line'
+  WHEN 47 THEN concat(day, ' 00:00:0', event_id % 7, '.123+08:00 | Stmt=', stmt_text, ' | Time=', took)
+  ELSE concat('{"message":"|Timestamp=', line_ms, '|User=u', user_text, '|Stmt=', stmt_text, '|Time=',
+    took, '|"}')
 END"""
 
 
 def audit_lines(events: DataFrame) -> DataFrame:
     """``(event_id, file, line)`` from ``events(event_id, ts, user_id, event_type)``."""
     return (
-        events.selectExpr(
-            "event_id", "user_id", "CAST(ts AS DATE) AS day", f"{_statement()} AS stmt_text"
-        )
+        events.selectExpr("*", "CAST(ts AS DATE) AS day", "event_id % 50 AS slot")
         .selectExpr(
-            "*",
-            "CAST(unix_date(day) AS BIGINT) * 86400000 + (event_id % 7) * 1000 + 123 AS line_ms",
+            "event_id",
+            "slot",
+            "day",
+            "unix_date(day) * 86400000L + (event_id % 7) * 1000 + 123 AS line_ms",
+            # One slot has an empty statement.
+            "IF(slot = 48, '', CAST(user_id AS STRING)) AS user_text",
+            f"IF(slot = 48, '', {_statement()}) AS stmt_text",
+            "IF(slot = 48, 1, event_id % 500) AS took",
         )
         .selectExpr("event_id", "CAST(event_id % 3 AS STRING) AS file", f"{LINE} AS line")
     )

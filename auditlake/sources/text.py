@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +15,18 @@ from pyspark.sql import functions as F
 ROW_BITS = 33
 
 
-def without_scheme(path: Column) -> Column:
-    """File URI without scheme and authority slashes: ``file:///a/b`` and ``file:/a/b`` are one."""
-    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+def file_name(path: Column) -> Column:
+    """File URI as reports show it: local files as plain paths, all others unchanged."""
+    return F.when(path.startswith("file:/"), F.substring(path, 6, 1 << 30)).otherwise(path)
 
 
 def _plain(path: str) -> str:
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path)
+    return re.sub(r"^file:/+", "/", path)
+
+
+def _path_part(uri: str) -> str:
+    """The path of a URI without scheme and authority."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "", uri)
 
 
 def _read_text(spark: SparkSession, paths: list[str], skip_unreadable: bool) -> DataFrame | None:
@@ -63,7 +69,7 @@ def read_lines(
             [], "file string, block_start bigint, rid bigint, line string"
         )
     return lines.select(
-        without_scheme(F.col("_metadata.file_path")).alias("file"),
+        file_name(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("rid"),
         F.col("value").alias("line"),
@@ -90,17 +96,22 @@ def file_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = _read_text(spark, paths, skip_unreadable=True)
     found = sorted({_plain(p) for p in lines.inputFiles()}) if lines is not None else []
-    known = set(found)
+    # Listed files are URL-encoded and carry a scheme; arguments may do without both.
+    readable = {f: (unquote(f), _path_part(unquote(f))) for f in found}
+    by_name = {name: f for f, names in readable.items() for name in (*names, f)}
     ordered: dict[str, None] = {}
     for path in paths:
-        for file in _files_of(_plain(path).rstrip("/"), known, found):
+        path = _plain(path).rstrip("/")
+        if path in by_name:
+            ordered.setdefault(by_name[path])
+            continue
+        inside = [f for f, names in readable.items() if any(_covers(path, n) for n in (*names, f))]
+        for file in inside or [path]:
             ordered.setdefault(file)
     rows = [(file, index) for index, file in enumerate(ordered)]
     return spark.createDataFrame(rows, "file string, file_index bigint")
 
 
-def _files_of(path: str, known: set[str], found: list[str]) -> list[str]:
-    if path in known:
-        return [path]
-    inside = [f for f in found if f.startswith(path + "/") or fnmatch.fnmatch(f, path)]
-    return inside or [path]
+def _covers(path: str, name: str) -> bool:
+    """Whether a folder or wildcard argument stands for this file."""
+    return name.startswith(path + "/") or fnmatch.fnmatch(name, path)

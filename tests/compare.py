@@ -59,12 +59,16 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
 
 
 def main() -> None:
-    from auditlake import build_session
+    from pyspark.sql import SparkSession
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:] or list(entry.queries())
-    spark = build_session(
-        master="local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8"
+    # A plain session: the queries must not depend on the settings of build_session.
+    spark = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

@@ -199,18 +199,20 @@ def write(path, lines, end="\n"):
 def test_several_files(spark, tmp_path):
     b = write(tmp_path / "b.log", [json_line("DROP TABLE b")] * 2 + ["noise"])
     a = write(tmp_path / "a.log", [json_line("DROP TABLE a")] * 2, end="\r\n")
-    empty = write(tmp_path / "with space.log", [])
+    spaced = write(tmp_path / "with space.log", [json_line("DROP TABLE c")])
+    empty = write(tmp_path / "empty.log", [])
     missing = str(tmp_path / "missing.log")
-    paths = [b, a, empty, missing]
+    paths = [b, a, spaced, empty, missing]
     files = text.file_list(spark, paths)
     lines = text.with_line_position(text.read_lines(spark, paths))
     report = reports.merged_report(lines, files)
     totals = {r.file: (r.total_ops, r.schema_change_ops) for r in report["file_totals"].collect()}
     assert totals[b] == (2, 2) and totals[a] == (2, 2) and totals[missing] == (0, 0)
-    assert len(totals) == 4 and sum(n for n, _ in totals.values()) == 4
+    assert totals[empty] == (0, 0) and totals[spaced.replace(" ", "%20")] == (1, 1)
+    assert len(totals) == 5
     top = report["top_patterns"].orderBy("rank").collect()
     assert [r.pattern for r in top] == ["DROP TABLE b", "DROP TABLE a"]
-    assert tuple(report["run_metrics"].first())[:3] == (6, 4, 4)
+    assert tuple(report["run_metrics"].first())[:3] == (7, 5, 5)
 
 
 def test_a_file_listed_twice_counts_twice(spark, tmp_path):
@@ -265,6 +267,20 @@ def test_changed_splits_fail_instead_of_giving_a_wrong_limit(spark, lines, monke
         patterns.first_records(df, 7, ["block"], "pos").collect()
 
 
+def test_file_list_of_remote_files(monkeypatch, spark):
+    """Arguments without scheme match listed files that carry scheme and host."""
+
+    class Listed:
+        def inputFiles(self):
+            return ["hdfs://nn:8020/logs/b%201.log", "hdfs://nn:8020/logs/a.log", "s3a://bucket/x/c.log"]
+
+    monkeypatch.setattr(text, "_read_text", lambda *a, **k: Listed())
+    listed = text.file_list(spark, ["/logs/b 1.log", "s3a://bucket/x", "/logs/*", "/none"])
+    assert [r.file for r in listed.orderBy("file_index").collect()] == [
+        "hdfs://nn:8020/logs/b%201.log", "s3a://bucket/x/c.log", "hdfs://nn:8020/logs/a.log", "/none",
+    ]
+
+
 # ---- Rejects, metrics, sinks -------------------------------------------------------------------
 
 
