@@ -117,6 +117,18 @@ def test_date_rules_never_fire_after_the_number_rule(stmt):
     assert not re.search(r"\d{4}-\d{2}-\d{2}", after)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="aZ_09 =.,\t", max_size=30))
+def test_name_number_rules_equal_their_plain_form(stmt):
+    """The look-behind and the possessive repeats change the running time only."""
+    plain = [(r"[A-Za-z_][A-Za-z0-9_]*\s*=\s*[0-9]+\s", "F=N "), (r"[A-Za-z_][A-Za-z0-9_]*\s*=\s*[0-9]+\Z", "F=N")]
+    fast = [(fx.FIELD_EQUALS_NUMBER, "F=N "), (fx.FIELD_EQUALS_LAST_NUMBER.replace(r"\z", r"\Z"), "F=N")]
+    expected = got = stmt
+    for (slow_rule, new), (fast_rule, _) in zip(plain, fast, strict=True):
+        expected, got = re.sub(slow_rule, new, expected), re.sub(fast_rule, new, got)
+    assert got == expected
+
+
 def test_fingerprint_equals_python_regular_expressions(spark):
     """Unicode digits, letters next to digits, quotes over line ends: same as Python's ``re``."""
     samples = [
