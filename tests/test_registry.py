@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from auditlake.registry import oracle, queries
 
 
 @pytest.fixture(scope="module")
@@ -12,10 +13,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(queries.queries()))
 def test_query_equals_sql(spark, con, sf_dir, name):
     assert compare(spark, con, name, sf_dir) is None
 
