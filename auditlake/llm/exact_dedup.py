@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import text_or_empty
+from auditlake.llm.common import materialize, text_or_empty
 
 FAN_IN_BITS = 4
 KEY = ("digest", "check", "n_bytes")
@@ -67,8 +67,9 @@ def exact_dedup(
     the whole group has none. An empty table gives no rows, and other columns do not matter.
     """
     rows = digests(docs, text, id)
-    # Texts that occur once need no join partner: only repeated ones travel.
-    repeated = merge_runs(rows, keep).where(F.col("group_size") > 1)
+    # Texts that occur once need no join partner: only repeated ones travel. They are written as a
+    # table, so that the join has an exchange of its own on both sides and Spark can split a hot text.
+    repeated = materialize(merge_runs(rows, keep).where(F.col("group_size") > 1))
     keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return (
         rows.join(repeated, list(KEY), "left")

@@ -7,16 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import exact_dedup, license_scan
+from auditlake.llm import bpe_automaton, exact_dedup, license_scan, packing, plane_files
 from auditlake.llm.common import table
 
+TOKENIZERS = None  # a folder of tokenizer files; None for the installed public ones
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file is; every executor has it at the same place."""
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summarize(license_scan.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, with_ids=False)
+
+
+def op8_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), plane_files.new_folder(spark)
+    path = tokenizer_path("word_bpe_49k.json")
+    manifest = plane_files.write_id_files(docs, path, folder, end_id=1)
+    rows = plane_files.read_id_files(spark, manifest, folder)
+    return rows.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -24,6 +52,26 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    encoded = bpe_automaton.encode(table(spark, sf_dir, "documents"), path)
+    return bpe_automaton.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = (
+    op1_license_scan,
+    op7_best_fit_packing,
+    op8_plane_files,
+    op9_exact_dedup,
+    op10_bpe_automaton,
+)
+
+
 def queries() -> dict[str, Query]:
     """All queries of the operators by name."""
-    return {f.__name__: f for f in (op1_license_scan, op9_exact_dedup)}
+    return {f.__name__: f for f in QUERIES}
