@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe_automaton, exact_dedup, license_scan, packing, plane_files
+from auditlake.llm import bpe_automaton, exact_dedup, license_scan, near_dedup, packing, plane_files, suffix_dedup
 from auditlake.llm.common import table
 
 TOKENIZERS = None  # a folder of tokenizer files; None for the installed public ones
@@ -27,6 +27,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summarize(license_scan.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.suffix_dedup(docs).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, with_ids=False)
@@ -65,6 +80,8 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_license_scan,
+    op3_near_dedup,
+    op6_suffix_dedup,
     op7_best_fit_packing,
     op8_plane_files,
     op9_exact_dedup,
