@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe_automaton, exact_dedup, license_scan, near_dedup, packing, plane_files, suffix_dedup
+from auditlake.llm import (
+    bpe_automaton,
+    exact_dedup,
+    kd_search,
+    license_scan,
+    near_dedup,
+    packing,
+    plane_files,
+    suffix_dedup,
+)
 from auditlake.llm.common import table
 
 TOKENIZERS = None  # a folder of tokenizer files; None for the installed public ones
@@ -31,6 +40,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.suffix_dedup(docs).select(
@@ -81,6 +94,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_license_scan,
     op3_near_dedup,
+    op5_kd_search,
     op6_suffix_dedup,
     op7_best_fit_packing,
     op8_plane_files,
