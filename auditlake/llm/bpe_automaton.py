@@ -37,11 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import text_or_empty, texts_of
+from auditlake.llm.common import in_slices, text_or_empty, texts_of
 from auditlake.llm.tokenizer import BEYOND_LATIN, SEPARATORS, WORD_SPLIT, in_alphabet, pack
 
 # Limits of the tables a worker keeps.
-ARCS, PIECES, WORDS = 1_000_000, 400_000, 200_000
+ARCS, PIECES, WORDS = 300_000, 200_000, 100_000
 END = "\0"
 
 
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        for batch in batches:
+        for batch in in_slices(batches):
             packed = [tokenizer.encode(t) for t in texts_of(batch.column(1))]
             ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
             ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
@@ -236,7 +236,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = word_tokenizer(path).names
-        for batch in batches:
+        for batch in in_slices(batches):
             column = batch.column(keep.index(ids))
             labels = names.take(column.flatten())
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0))])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.session import materialize
 
-__all__ = ["batch_bytes", "materialize", "table", "text_or_empty", "texts_of"]
+__all__ = ["batch_bytes", "in_slices", "materialize", "table", "text_or_empty", "texts_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,8 @@ def batch_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=np.uint8), ends
 
 
-def record_batches(rows: Iterator[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Arrow batches from lists of columns."""
-    for columns in rows:
-        arrays = [pa.array(c, field.type) for c, field in zip(columns, schema, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut into smaller ones, so that a task holds few texts and results at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

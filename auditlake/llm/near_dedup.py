@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.anchors import BLOCK, Rolling, mix
-from auditlake.llm.common import materialize, text_or_empty, texts_of
+from auditlake.llm.common import in_slices, materialize, text_or_empty, texts_of
 from auditlake.llm.components import components
 
 COORDINATES, MATCHES, OVERLAP = 64, 36, 4
@@ -98,7 +98,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """``(doc, n, digest, signature)`` of ``docs(doc, text)``; the signature as packed 32-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             number, digest, packed = [], [], []
             for text in texts_of(batch.column(1)):
                 shingles = shingle_set(text)
@@ -118,7 +118,7 @@ def _values(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = np.arange(COORDINATES, dtype=np.int64) << 32
-        for batch in batches:
+        for batch in in_slices(batches, 2048):
             rep, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             if len(rep):
                 values = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32)
@@ -177,7 +177,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     texts = docs.select("doc", "text").join(needed, "doc")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             made = [shingle_set(t).tobytes() for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc", "shingles"])
 
@@ -195,7 +195,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     )
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             keep = []
             columns = (batch.column(n).to_pylist() for n in range(2, 6))
             for mine, theirs, left, right in zip(*columns, strict=True):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import materialize, text_or_empty, texts_of
+from auditlake.llm.common import in_slices, materialize, text_or_empty, texts_of
 from auditlake.llm.tokenizer import corpus_encoder
 
 CAPACITY = 1024
@@ -54,7 +54,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = corpus_encoder(tokenizer, kind), struct.pack("<I", end_id)
-        for batch in batches:
+        for batch in in_slices(batches):
             which, piece, start, ids = [], [], [], []
             for row, value in enumerate(texts_of(batch.column(1))):
                 packed = encoder.encode(value) + end

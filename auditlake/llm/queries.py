@@ -15,7 +15,9 @@ from auditlake.llm import (
     near_dedup,
     packing,
     plane_files,
+    quality_cnn,
     suffix_dedup,
+    toxicity,
 )
 from auditlake.llm.common import table
 
@@ -36,10 +38,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summarize(license_scan.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -93,7 +103,9 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_license_scan,
+    op2_toxicity,
     op3_near_dedup,
+    op4_quality_cnn,
     op5_kd_search,
     op6_suffix_dedup,
     op7_best_fit_packing,
