@@ -332,3 +332,19 @@ def toxicity_scores(
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below 0.5."""
+    if model is None:
+        return docs
+    weights, bias = model.weights, model.bias
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(weights, bias)
+        for batch in in_slices(batches):
+            clean = [scorer.score(t) < 0.5 for t in texts_of(batch.column(at))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
