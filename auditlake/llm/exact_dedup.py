@@ -40,12 +40,12 @@ def digests(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 
 def merge_runs(rows: DataFrame, keep: str = "max", fan_in_bits: int = FAN_IN_BITS) -> DataFrame:
     """``(digest, check, n_bytes, keep_id, group_size)``, one row per distinct text."""
-    best = {"max": F.max, "min": F.min}[keep]
+    best, rank = {"max": (F.max, F.col("id").isNotNull()), "min": (F.min, F.col("id").isNull())}[keep]
     # How many runs there are decides how many rounds follow; reads no column of the input.
     last = rows.select(F.spark_partition_id().alias("run")).agg(F.max("run")).first()[0] or 0
     rounds = max(1, -(-int(last).bit_length() // fan_in_bits))
     runs = rows.select(
-        *KEY, F.spark_partition_id().alias("run"), F.struct("id").alias("keeper"), F.lit(1).alias("n")
+        *KEY, F.spark_partition_id().alias("run"), F.struct(rank, "id").alias("keeper"), F.lit(1).alias("n")
     )
     for level in range(1, rounds + 1):
         group: list[str | Column] = list(KEY)

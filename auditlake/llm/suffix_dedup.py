@@ -16,9 +16,10 @@ backward extension with every character, and the expansion stops at ``width``. B
 value then join suffixes that agree in ``width`` bytes: repeated windows.
 
 **Hot anchors.** An anchor with more than ``GROUP`` distinct segments (a passage in a third of all texts,
-each time in other surroundings) is never gathered: the windows of its segments, at most
-``width - gram + 1`` each, are counted by a 128-bit hash, combined before the shuffle. This is linear in
-the number of segments, and exact like the block route.
+each time in other surroundings) is never gathered: its segments are dealt to groups of about that size,
+which are expanded one by one. What a group leaves open, the windows it does not repeat and one of each
+kind it does, is counted across groups by a 128-bit hash, combined before the shuffle. This is linear in
+the number of segments, and exact.
 
 The result flows back over (anchor, segment) to all occurrences; joins whose one side may be hot have
 plain exchanges on both sides, so Spark splits them. Intermediate tables lie in the shared folder.
@@ -38,7 +39,7 @@ from auditlake.llm.anchors import Rolling, segments
 from auditlake.llm.common import batch_bytes, materialize, text_or_empty, texts_of
 
 WIDTH, GRAM = 200, 64
-# Distinct segments of one anchor that a block takes; anchors with more are counted by window.
+# Distinct segments of one anchor that are expanded together; anchors with more are dealt to groups.
 GROUP = 48
 BLOCK_BYTES = 1 << 17
 NO_ID = -(1 << 63)
@@ -67,8 +68,9 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         reach *= 2
 
 
-def repeated_places(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Which places begin a string of ``width`` symbols that begins elsewhere too.
+def repeated_places(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which places begin a string of ``width`` symbols that begins elsewhere too, and which places
+    stand for the rest: one of each group of equal strings.
 
     Symbol 0 separates strings and matches nothing, itself included.
     """
@@ -100,7 +102,9 @@ def repeated_places(symbols: np.ndarray, width: int) -> np.ndarray:
     same = np.flatnonzero(open_boundary)
     found[order[same]] = True
     found[order[same - 1]] = True
-    return found[:-1]
+    heads = found.copy()
+    heads[order[same]] = False
+    return found[:-1], heads[:-1]
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -128,9 +132,9 @@ def _segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(key, content, hot, segment)``: the bytes of segments, cut out of their texts."""
+    """``(key, content, parts, segment)``: the bytes of segments, cut out of their texts."""
     by_text = wanted.groupBy("doc", "tid").agg(
-        F.collect_list(F.struct("start", "length", "key", "content", "hot")).alias("cuts")
+        F.collect_list(F.struct("start", "length", "key", "content", "parts")).alias("cuts")
     )
     # Rows that repeat a text under its identifier give the same segments again.
     joined = docs.dropDuplicates(["doc", "tid"]).join(by_text, ["doc", "tid"]).select("text", "cuts")
@@ -143,98 +147,92 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for cut in cuts:
                     out[0].append(cut["key"])
                     out[1].append(cut["content"])
-                    out[2].append(cut["hot"])
+                    out[2].append(cut["parts"])
                     out[3].append(raw[cut["start"] : cut["start"] + cut["length"]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.binary())],
-                ["key", "content", "hot", "segment"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
+                ["key", "content", "parts", "segment"],
             )
 
-    return joined.mapInArrow(run, "key long, content long, hot boolean, segment binary")
+    return joined.mapInArrow(run, "key long, content long, parts int, segment binary")
 
 
 RUNS = "array<struct<begin:int,end:int>>"
 
 
-def _by_blocks(reps: DataFrame, width: int) -> DataFrame:
-    """``(key, content, runs)``: repeated windows of segments whose anchors have few of them."""
+def _by_blocks(reps: DataFrame, width: int, by: tuple[str, ...]) -> DataFrame:
+    """``(key, content, runs, at, open)``: repeated windows of segments, in blocks of whole ``by`` groups.
 
-    def expand(rows: list[tuple[int, int, bytes]]) -> tuple[list, list, list]:
+    ``open`` are hashes of the windows at places ``at`` that a block beyond could repeat: those that its
+    group does not repeat, and one of each kind that it does. They are given for groups of hot anchors.
+    """
+    runs_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    names = ["key", "content", "runs", "at", "open"]
+    types = [pa.int64(), pa.int64(), runs_type, pa.list_(pa.int32()), pa.list_(pa.binary())]
+
+    def expand(rows: list[tuple]) -> pa.RecordBatch:
         parts, places, at = [], [], 0
-        for _, _, segment in rows:
+        for *_, segment in rows:
             parts += [np.frombuffer(segment, dtype=np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
             places.append(at)
             at += len(segment) + 1
-        flags = repeated_places(np.concatenate(parts), width)
-        keys, contents, runs = [], [], []
-        for place, (key, content, segment) in zip(places, rows, strict=True):
-            mine = _runs(flags[place : place + len(segment)])
-            if len(mine):
-                keys.append(key)
-                contents.append(content)
-                runs.append([{"begin": a, "end": b} for a, b in mine.tolist()])
-        return keys, contents, runs
+        flags, heads = repeated_places(np.concatenate(parts), width)
+        out: list[list] = [[], [], [], [], []]
+        for place, (*_, key, content, hot, segment) in zip(places, rows, strict=True):
+            windows = slice(place, place + len(segment) - width + 1)
+            mine = [{"begin": a, "end": b} for a, b in _runs(flags[windows]).tolist()]
+            rest = np.flatnonzero(~flags[windows] | heads[windows]).tolist() if hot else []
+            if mine or rest:
+                hashes = [hashlib.blake2b(segment[n : n + width], digest_size=16).digest() for n in rest]
+                for column, value in zip(out, (key, content, mine, rest, hashes), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
         size = 0
-
-        def flush() -> pa.RecordBatch:
-            keys, contents, runs = expand(held)
-            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(runs, kind)],
-                ["key", "content", "runs"],
-            )
-
         for batch in batches:
-            columns = (batch.column(n).to_pylist() for n in range(3))
-            for row in zip(*columns, strict=True):
-                # A block ends only between anchors.
-                if size > BLOCK_BYTES and row[0] != held[-1][0]:
-                    yield flush()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # A block ends only between groups.
+                if size > BLOCK_BYTES and row[: len(by)] != held[-1][: len(by)]:
+                    yield expand(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2]) + 1
+                size += len(row[-1]) + 1
         if held:
-            yield flush()
+            yield expand(held)
 
-    ordered = reps.select("key", "content", "segment").repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, f"key long, content long, runs {RUNS}")
+    groups = [F.col(c).alias(f"group{n}") for n, c in enumerate(by)]
+    rows = reps.select(*groups, "key", "content", "hot", "segment")
+    order = [f"group{n}" for n in range(len(by))]
+    ordered = rows.repartition(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, f"key long, content long, runs {RUNS}, at array<int>, open array<binary>")
 
 
-def _by_windows(reps: DataFrame, width: int) -> DataFrame:
-    """``(key, content, runs)``: the same for anchors with many segments, by counting windows."""
+def _hot_anchors(reps: DataFrame, width: int) -> DataFrame:
+    """``(key, content, runs)`` for anchors with many segments.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, content = (batch.column(n).to_numpy(zero_copy_only=False) for n in (0, 1))
-            out: list[list] = [[], [], [], []]
-            for row, segment in enumerate(batch.column(2).to_pylist()):
-                data = np.frombuffer(segment, dtype=np.uint8)
-                number = len(data) - width + 1
-                out[0].append(np.full(number, key[row]))
-                out[1].append(np.full(number, content[row]))
-                out[2].append(np.arange(number, dtype=np.int32))
-                out[3] += [hashlib.blake2b(segment[n : n + width], digest_size=16).digest() for n in range(number)]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(np.concatenate(x)) for x in out[:3]], pa.array(out[3], pa.binary())],
-                    ["key", "content", "at", "window"],
-                )
-
-    windows = materialize(
-        reps.select("key", "content", "segment").mapInArrow(run, "key long, content long, at int, window binary")
+    Their segments are dealt to groups of bounded size by content. Each group is expanded by itself; what
+    repeats across groups is found by counting the open windows.
+    """
+    blocks = materialize(
+        _by_blocks(
+            reps.withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts"))), width, ("key", "part")
+        )
+    )
+    opened = blocks.select("key", "content", F.explode(F.arrays_zip("at", "open")).alias("w")).select(
+        "key", "content", F.col("w.at").alias("at"), F.col("w.open").alias("window")
     )
     repeated = materialize(
-        windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("window")
+        opened.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("window")
     )
-    at = (
-        windows.join(repeated, "window", "left_semi")
+    across = (
+        opened.join(repeated, "window", "left_semi")
         .groupBy("key", "content")
         .agg(F.collect_list(F.struct(F.col("at").alias("begin"), (F.col("at") + 1).alias("end"))).alias("runs"))
     )
-    return at.select("key", "content", F.col("runs").cast(RUNS))
+    inside = blocks.where(F.size("runs") > 0).select("key", "content", "runs")
+    return inside.unionByName(across.select("key", "content", F.col("runs").cast(RUNS)))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -259,17 +257,21 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         )
         .select("key", "content", "n", "at.*", "mixed")
     )
+    number = F.count(F.lit(1))
     per_key = materialize(
-        distinct.where("mixed").groupBy("key").agg((F.count(F.lit(1)) > GROUP).alias("hot"))
+        distinct.where("mixed")
+        .groupBy("key")
+        .agg(F.ceil(number / GROUP).cast("int").alias("parts"))
     )
     # A segment that is repeated as a whole is settled; it goes on only as a partner for others.
     wanted = (
         distinct.where("mixed")
         .join(per_key, "key")
-        .select("key", "content", "hot", "doc", "tid", "start", (F.col("windows") + width - 1).alias("length"))
+        .select("key", "content", "parts", "doc", "tid", "start", (F.col("windows") + width - 1).alias("length"))
     )
-    reps = materialize(_bytes_of(docs, wanted))
-    partial = _by_blocks(reps.where(~F.col("hot")), width).unionByName(_by_windows(reps.where("hot"), width))
+    reps = materialize(_bytes_of(docs, wanted)).withColumn("hot", F.col("parts") > 1)
+    few = _by_blocks(reps.where(~F.col("hot")), width, ("key",)).select("key", "content", "runs")
+    partial = few.unionByName(_hot_anchors(reps.where("hot"), width))
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("windows").cast("int").alias("end"))).cast(RUNS)
     full = distinct.where(F.col("n") > 1).select("key", "content", whole.alias("runs"))
     marks = materialize(full.unionByName(partial))

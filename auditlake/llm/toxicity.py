@@ -85,13 +85,13 @@ class Voters:
 def without_copies(sample: list[tuple[int, set[str]]]) -> list[tuple[int, set[str]]]:
     """The sample without near copies, whose common words would look like marks.
 
-    A text goes if four of five MinHash values of its features agree with one that stays.
+    A text goes if four of five MinHash values of its words agree with one that stays.
     """
     factors = np.random.default_rng(5).integers(1, 2**31, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     seen: set[tuple] = set()
     kept = []
     for label, features in sample:
-        hashes = np.array([zlib.crc32(f.encode()) for f in features] or [0], dtype=np.uint64)
+        hashes = np.array([zlib.crc32(f.encode()) for f in features if not f.endswith("*")] or [0], dtype=np.uint64)
         least = ((hashes[:, None] * factors) & np.uint64(0xFFFFFFFF)).min(axis=0).tolist()
         fours = {(n, *least[:n], *least[n + 1 :]) for n in range(5)}
         if not fours & seen:
