@@ -36,6 +36,8 @@ PER_CLASS, MARKS, FEATURES = 2_000, 2_000, 4_000
 # A feature counts when chance explains its class balance in fewer than one of exp(14) cases; a mark is
 # also exp(4) times as frequent in toxic texts.
 SURPRISE, ODDS = 14.0, 4.0
+# Weight of a voter that does not fire.
+SILENCE = 0.5
 LEXICONS, SHORT_LISTS, LONG_LISTS = 8, 4, 4
 FOLDS, HELD_OUT = 5, 0
 KNOWN_WORDS = 300_000
@@ -146,13 +148,11 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability of class 1 for rows of votes.
 
-        A voter that does not fire abstains, because a short toxic text has few marks. Only where all
-        are silent does silence count, as strongly as the model says.
+        A voter that does not fire counts by ``SILENCE`` only, because a short toxic text has few marks.
         """
         fired = np.log(self.on_toxic / self.on_clean) * self.weight
-        silent = np.log((1 - self.on_toxic) / (1 - self.on_clean)) @ self.weight
-        odds = np.log(self.share / (1 - self.share)) + votes @ fired
-        odds = odds + np.where(votes.any(axis=1), 0.0, silent)
+        silent = np.log((1 - self.on_toxic) / (1 - self.on_clean)) * self.weight * SILENCE
+        odds = np.log(self.share / (1 - self.share)) + votes @ fired + (1 - votes) @ silent
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -166,11 +166,13 @@ def fit_label_model(together: np.ndarray, share: float, rounds: int = 10) -> Lab
     used = ~np.eye(voters, dtype=bool)
     correlated = np.zeros((voters, voters), dtype=bool)
     d = np.sqrt(np.maximum(rate * (1 - rate), 1e-12)) * 0.5
+    fires = rate > 0
     for _ in range(rounds):
         for _ in range(100):
+            # The median, so that a pair not yet known to be correlated does not pull the product up.
             fitted = np.array(
                 [
-                    covariance[j, used[j]] @ d[used[j]] / max(d[used[j]] @ d[used[j]], 1e-12)
+                    np.median(covariance[j, used[j] & fires] / d[used[j] & fires]) if (used[j] & fires).any() else 0
                     for j in range(voters)
                 ]
             )
@@ -221,7 +223,7 @@ def count_votes(docs: DataFrame, voters: Voters, text: str = "text") -> np.ndarr
 
 
 def train_linear(
-    features: list[set[str]], posterior: np.ndarray, steps: int = 800, rate: float = 1.0, decay: float = 1e-4
+    features: list[set[str]], posterior: np.ndarray, steps: int = 800, rate: float = 5.0, decay: float = 1e-4
 ) -> tuple[dict[str, float], float]:
     """Logistic regression on posterior labels: weights by feature, and the bias."""
     sums: dict[str, np.ndarray] = {}

@@ -1,5 +1,6 @@
 """License scan, search, classifiers, and the registered queries."""
 
+import random
 import re
 import zlib
 
@@ -119,24 +120,40 @@ def test_tree_boxes_are_tight_and_search_uses_the_known_score():
     assert kd_search.Tree.build(np.arange(50), np.ones((50, 3), np.int64), 4).search(np.ones((1, 3), np.int64), nobody[:1], 3)[0][0].tolist() == [0, 1, 2]
 
 
-def toxic_table(spark, rows=240):
-    texts = [(i, prose(i, 30 + i % 50) + (" grumbleton" * (i % 4 == 0)) + (" zonkish" * (i % 4 == 0 and i % 3 > 0))) for i in range(rows)]
+def letters(text):
+    """Words with letters in place of digits, as words end where digits begin."""
+    return text.translate(str.maketrans("0123456789", "bcdfghjklm"))
+
+
+TOXIC = "grumbleton zonkish fribblet snarkol wexlout dremmick plunderg quibbost vortigan hexaroon".split()
+
+
+def toxic_table(spark, rows=960):
+    """Every fourth text holds one to four of the toxic words."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(rows):
+        words = letters(prose(i, 30 + i % 50)).split()
+        if i % 4 == 0:
+            for word in rng.sample(TOXIC, rng.randint(1, 4)):
+                words.insert(rng.randrange(len(words)), word)
+        texts.append((i, " ".join(words)))
     labels = [(i, int(i % 4 == 0), int(i % 4 == 0)) for i in range(rows) if i % 7]
     return texts, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
 def test_toxicity(spark, make_docs):
     texts, labels = toxic_table(spark)
-    rows = texts + [(1000, None), (1001, ""), (None, "grumbleton zonkish"), (1002, "a " * 50_000 + "grumbleton zonkish")]
+    rows = texts + [(2000, None), (2001, ""), (None, "grumbleton zonkish"), (2002, "a " * 50_000 + "grumbleton zonkish")]
     found = toxicity.toxicity_scores(make_docs(rows), labels).collect()
     assert len(found) == len(rows)
     for r in found:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
-    wrong = [r for r in found if r.doc_id is not None and r.doc_id < 1000 and r.predicted != (r.doc_id % 4 == 0)]
-    assert len(wrong) <= 5
-    special = {r.doc_id: r.predicted for r in found if r.doc_id is None or r.doc_id >= 1000}
-    assert special == {1000: 0, 1001: 0, None: 1, 1002: 1}
+    wrong = [r for r in found if r.doc_id is not None and r.doc_id < 2000 and r.predicted != (r.doc_id % 4 == 0)]
+    assert len(wrong) <= 20
+    special = {r.doc_id: r.predicted for r in found if r.doc_id is None or r.doc_id >= 2000}
+    assert special == {2000: 0, 2001: 0, None: 1, 2002: 1}
 
 
 def test_toxicity_uses_no_held_out_labels(spark, make_docs):
