@@ -16,9 +16,15 @@ A document's set are its distinct 2-word shingles; documents link when 100 * int
 
 **No list is expanded to all pairs.** In a first round each list is merged with one pivot only, the class
 whose values are the most widely shared (the original of a group of near copies), which is linear. Links
-found make components. The second round completes the search: in a list, pairs inside one component
-need no look, so only classes outside the list's main component are merged with the rest. Together both
-rounds look at every pair of the list that could join two components.
+found make components. The second round completes the search: in a list, pairs inside one component need
+no look, so only classes outside the list's main component are merged with the rest. Where that is more
+than ``GROUP_PAIRS`` pairs for one main component, as with many copies just below the limit around a
+large group, both sides are compared block by block inside tasks, and only links leave them. Together
+the rounds look at every pair of a list that could join two components.
+
+Before, an exact bound takes out what cannot link: members of a set that no other posted set has are
+counted, and two sets can have at most the smaller number of the others in common. Heavily edited copies
+of a text, which are near a large group but below the limit, end there.
 
 Skewed lists are hot keys of joins with a plain exchange on either side, which Spark splits, and all
 counts combine before their shuffles. Intermediate tables lie in the shared folder.
@@ -41,6 +47,8 @@ from auditlake.llm.components import components
 COORDINATES, MATCHES, OVERLAP = 64, 36, 4
 PREFIX = COORDINATES - MATCHES + OVERLAP
 SIMILAR, OF = 80, 100
+# Groups with more pairs than this to look at are compared in blocks of so many classes.
+GROUP_PAIRS, BLOCK_OUTSIDE, BLOCK_ALL = 16_384, 128, 256
 
 _RANDOM = np.random.default_rng(7)
 _FACTORS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,9 +163,63 @@ def _postings(classes: DataFrame) -> DataFrame:
     )
 
 
-def _sizes_fit(n: str | Column, m: str | Column) -> Column:
-    n, m = (F.col(x) if isinstance(x, str) else x for x in (n, m))
-    return (F.least(n, m) * OF) >= (F.greatest(n, m) * SIMILAR)
+def _can_link(n: str, most: str, m: str, most_m: str) -> Column:
+    """Whether sets of sizes ``n`` and ``m`` with so many shared members can be similar enough."""
+    common = F.least(most, most_m)
+    return common * OF >= (F.col(n) + F.col(m) - common) * SIMILAR
+
+
+def _full_sets(postings: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(doc, n, signature, shingles)`` of every class that is posted."""
+    needed = postings.select(F.col("rep").alias("doc")).distinct()
+    of_class = classes.select(F.col("rep").alias("doc"), "n", "signature", "digest")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            made = [shingle_set(t).tobytes() for t in texts_of(batch.column(1))]
+            digest = [hashlib.blake2b(m, digest_size=16).digest() for m in made]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(made, pa.binary()), pa.array(digest, pa.binary())],
+                ["doc", "shingles", "digest"],
+            )
+
+    # By digest too, because an identifier can come with several texts.
+    return materialize(
+        docs.select("doc", "text")
+        .join(needed, "doc")
+        .mapInArrow(sets, "doc long, shingles binary, digest binary")
+        .dropDuplicates(["doc", "digest"])
+        .join(of_class, ["doc", "digest"])
+        .select("doc", "n", "signature", "shingles")
+    )
+
+
+def _most_shared(full: DataFrame) -> DataFrame:
+    """``(rep, most)``: how many members of a set are in another set as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            parts = [np.frombuffer(raw, dtype=np.int64) for raw in batch.column(1).to_pylist()]
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(doc, [len(p) for p in parts])), pa.array(np.concatenate(parts))],
+                    ["doc", "shingle"],
+                )
+
+    members = full.select("doc", "shingles").mapInArrow(run, "doc long, shingle long")
+    alone = (
+        members.groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("doc"))
+        .where(F.col("df") == 1)
+        .groupBy("doc")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    return (
+        full.join(alone, "doc", "left")
+        .groupBy(F.col("doc").alias("rep"))
+        .agg(F.max(F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    )
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
@@ -170,28 +232,24 @@ def _counted(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs whose signatures match often enough and whose full sets are similar."""
-    pairs = materialize(pairs)
-    needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc", "text").join(needed, "doc")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            made = [shingle_set(t).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc", "shingles"])
-
-    full = materialize(
-        texts.mapInArrow(sets, "doc long, shingles binary")
-        .join(classes.select(F.col("rep").alias("doc"), "signature"), "doc")
-        .dropDuplicates(["doc"])
-    )
 
     def side(name: str) -> DataFrame:
         return full.select(F.col("doc").alias(name), F.struct("signature", "shingles").alias(f"{name}_set"))
 
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select(
-        "a", "b", "a_set.signature", F.col("b_set.signature").alias("other"), "a_set.shingles", F.col("b_set.shingles").alias("others")
+    joined = (
+        materialize(pairs)
+        .join(side("b"), "b")
+        .join(side("a"), "a")
+        .select(
+            "a",
+            "b",
+            "a_set.signature",
+            F.col("b_set.signature").alias("other"),
+            "a_set.shingles",
+            F.col("b_set.shingles").alias("others"),
+        )
     )
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,26 +272,39 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return materialize(joined.mapInArrow(confirm, "a long, b long"))
 
 
+def _pivot() -> Column:
+    """A list's pivot: the most widely shared class, of several the least identifier."""
+    return F.max(F.struct("spread", (-F.col("rep")).alias("minus"), "n", "most")).alias("p")
+
+
+def _of_pivot() -> list[Column]:
+    return [
+        (-F.col("p.minus")).alias("pivot"),
+        F.col("p.n").alias("pivot_n"),
+        F.col("p.most").alias("pivot_most"),
+    ]
+
+
 def _pivot_pairs(postings: DataFrame) -> DataFrame:
     """Every class of a list with the list's most widely shared class."""
     pivots = materialize(
         postings.groupBy("key")
-        .agg(F.max(F.struct("spread", (-F.col("rep")).alias("minus"), "n")).alias("p"), F.count(F.lit(1)).alias("c"))
+        .agg(_pivot(), F.count(F.lit(1)).alias("c"))
         .where(F.col("c") > 1)
-        .select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"))
+        .select("key", *_of_pivot())
     )
     return (
         postings.join(pivots, "key")
-        .where((F.col("rep") != F.col("pivot")) & _sizes_fit("n", "pivot_n"))
+        .where((F.col("rep") != F.col("pivot")) & _can_link("n", "most", "pivot_n", "pivot_most"))
         .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     )
 
 
-def _crossing_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a list in different components, by the classes outside its main component."""
+def _mixed_lists(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings of lists that have several components, with ``component`` and the list's ``main`` one."""
     labelled = materialize(
-        postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "n", F.coalesce("component", "rep").alias("component")
+        postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+            "component", F.coalesce("component", "rep")
         )
     )
     main = materialize(
@@ -244,9 +315,94 @@ def _crossing_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
         .where(F.col("parts") > 1)
         .select("key", F.col("m.component").alias("main"))
     )
-    mixed = materialize(labelled.join(main, "key"))
+    return materialize(labelled.join(main, "key"))
+
+
+def _links_in_blocks(members: DataFrame, full: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between classes outside a main component and all classes of its lists, at least
+    one for every two components that a class joins.
+
+    ``members`` are ``(main, rep, component, outside, all)`` with the numbers of either kind. Both sides
+    are dealt to blocks of bounded size and every pair of blocks is compared in one task, so that a group
+    sends each of its sets to a few blocks instead of to every partner.
+    """
+    sets = full.select(F.col("doc").alias("rep"), "signature", "shingles")
+    rows = (
+        members.join(sets, "rep")
+        .withColumn("x_blocks", F.ceil(F.col("outside") / BLOCK_OUTSIDE).cast("int"))
+        .withColumn("y_blocks", F.ceil(F.col("all") / BLOCK_ALL).cast("int"))
+    )
+    fields = ("main", "x", "y", "rep", "component", "signature", "shingles")
+
+    def dealt(rows: DataFrame, own: str, other: str, seed: int) -> DataFrame:
+        place = F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(f"{own}_blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+        return rows.withColumn(own, place).withColumn(other, every).select(*[F.col(c).alias(c) for c in fields])
+
+    xs = dealt(rows.where(F.col("component") != F.col("main")), "x", "y", 1)
+    ys = dealt(rows, "y", "x", 2)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            x, y = (t["rep"].to_numpy() for t in (left, right))
+            x_part, y_part = (t["component"].to_numpy() for t in (left, right))
+            y_out = y_part != right["main"].to_numpy()
+            x_sig, y_sig = (
+                np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+                for t in (left, right)
+            )
+            y_sets = [np.frombuffer(raw, np.uint64) for raw in right["shingles"].to_pylist()]
+            sizes = np.array([len(s) for s in y_sets])
+            owner = np.repeat(np.arange(len(y)), sizes)
+            pooled = np.concatenate(y_sets)
+            order = np.argsort(pooled)
+            pooled, owner = pooled[order], owner[order]
+            for row, raw in enumerate(left["shingles"].to_pylist()):
+                wanted = (y_part != x_part[row]) & (~y_out | (x[row] < y))
+                wanted &= (y_sig == x_sig[row]).sum(axis=1) >= MATCHES
+                if not wanted.any():
+                    continue
+                mine = np.frombuffer(raw, np.uint64)
+                begin, end = np.searchsorted(pooled, mine), np.searchsorted(pooled, mine, side="right")
+                edges = np.zeros(len(pooled) + 1, dtype=np.int32)
+                np.add.at(edges, begin, 1)
+                np.add.at(edges, end, -1)
+                common = np.bincount(owner[np.cumsum(edges[:-1]) > 0], minlength=len(y))
+                linked = wanted & (OF * common >= SIMILAR * (sizes + len(mine) - common))
+                # One link joins a component as well as many do.
+                _, some = np.unique(y_part[linked], return_index=True)
+                a += [int(x[row])] * len(some)
+                b += y[linked][some].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialize(
+        xs.groupBy("main", "x", "y").cogroup(ys.groupBy("main", "x", "y")).applyInArrow(compare, "a long, b long")
+    )
+
+
+def _crossing_links(postings: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
+    """The links between different components: by pairs in small groups, by blocks in large ones."""
+    mixed = _mixed_lists(postings, found)
+    members = materialize(mixed.select("main", "rep", "component").distinct())
+    outside = F.sum((F.col("component") != F.col("main")).cast("long"))
+    large = materialize(
+        members.groupBy("main")
+        .agg(outside.alias("outside"), F.count(F.lit(1)).alias("all"))
+        .where(F.col("outside") * F.col("all") > GROUP_PAIRS)
+    )
+    by_pairs = _confirmed(_counted(_crossing_pairs(mixed.join(large, "main", "left_anti"))), full)
+    return by_pairs.unionByName(_links_in_blocks(members.join(large, "main"), full))
+
+
+def _crossing_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of a list in different components, by the classes outside its main component."""
     outside = mixed.where(F.col("component") != F.col("main")).select(
-        "key", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component")
+        "key",
+        F.col("rep").alias("x"),
+        F.col("n").alias("x_n"),
+        F.col("most").alias("x_most"),
+        F.col("component").alias("x_component"),
     )
     in_main = F.col("component") == F.col("main")
     return (
@@ -254,7 +410,7 @@ def _crossing_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
         .where(
             (F.col("component") != F.col("x_component"))
             & (in_main | (F.col("x") < F.col("rep")))
-            & _sizes_fit("n", "x_n")
+            & _can_link("n", "most", "x_n", "x_most")
         )
         .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
     )
@@ -278,10 +434,14 @@ def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
         .agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     )
     postings = materialize(_postings(classes))
-    # An identifier that comes with several texts can stand for several classes.
-    star = _confirmed(_counted(_pivot_pairs(postings)), known, classes)
-    rest = _confirmed(_counted(_crossing_pairs(postings, components(star))), known, classes)
-    found = materialize(components(star.unionByName(rest)))
+    full = _full_sets(postings, known, classes)
+    # A set with too many members of its own is similar to no other.
+    postings = postings.join(_most_shared(full), "rep").where(F.col("most") * OF >= F.col("n") * SIMILAR)
+    postings = materialize(postings)
+    links = _confirmed(_counted(_pivot_pairs(postings)), full)
+    found = components(links)
+    rest = _crossing_links(postings, found, full)
+    found = materialize(components(links.unionByName(rest)))
     of_class = materialize(
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
             "digest", F.coalesce("component", "rep").alias("component")

