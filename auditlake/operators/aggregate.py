@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import classify
 from auditlake.functions import fixed_values as fx
-from auditlake.operators.parse import run_metric_columns, second_text
+from auditlake.operators.parse import run_metric_columns, second_text, unparsed_line
 from auditlake.profiles import PYTHON, Profile
 
 
@@ -155,7 +155,10 @@ def concurrency_by_category(
 
 
 def file_totals(ops: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """``(file, total_ops, read_ops, ...)``; files of ``files`` without any record show zeros."""
+    """``(file, total_ops, read_ops, ...)``; files of ``files`` without any record show zeros.
+
+    A file that has records and is not in ``files`` still shows, with file index -1.
+    """
     counts = ops.groupBy("file").agg(
         F.sum("n").alias("total_ops"),
         *[F.sum(F.when(F.col("op_type") == t, F.col("n")).otherwise(0)).alias(f"{t}_ops")
@@ -163,9 +166,14 @@ def file_totals(ops: DataFrame, files: DataFrame | None = None) -> DataFrame:
     )
     if files is None:
         return counts
-    return files.join(counts, "file", "left").na.fill(0)
+    listed = files.join(counts, "file", "left").na.fill(0)
+    others = counts.join(files.select("file"), "file", "left_anti")
+    if "file_index" in files.columns:
+        others = others.withColumn("file_index", F.lit(-1).cast("bigint"))
+    return listed.unionByName(others)
 
 
-def run_metrics(parsed: DataFrame) -> DataFrame:
-    """One row of line counts."""
-    return parsed.agg(*run_metric_columns())
+def run_metrics(parsed: DataFrame, profile: Profile = PYTHON) -> DataFrame:
+    """One row of line counts; ``unparsed`` counts the lines that the profile lists as rejects."""
+    unparsed = F.count_if(unparsed_line(profile)).alias("unparsed")
+    return parsed.agg(*run_metric_columns(), unparsed)

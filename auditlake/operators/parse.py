@@ -77,6 +77,20 @@ def run_metric_columns() -> list[Column]:
     return [F.expr(f"count_if({test}) AS {name}") for name, test in counts.items()]
 
 
+def unparsed_line(profile: Profile = PYTHON) -> Column:
+    """Whether a line is on the profile's reject list.
+
+    Profile A lists only lines whose statement is empty after the cut, profile E every line that is
+    not counted, and P those that are neither counted nor ignored.
+    """
+    reason = F.col("reject_reason")
+    if profile.name == "A":
+        return reason.eqNullSafe("empty_stmt")
+    if profile.name == "E":
+        return reason.isNotNull()
+    return reason.isNotNull() & ~reason.isin(IGNORED, IGNORED_AFTER_CUT)
+
+
 def records(parsed: DataFrame) -> DataFrame:
     """Only the rows that are counted."""
     return parsed.where(F.col("reject_reason").isNull())

@@ -20,6 +20,8 @@ from auditlake.session import materialize
 
 # About 200 bytes per block (mostly the file path): at most some 50 MB per executor.
 MAX_BROADCAST_BLOCKS = 250_000
+# Place of a file that is not in the file list.
+UNLISTED = 999_999_999
 
 
 def pattern_column(profile: Profile = PYTHON) -> Column:
@@ -69,11 +71,12 @@ def merge_pattern_counts(per_file: DataFrame, files: DataFrame) -> DataFrame:
 
     ``files`` gives every ``file`` its ``file_index``. ``first_pos`` orders by file and then by place
     in the file. The join is on already aggregated rows; Spark decides by size whether to broadcast.
+    Patterns of a file that is not listed count too, and come after those of all listed files.
     """
-    place = F.col("file_index").cast("decimal(10,0)") * F.lit("1" + 28 * "0").cast("decimal(29,0)")
+    place = F.coalesce("file_index", F.lit(UNLISTED)).cast("decimal(10,0)") * F.lit("1" + 28 * "0").cast("decimal(29,0)")
     first_pos = (place + F.col("first_pos").cast("decimal(28,0)")).cast("decimal(38,0)")
     return (
-        per_file.join(files.select("file", "file_index"), "file")
+        per_file.join(files.select("file", "file_index"), "file", "left")
         .groupBy("pattern")
         .agg(F.sum("n").alias("n"), F.min(first_pos).alias("first_pos"))
     )

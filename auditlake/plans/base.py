@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators import aggregate, patterns
-from auditlake.operators.parse import IGNORED, IGNORED_AFTER_CUT
+from auditlake.operators.parse import IGNORED, IGNORED_AFTER_CUT, unparsed_line
 from auditlake.profiles import PYTHON, Profile
 from auditlake.session import materialize
 
@@ -71,5 +71,6 @@ def base_aggregates(
             lines_where(reason.isNull()).alias("operations"),
             lines_where(reason.isNotNull() & ignored).alias("ignored"),
             lines_where(reason.isNotNull() & ~ignored).alias("rejected"),
+            lines_where(unparsed_line(profile)).alias("unparsed"),
         ),
     )

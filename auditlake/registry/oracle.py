@@ -325,6 +325,11 @@ SELECT count(*) AS lines,
   count(*) FILTER (reason IN ('ignored', 'ignored_after_cut')) AS ignored,
   count(*) FILTER (reason NOT IN ('ignored', 'ignored_after_cut')) AS rejected
 FROM judged"""
+UNPARSED = {
+    "P": "reason NOT IN ('ignored', 'ignored_after_cut')",
+    "A": "reason = 'empty_stmt'",
+    "E": "reason IS NOT NULL",
+}
 
 OPS = "SELECT op_type, op_category, second, n FROM cells"
 CATEGORIES = "SELECT op_type, op_category, count(*) AS n FROM rec GROUP BY ALL"
@@ -334,6 +339,12 @@ REJECTS_E = "SELECT event_id, line FROM judged WHERE reason IS NOT NULL"
 REJECTS_A = "SELECT event_id, line FROM judged WHERE reason = 'empty_stmt'"
 
 
+def _metrics(profile: str) -> str:
+    """The line counts with the profile's count of rejected lines."""
+    more = f",\n  count(*) FILTER ({UNPARSED[profile]}) AS unparsed\nFROM judged"
+    return _sql(profile, METRICS.replace("\nFROM judged", more), IGNORE)
+
+
 def _long(section: str, table: str, item: str, measures: list[str], where: str = "TRUE") -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{section}' AS section, {item} AS item, '{m}' AS metric, CAST({m} AS DOUBLE) AS value "
@@ -426,9 +437,9 @@ SELECT count(*) AS total_operations, count(*) FILTER (op_type = 'read') AS read_
         "rejects_a": _sql("A", REJECTS_A, IGNORE),
         "rejects_e": _sql("E", REJECTS_E, IGNORE),
         "reject_sample": _sql("A", REJECTS_A + " ORDER BY event_id LIMIT 10", IGNORE),
-        "run_metrics": metrics,
-        "run_metrics_a": _sql("A", METRICS, IGNORE),
-        "run_metrics_e": _sql("E", METRICS, IGNORE),
+        "run_metrics": _metrics("P"),
+        "run_metrics_a": _metrics("A"),
+        "run_metrics_e": _metrics("E"),
         "observed_metrics_csv": metrics,
         "report_single": report_single,
         "report_merged": _report(

@@ -110,7 +110,7 @@ def _reject_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(profile: Profile) -> Query:
-    return lambda s, d: aggregate.run_metrics(_parsed(s, d, profile, IGNORE))
+    return lambda s, d: aggregate.run_metrics(_parsed(s, d, profile, IGNORE), profile)
 
 
 def _sections(df: DataFrame, op_types: Sequence[str]) -> DataFrame:

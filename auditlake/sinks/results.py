@@ -2,9 +2,8 @@
 
 A result is a folder. ``result`` holds one JSON object with the bounded parts (totals, at most 22
 categories, concurrency). Parts that grow with the logs, which are the pattern dictionary and the
-per-file totals, are written as JSON lines in folders beside it, in parallel and always whole. They
-also appear inside the one object while they are small (``embed_rows``), where a single row can hold
-them safely.
+per-file totals, are written as JSON lines in folders beside it, in parallel and always whole. The
+object names these folders, and has the same fields at every size.
 """
 
 from __future__ import annotations
@@ -16,17 +15,12 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import fixed_values as fx
 
-EMBED_ROWS = 10_000
 OVERALL = ("max_concurrency", "avg_concurrency", "total_seconds")
 BY_CATEGORY = (
     "max_concurrency", "min_concurrency", "avg_concurrency", "total_operations", "active_seconds",
 )
 
 
-def _fits(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def _write_lines(df: DataFrame, path: str) -> DataFrame:
     """Write as JSON lines and read back, so that later steps do not compute the rows again."""
     df.write.mode("overwrite").json(path)
@@ -63,10 +57,10 @@ def _overall(op_type: str) -> Column:
     return _pick("overall", op_type, F.struct(*OVERALL)).alias("overall")
 
 
-def write_result(report: dict[str, DataFrame], path: str, embed_rows: int = EMBED_ROWS) -> None:
+def write_result(report: dict[str, DataFrame], path: str) -> None:
     """Result of a single log: summary, five sections, patterns, line counts of the run."""
     counts = report["pattern_counts"].select("pattern", "n")
-    dictionary = _write_lines(counts, f"{path}/sql_patterns")
+    counts.write.mode("overwrite").json(f"{path}/sql_patterns")
 
     parts = [
         _kind("totals", report["totals"]),
@@ -74,12 +68,6 @@ def write_result(report: dict[str, DataFrame], path: str, embed_rows: int = EMBE
         _kind("category", report["concurrency_by_category"]),
         _kind("run", report["run_metrics"]),
     ]
-    is_pattern = F.col("kind") == "pattern"
-    patterns = []
-    if _fits(dictionary, embed_rows):
-        parts.append(_kind("pattern", dictionary))
-        patterns = [_map_of(is_pattern, "pattern", F.col("n")).alias("sql_patterns")]
-
     def section(op_type: str) -> Column:
         here = (F.col("kind") == "category") & (F.col("op_type") == op_type)
         detail = _map_of(here, "op_category", F.struct(*BY_CATEGORY)).alias("by_type")
@@ -88,43 +76,31 @@ def write_result(report: dict[str, DataFrame], path: str, embed_rows: int = EMBE
             F.struct(_overall(op_type), detail).alias("concurrency"),
         ).alias(f"{op_type}_operations")
 
-    run = ("lines", "parsed", "operations", "ignored", "rejected")
+    run = ("lines", "parsed", "operations", "ignored", "rejected", "unparsed")
     monitoring = F.struct(
         *[F.first(F.when(F.col("kind") == "run", F.col(c)), ignorenulls=True).alias(c) for c in run]
     ).alias("processing_monitoring")
     result = _one_row(parts).agg(
-        _summary().alias("summary"), *[section(t) for t in fx.OP_TYPES], *patterns, monitoring
+        _summary().alias("summary"),
+        *[section(t) for t in fx.OP_TYPES],
+        F.lit("sql_patterns").alias("sql_patterns_folder"),
+        monitoring,
     )
     result.write.mode("overwrite").json(f"{path}/result")
 
 
-def write_merged_result(
-    report: dict[str, DataFrame], path: str, embed_rows: int = EMBED_ROWS
-) -> None:
+def write_merged_result(report: dict[str, DataFrame], path: str) -> None:
     """Result of several logs: file list with totals, merged summary and concurrency, patterns."""
     merged = report["pattern_counts"].select("pattern", "n")
-    dictionary = _write_lines(merged, f"{path}/combined_sql_patterns")
+    merged.write.mode("overwrite").json(f"{path}/combined_sql_patterns")
     files = _write_lines(report["file_totals"], f"{path}/file_stats")
 
-    counts = ["total_ops", *[f"{t}_ops" for t in fx.OP_TYPES]]
     parts = [
         _kind("totals", report["totals"]),
         _kind("overall", report["concurrency_all_types"]),
         _kind("files", files.agg(F.count(F.lit(1)).alias("total_files"))),
     ]
-    total_files = F.max("total_files").alias("total_files")
-    file_info, patterns = [total_files], []
-    if _fits(files, embed_rows):
-        parts.append(_kind("file", files.select("file", *counts)))
-        is_file = F.col("kind") == "file"
-        file_info += [
-            F.sort_array(F.collect_list(F.when(is_file, F.col("file")))).alias("files"),
-            _map_of(is_file, "file", F.struct(*counts)).alias("file_stats"),
-        ]
-    if _fits(dictionary, embed_rows):
-        parts.append(_kind("pattern", dictionary))
-        is_pattern = F.col("kind") == "pattern"
-        patterns = [_map_of(is_pattern, "pattern", F.col("n")).alias("combined_sql_patterns")]
+    file_info = [F.max("total_files").alias("total_files"), F.lit("file_stats").alias("file_stats_folder")]
     result = _one_row(parts).agg(
         F.struct(*file_info).alias("file_info"),
         _summary().alias("combined_summary"),
@@ -132,7 +108,7 @@ def write_merged_result(
             F.struct(F.struct(_overall(t)).alias("concurrency")).alias(f"combined_{t}_operations")
             for t in fx.OP_TYPES
         ],
-        *patterns,
+        F.lit("combined_sql_patterns").alias("sql_patterns_folder"),
     )
     result.write.mode("overwrite").json(f"{path}/result")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from collections.abc import Sequence
 from urllib.parse import unquote
@@ -16,59 +15,45 @@ ROW_BITS = 33
 
 
 def file_name(path: Column) -> Column:
-    """File URI as reports show it: local files as plain paths, all others unchanged."""
-    return F.when(path.startswith("file:/"), F.substring(path, 6, 1 << 30)).otherwise(path)
+    """File URI as reports show it: decoded, and local files as plain paths."""
+    # The URI decoder would read a plus sign as a space.
+    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.startswith("file:/"), F.regexp_replace(path, "^file:/+", "/")).otherwise(path)
 
 
-def _plain(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path)
+def _plain(uri: str) -> str:
+    return re.sub(r"^file:/+", "/", unquote(uri))
 
 
-def _path_part(uri: str) -> str:
-    """The path of a URI without scheme and authority."""
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "", uri)
-
-
-def _read_text(spark: SparkSession, paths: list[str], skip_unreadable: bool) -> DataFrame | None:
-    """Text reader over the paths that can be resolved; None without any. One listing if all can."""
-    reader = spark.read
-    if not skip_unreadable:
-        return reader.text(paths)
-    reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
-    try:
-        return reader.text(paths)
-    except AnalysisException:
-        found = [p for p in paths if _resolves(spark, p)]
-    return reader.text(found) if found else None
-
-
-def _resolves(spark: SparkSession, path: str) -> bool:
+def _read_text(spark: SparkSession, path: str, skip_missing: bool) -> DataFrame | None:
+    """Text reader over one argument; None if it names no file and that is allowed."""
     try:
-        spark.read.text(path)
-    except AnalysisException:
-        return False
-    return True
+        return spark.read.text(path)
+    except AnalysisException as error:
+        if skip_missing and error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_lines(
-    spark: SparkSession, paths: str | Sequence[str], skip_unreadable: bool = True
+    spark: SparkSession, paths: str | Sequence[str], skip_missing: bool = False
 ) -> DataFrame:
     """``(file, block_start, rid, line)`` of all files, in one parallel scan.
 
-    A path listed twice is read twice. With ``skip_unreadable`` missing paths, and files that vanish
-    or break off while being read, are skipped. Large files are split, so one file that holds most
-    of the data is still read by many tasks; only compressed files are read whole.
+    A path listed twice is read twice. A path that names no file fails the call, or is left out with
+    ``skip_missing``; ``file_list`` then still lists it. A file that breaks off while being read fails
+    the job in any case: half a file never enters a count. Large files are split, so one file that
+    holds most of the data is still read by many tasks; only compressed files are read whole.
 
     ``rid`` increases along the lines of a block; ``(file, block_start, rid)`` is the line order.
     These columns must be computed before any shuffle, which is why they are made here.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = _read_text(spark, paths, skip_unreadable)
-    if lines is None:
-        return spark.createDataFrame(
-            [], "file string, block_start bigint, rid bigint, line string"
-        )
-    return lines.select(
+    if skip_missing:
+        paths = [p for p in paths if _read_text(spark, p, True) is not None]
+    if not paths:
+        return spark.createDataFrame([], "file string, block_start bigint, rid bigint, line string")
+    return spark.read.text(paths).select(
         file_name(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("rid"),
@@ -87,31 +72,21 @@ def with_line_position(lines: DataFrame) -> DataFrame:
     return lines.withColumn("pos", (start + row).cast("decimal(28,0)"))
 
 
-def file_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``(file, file_index)``: all files behind ``paths`` in argument order.
+def file_list(
+    spark: SparkSession, paths: str | Sequence[str], skip_missing: bool = False
+) -> DataFrame:
+    """``(file, file_index)``: all files behind ``paths`` in argument order, named as in the lines.
 
-    Files of a folder or wildcard are ordered by name. A path that does not exist stays in the list,
-    so that per-file reports can show it with zeros. Only names are listed; no file is read.
+    Spark itself resolves every argument, so relative paths, wildcards, ``{a,b}`` and ``..`` give the
+    names that the scan gives. Files of a folder or wildcard are ordered by name. A path without files
+    fails, or with ``skip_missing`` stays in the list, so that per-file reports show it with zeros.
+    Only names are listed; no file is read.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = _read_text(spark, paths, skip_unreadable=True)
-    found = sorted({_plain(p) for p in lines.inputFiles()}) if lines is not None else []
-    # Listed files are URL-encoded and carry a scheme; arguments may do without both.
-    readable = {f: (unquote(f), _path_part(unquote(f))) for f in found}
-    by_name = {name: f for f, names in readable.items() for name in (*names, f)}
     ordered: dict[str, None] = {}
-    for path in paths:
-        path = _plain(path).rstrip("/")
-        if path in by_name:
-            ordered.setdefault(by_name[path])
-            continue
-        inside = [f for f, names in readable.items() if any(_covers(path, n) for n in (*names, f))]
-        for file in inside or [path]:
+    for path in [paths] if isinstance(paths, str) else paths:
+        lines = _read_text(spark, path, skip_missing)
+        files = [_plain(path)] if lines is None else sorted({_plain(f) for f in lines.inputFiles()})
+        for file in files:
             ordered.setdefault(file)
     rows = [(file, index) for index, file in enumerate(ordered)]
     return spark.createDataFrame(rows, "file string, file_index bigint")
-
-
-def _covers(path: str, name: str) -> bool:
-    """Whether a folder or wildcard argument stands for this file."""
-    return name.startswith(path + "/") or fnmatch.fnmatch(name, path)

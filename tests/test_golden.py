@@ -232,4 +232,4 @@ def test_empty_log(spark, lines, profile):
     }
     overall = aggregate.concurrency_overall(ops, p).collect()
     assert len(overall) == 5 and all(tuple(r)[1:] == (0, 0.0, 0) for r in overall)
-    assert tuple(aggregate.run_metrics(empty).first()) == (0, 0, 0, 0, 0)
+    assert tuple(aggregate.run_metrics(empty).first()) == (0, 0, 0, 0, 0, 0)

@@ -1,5 +1,6 @@
 """Invariants, order of ties, limits, several files, streams, sinks and plan shapes."""
 
+import gzip
 import json
 import re
 
@@ -57,7 +58,7 @@ def test_sums_agree(parsed, profile):
         assert r.min_concurrency <= r.max_concurrency
         assert r.min_concurrency <= r.avg_concurrency + 0.01
         assert r.avg_concurrency <= r.max_concurrency
-    metrics = aggregate.run_metrics(parsed[profile.name]).first()
+    metrics = aggregate.run_metrics(parsed[profile.name], profile).first()
     assert metrics.operations == totals["total"]
     assert metrics.lines == metrics.operations + metrics.ignored + metrics.rejected
 
@@ -67,7 +68,7 @@ def test_one_pass_equals_separate_queries(parsed, profile):
     both = base.base_aggregates(parsed[profile.name], profile)
     assert rows(both.ops) == rows(aggregate.ops_per_second(parsed[profile.name], profile))
     assert rows(both.patterns) == rows(patterns.pattern_counts(parsed[profile.name], profile))
-    assert rows(both.line_counts) == rows(aggregate.run_metrics(parsed[profile.name]))
+    assert rows(both.line_counts) == rows(aggregate.run_metrics(parsed[profile.name], profile))
 
 
 def test_result_does_not_depend_on_partitions(spark, sf_dir):
@@ -215,12 +216,12 @@ def test_several_files(spark, tmp_path):
     empty = write(tmp_path / "empty.log", [])
     missing = str(tmp_path / "missing.log")
     paths = [b, a, spaced, empty, missing]
-    files = text.file_list(spark, paths)
-    lines = text.with_line_position(text.read_lines(spark, paths))
+    files = text.file_list(spark, paths, skip_missing=True)
+    lines = text.with_line_position(text.read_lines(spark, paths, skip_missing=True))
     report = reports.merged_report(lines, files)
     totals = {r.file: (r.total_ops, r.schema_change_ops) for r in report["file_totals"].collect()}
     assert totals[b] == (2, 2) and totals[a] == (2, 2) and totals[missing] == (0, 0)
-    assert totals[empty] == (0, 0) and totals[spaced.replace(" ", "%20")] == (1, 1)
+    assert totals[empty] == (0, 0) and totals[spaced] == (1, 1)
     assert len(totals) == 5
     top = report["top_patterns"].orderBy("rank").collect()
     assert [r.pattern for r in top] == ["DROP TABLE b", "DROP TABLE a"]
@@ -235,9 +236,13 @@ def test_a_file_listed_twice_counts_twice(spark, tmp_path):
 
 def test_only_missing_files(spark, tmp_path):
     missing = str(tmp_path / "none.log")
-    df = parse.parse_lines(text.read_lines(spark, missing))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        text.read_lines(spark, missing)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        text.file_list(spark, missing)
+    df = parse.parse_lines(text.read_lines(spark, missing, skip_missing=True))
     assert aggregate.totals(aggregate.ops_per_second(df)).agg(F.sum("n")).first()[0] == 0
-    assert text.file_list(spark, missing).count() == 1
+    assert text.file_list(spark, missing, skip_missing=True).count() == 1
 
 
 def test_file_list_order(spark, tmp_path):
@@ -279,18 +284,42 @@ def test_changed_splits_fail_instead_of_giving_a_wrong_limit(spark, lines, monke
         patterns.first_records(df, 7, ["block"], "pos").collect()
 
 
-def test_file_list_of_remote_files(monkeypatch, spark):
-    """Arguments without scheme match listed files that carry scheme and host."""
-
-    class Listed:
-        def inputFiles(self):
-            return ["hdfs://nn:8020/logs/b%201.log", "hdfs://nn:8020/logs/a.log", "s3a://bucket/x/c.log"]
-
-    monkeypatch.setattr(text, "_read_text", lambda *a, **k: Listed())
-    listed = text.file_list(spark, ["/logs/b 1.log", "s3a://bucket/x", "/logs/*", "/none"])
-    assert [r.file for r in listed.orderBy("file_index").collect()] == [
-        "hdfs://nn:8020/logs/b%201.log", "s3a://bucket/x/c.log", "hdfs://nn:8020/logs/a.log", "/none",
-    ]
+def test_path_forms_lose_nothing(spark, tmp_path, monkeypatch):
+    """Relative paths, wildcards and odd names: file totals, totals and patterns agree."""
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "logs").mkdir()
+    for name in ("a.log", "b.log", "c d+%.log"):
+        write(tmp_path / "logs" / name, [json_line(f"DROP TABLE {name[0]}")] * 2)
+    folder = tmp_path / "logs"
+    forms = [
+        [f"{folder}/{{a,b}}.log"], [f"{folder}/../logs/a.log"], [f"{folder}/[^b].log"], [f"{folder}/*.log"],
+        [str(folder)], [f"file:{folder}/a.log", f"{folder}/a.log"],
+    ]
+    for paths in forms:
+        lines = text.with_line_position(text.read_lines(spark, paths))
+        report = reports.merged_report(lines, text.file_list(spark, paths))
+        total = lines.count()
+        assert total > 0
+        per_file = report["file_totals"].collect()
+        assert sum(r.total_ops for r in per_file) == total and all(r.total_ops > 0 for r in per_file), paths
+        assert report["pattern_counts"].agg(F.sum("n")).first()[0] == total, paths
+        assert all(r.file.startswith(f"{folder}/") for r in per_file)
+
+
+def test_a_broken_file_fails(spark, tmp_path):
+    whole = gzip.compress("\n".join(json_line("DROP TABLE t", n) for n in range(20_000)).encode())
+    (tmp_path / "cut.log.gz").write_bytes(whole[: len(whole) // 2])
+    df = parse.parse_lines(text.read_lines(spark, str(tmp_path / "cut.log.gz"), skip_missing=True))
+    with pytest.raises(Exception):  # noqa: B017
+        aggregate.totals(aggregate.ops_per_second(df)).collect()
+
+
+def test_unlisted_files_still_count(spark, tmp_path):
+    a, b = (write(tmp_path / f"{n}.log", [json_line(f"DROP TABLE {n}")] * 2) for n in "ab")
+    lines = text.with_line_position(text.read_lines(spark, [a, b]))
+    report = reports.merged_report(lines, text.file_list(spark, a))
+    assert {r.file: r.total_ops for r in report["file_totals"].collect()} == {a: 2, b: 2}
+    assert report["pattern_counts"].agg(F.sum("n")).first()[0] == 4
 
 
 # ---- Rejects, metrics, sinks -------------------------------------------------------------------
@@ -341,23 +370,23 @@ def test_result_json(lines, spark, tmp_path):
     }
     assert result["other_operations"]["by_type"] == {}
     assert result["other_operations"]["concurrency"]["overall"]["max_concurrency"] == 0
-    assert result["sql_patterns"] == {"SELECT 'STRING'": 3, "INSERT INTO t SELECT NUMBER": 1}
+    counted = spark.read.json(str(tmp_path / result["sql_patterns_folder"])).collect()
+    assert {r.pattern: r.n for r in counted} == {"SELECT 'STRING'": 3, "INSERT INTO t SELECT NUMBER": 1}
     assert result["processing_monitoring"]["lines"] == 5
-    # Beyond the bound the dictionary stays whole, in its own folder only.
-    results.write_result(report, str(tmp_path / "big"), embed_rows=1)
-    assert "sql_patterns" not in read_json(tmp_path / "big" / "result")
-    assert spark.read.json(str(tmp_path / "big" / "sql_patterns")).count() == 2
 
 
 def test_merged_result_json(spark, sf_dir, tmp_path):
     report = reports.merged_report(read_audit_lines(spark, sf_dir), text_files(spark, 4), pos="event_id")
     results.write_merged_result(report, str(tmp_path))
     result = read_json(tmp_path / "result")
-    assert result["file_info"]["total_files"] == 4 and result["file_info"]["files"] == list("0123")
-    assert result["file_info"]["file_stats"]["3"]["total_ops"] == 0
-    per_file = sum(f["total_ops"] for f in result["file_info"]["file_stats"].values())
+    assert result["file_info"]["total_files"] == 4
+    files = spark.read.json(str(tmp_path / result["file_info"]["file_stats_folder"])).collect()
+    assert sorted(r.file for r in files) == list("0123")
+    assert {r.file: r.total_ops for r in files}["3"] == 0
+    per_file = sum(r.total_ops for r in files)
     assert per_file == result["combined_summary"]["total_operations"]
-    assert sum(result["combined_sql_patterns"].values()) == per_file
+    counted = spark.read.json(str(tmp_path / result["sql_patterns_folder"])).collect()
+    assert sum(r.n for r in counted) == per_file
     assert set(result["combined_read_operations"]["concurrency"]) == {"overall"}
 
 
