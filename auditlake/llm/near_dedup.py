@@ -22,10 +22,6 @@ than ``GROUP_PAIRS`` pairs for one main component, as with many copies just belo
 large group, both sides are compared block by block inside tasks, and only links leave them. Together
 the rounds look at every pair of a list that could join two components.
 
-Before, an exact bound takes out what cannot link: members of a set that no other posted set has are
-counted, and two sets can have at most the smaller number of the others in common. Heavily edited copies
-of a text, which are near a large group but below the limit, end there.
-
 Skewed lists are hot keys of joins with a plain exchange on either side, which Spark splits, and all
 counts combine before their shuffles. Intermediate tables lie in the shared folder.
 """
@@ -163,63 +159,35 @@ def _postings(classes: DataFrame) -> DataFrame:
     )
 
 
-def _can_link(n: str, most: str, m: str, most_m: str) -> Column:
-    """Whether sets of sizes ``n`` and ``m`` with so many shared members can be similar enough."""
-    common = F.least(most, most_m)
-    return common * OF >= (F.col(n) + F.col(m) - common) * SIMILAR
+def _sizes_fit(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, m) * OF >= F.greatest(n, m) * SIMILAR
+
 
+def _full_sets(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(doc, signature, shingles)`` of every class that is posted.
 
-def _full_sets(postings: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(doc, n, signature, shingles)`` of every class that is posted."""
+    An identifier that comes with several texts has a row for each; a link of one of them is a link of
+    the document.
+    """
     needed = postings.select(F.col("rep").alias("doc")).distinct()
-    of_class = classes.select(F.col("rep").alias("doc"), "n", "signature", "digest")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            made = [shingle_set(t).tobytes() for t in texts_of(batch.column(1))]
-            digest = [hashlib.blake2b(m, digest_size=16).digest() for m in made]
+            made = [shingle_set(t) for t in texts_of(batch.column(1))]
+            filled = pa.array([len(m) > 0 for m in made], pa.bool_())
+            packed = [signature(m).tobytes() for m in made if len(m)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made, pa.binary()), pa.array(digest, pa.binary())],
-                ["doc", "shingles", "digest"],
+                [
+                    batch.column(0).filter(filled),
+                    pa.array(packed, pa.binary()),
+                    pa.array([m.tobytes() for m in made if len(m)], pa.binary()),
+                ],
+                ["doc", "signature", "shingles"],
             )
 
-    # By digest too, because an identifier can come with several texts.
-    return materialize(
-        docs.select("doc", "text")
-        .join(needed, "doc")
-        .mapInArrow(sets, "doc long, shingles binary, digest binary")
-        .dropDuplicates(["doc", "digest"])
-        .join(of_class, ["doc", "digest"])
-        .select("doc", "n", "signature", "shingles")
-    )
-
-
-def _most_shared(full: DataFrame) -> DataFrame:
-    """``(rep, most)``: how many members of a set are in another set as well."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = [np.frombuffer(raw, dtype=np.int64) for raw in batch.column(1).to_pylist()]
-            if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(doc, [len(p) for p in parts])), pa.array(np.concatenate(parts))],
-                    ["doc", "shingle"],
-                )
-
-    members = full.select("doc", "shingles").mapInArrow(run, "doc long, shingle long")
-    alone = (
-        members.groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("doc"))
-        .where(F.col("df") == 1)
-        .groupBy("doc")
-        .agg(F.count(F.lit(1)).alias("alone"))
-    )
-    return (
-        full.join(alone, "doc", "left")
-        .groupBy(F.col("doc").alias("rep"))
-        .agg(F.max(F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-    )
+    texts = docs.select("doc", "text").join(needed, "doc", "left_semi")
+    return materialize(texts.mapInArrow(sets, "doc long, signature binary, shingles binary"))
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
@@ -274,15 +242,11 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 def _pivot() -> Column:
     """A list's pivot: the most widely shared class, of several the least identifier."""
-    return F.max(F.struct("spread", (-F.col("rep")).alias("minus"), "n", "most")).alias("p")
+    return F.max(F.struct("spread", (-F.col("rep")).alias("minus"), "n")).alias("p")
 
 
 def _of_pivot() -> list[Column]:
-    return [
-        (-F.col("p.minus")).alias("pivot"),
-        F.col("p.n").alias("pivot_n"),
-        F.col("p.most").alias("pivot_most"),
-    ]
+    return [(-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n")]
 
 
 def _pivot_pairs(postings: DataFrame) -> DataFrame:
@@ -295,7 +259,7 @@ def _pivot_pairs(postings: DataFrame) -> DataFrame:
     )
     return (
         postings.join(pivots, "key")
-        .where((F.col("rep") != F.col("pivot")) & _can_link("n", "most", "pivot_n", "pivot_most"))
+        .where((F.col("rep") != F.col("pivot")) & _sizes_fit("n", "pivot_n"))
         .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     )
 
@@ -401,7 +365,6 @@ def _crossing_pairs(mixed: DataFrame) -> DataFrame:
         "key",
         F.col("rep").alias("x"),
         F.col("n").alias("x_n"),
-        F.col("most").alias("x_most"),
         F.col("component").alias("x_component"),
     )
     in_main = F.col("component") == F.col("main")
@@ -410,7 +373,7 @@ def _crossing_pairs(mixed: DataFrame) -> DataFrame:
         .where(
             (F.col("component") != F.col("x_component"))
             & (in_main | (F.col("x") < F.col("rep")))
-            & _can_link("n", "most", "x_n", "x_most")
+            & _sizes_fit("n", "x_n")
         )
         .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
     )
@@ -434,10 +397,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
         .agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     )
     postings = materialize(_postings(classes))
-    full = _full_sets(postings, known, classes)
-    # A set with too many members of its own is similar to no other.
-    postings = postings.join(_most_shared(full), "rep").where(F.col("most") * OF >= F.col("n") * SIMILAR)
-    postings = materialize(postings)
+    full = _full_sets(postings, known)
     links = _confirmed(_counted(_pivot_pairs(postings)), full)
     found = components(links)
     rest = _crossing_links(postings, found, full)
