@@ -15,7 +15,7 @@ from array import array
 from functools import lru_cache
 
 # Limits of the tables of remembered pieces and words, to bound a worker's memory.
-PIECES, WORDS = 200_000, 100_000
+PIECES, WORDS = 500_000, 200_000
 
 # The splitting rules of both tokenizers within Latin-1.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
