@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from auditlake.llm import (
     bpe_automaton,
     exact_dedup,
+    hard_negatives,
     kd_search,
     license_scan,
     near_dedup,
     packing,
     plane_files,
     quality_cnn,
+    sharding,
+    spelling_variants,
     suffix_dedup,
     toxicity,
 )
@@ -101,6 +104,29 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        (F.col("bytes") + 1).alias("size"),
+        F.col("crc").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "row_number",
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_license_scan,
     op2_toxicity,
@@ -112,6 +138,9 @@ QUERIES = (
     op8_plane_files,
     op9_exact_dedup,
     op10_bpe_automaton,
+    op11_hard_negatives,
+    op12_sharding,
+    op13_spelling_variants,
 )
 
 
