@@ -59,10 +59,8 @@ CRC_TABLE = """crc_table AS (
 
 def _crc32(text: str) -> str:
     """The unsigned crc32 of the UTF-8 bytes of ``text``, next to ``crc_table``."""
-    code = f"hex(encode({text}))"
-    byte = f"CAST('0x' || substr({code}, 2 * i + 1, 2) AS BIGINT)"
     return (
-        f"xor(list_reduce([{byte} for i in range(octet_length(encode({text})))],"
+        f"xor(list_reduce([CAST('0x' || x AS BIGINT) for x in regexp_extract_all(hex(encode({text})), '..')],"
         " lambda c, b: xor(c >> 8, entries[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
     )
 
