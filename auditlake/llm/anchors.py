@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 # Windows per step, to bound memory; a longer text is cut here, at any place, into overlapping parts.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 PLACE_BITS = 21
 _ODD = 0x9E3779B97F4A7C15
 

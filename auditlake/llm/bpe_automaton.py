@@ -4,10 +4,13 @@ The automaton reads token labels; its states are "the last token read", and it a
 token sequences that BPE produces. It is compiled from the merge list by one gadget per merge, in rank
 order. It starts as one state with a loop for every base symbol. The gadget of ``a b -> c``
 
-1. takes the arc ``b`` out of the state behind ``a`` (a copy without it: after this merge ``a`` is never
-   followed by ``b``),
-2. lays an arc ``c`` beside every path ``a b`` that was there, leading to a copy of the state behind
-   ``b`` as it is now.
+1. copies the state behind ``b`` as the one behind ``c``,
+2. takes the arc ``b`` out of the state behind ``a``: after this merge ``a`` is never followed by ``b``. For
+   ``a a -> c`` the copy of step 1 still has it, because ``a a a`` becomes ``c a``,
+3. lays an arc ``c`` beside every arc ``a`` that there is now.
+
+Where the arc ``b`` behind ``a`` is gone already, the merge can never fire; it gets no gadget, and its
+token, unless another merge makes it, is never read.
 
 A gadget touches one state and lays arcs that follow from older ones, so the automaton is kept as its
 list of gadgets: ``arc(t, u)`` follows the gadgets back from ``(t, u)`` until one has removed the arc or
@@ -43,6 +46,7 @@ from auditlake.llm.tokenizer import BEYOND_LATIN, SEPARATORS, WORD_SPLIT, in_alp
 # Limits of the tables a worker keeps.
 ARCS, PIECES, WORDS = 300_000, 200_000, 100_000
 END = "\0"
+FIRST_MERGES = 1 << 60  # above every rank
 
 
 class MergeAutomaton:
@@ -55,12 +59,15 @@ class MergeAutomaton:
         self.rank = [-1] * size
         self.left, self.right = [0] * size, [0] * size
         self.removed: dict[int, int] = {}
+        self.unmade: set[int] = set()
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
         # Labels by the text they cover; END stands for the end of a word.
         self.spelled: dict[str, int] = {}
         self.prefixes: set[str] = set()
         for token, i in vocab.items():
+            if i in self.unmade:
+                continue
             if suffix and token.endswith(suffix) and len(token) > len(suffix):
                 token = token[: -len(suffix)] + END
             self.spelled[token] = i
@@ -70,6 +77,10 @@ class MergeAutomaton:
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
         if self.rank[c] >= 0:
             raise ValueError(f"two merges make {self.labels[c]!r}")
+        if a in self.unmade or b in self.unmade or not self._arc(a, b):
+            self.unmade.add(c)
+            return
+        self.unmade.discard(c)
         self.rank[c], self.left[c], self.right[c] = rank, a, b
         self.removed[a << 32 | b] = rank
 
@@ -84,7 +95,7 @@ class MergeAutomaton:
         return known
 
     def _arc(self, t: int, u: int) -> bool:
-        rank, before = self.rank, len(self.removed)
+        rank, before = self.rank, FIRST_MERGES
         while True:
             gone = self.removed.get(t << 32 | u)
             if gone is not None and gone < before:

@@ -92,7 +92,16 @@ def exact_dedup(
 def drop_copies(
     docs: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "max"
 ) -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; rows without an identifier stay."""
-    decided = exact_dedup(docs, text, id, keep)
-    dropped = decided.where(~F.col("kept")).select(id)
-    return docs.join(dropped, id, "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text another row keeps; rows without an identifier stay.
+
+    A row goes by its identifier and its text together: another text under the same identifier stays.
+    """
+    dropped = (
+        exact_dedup(docs, text, id, keep)
+        .where(~F.col("kept"))
+        .select(F.col(id).alias("__dropped_id"), F.col("digest").alias("__dropped_digest"))
+        .distinct()
+    )
+    digest = F.unhex(F.sha2(text_or_empty(text), 256))
+    here = (docs[id] == F.col("__dropped_id")) & (digest == F.col("__dropped_digest"))
+    return docs.join(dropped, here, "left_anti").select(*docs.columns)

@@ -21,7 +21,6 @@ one label is skipped where that label is not wanted. Tasks hold one tree and one
 
 from __future__ import annotations
 
-import heapq
 import io
 
 import numpy as np
@@ -36,8 +35,11 @@ SHARD_ROWS, BLOCK_ANCHORS = 16_384, 2_048
 LEAF, FANOUT, TRIED = 64, 12, 96
 # Below and above every score; small enough to be doubled and squared without harm.
 LEAST, MOST = -(1 << 60), 1 << 60
+NOT_SCORED = LEAST - 1
 MIXED = -1
 MARGIN = 1e-6
+# Leaves that are scored first, and queries of a block that are searched at the same time.
+NEAREST, TOGETHER = 8, 128
 
 
 class Gnat:
@@ -133,79 +135,112 @@ class Gnat:
             return cls(**{name: arrays[name] for name in cls.FIELDS})
 
     def search(
-        self, query: np.ndarray, own: int, label: int, same: bool, k: int, low: np.ndarray, high: np.ndarray
-    ) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``(ids, scores)`` of the best ``k`` rows in each window ``low <= score <= high``.
-
-        Rows of the identifier ``own`` are left out, as are those whose label is another (``same``) or
-        the given one (otherwise).
+        self,
+        queries: np.ndarray,
+        own: np.ndarray,
+        label: np.ndarray,
+        same: bool,
+        k: int,
+        low: np.ndarray,
+        high: np.ndarray,
+    ) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """``(ids, scores)`` of the best ``k`` rows in each window ``low <= score <= high`` of every query.
+
+        ``low`` and ``high`` have a row per query and a column per window. Rows of the query's identifier
+        ``own`` are left out, as are those whose label is another (``same``) or the given one (otherwise).
+        The leaves nearest to a query are scored first; the k-th scores they give narrow its annuli, and
+        siblings are eliminated once more before the rest is scored.
         """
-        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
-        found = [nothing] * len(low)
-        if not len(self.ids):
-            return found
-        width = max(len(query), self.points.shape[1])
-        query, points = _padded(query[None], width)[0], _padded(self.points, width)
+        self.scored = 0
+        if not len(self.ids) or not len(queries):
+            nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+            return [[nothing] * low.shape[1] for _ in range(len(queries))]
+        width = max(queries.shape[1], self.points.shape[1])
+        queries, points = _padded(queries, width), _padded(self.points, width)
+        real = queries.astype(np.float64)
         # Whole numbers below 2**53 in all sums: floating point is exact there, and has fast kernels.
-        sizes = [max(1, int(np.abs(x).max(initial=0))) for x in (query, points)]
+        sizes = [max(1, int(np.abs(x).max(initial=0))) for x in (queries, points)]
         exact = sizes[0] * sizes[1] * width < 2**53
-        real = query.astype(np.float64)
-        if exact:
-            points, query = points.astype(np.float64), real
-        square = float(real @ real) + self.largest
-        margin = MARGIN * (1 + np.sqrt(square))
-        need = low.astype(np.int64).copy()
-        inner = np.sqrt(np.maximum(square - 2.0 * high, 0)) - margin
+        left, right = (real, points.astype(np.float64)) if exact else (queries, points)
 
-        def outer() -> np.ndarray:
-            left = square - 2.0 * need
-            return np.where(left < -margin, -1.0, np.sqrt(np.maximum(left, 0)) + margin)
+        square = (real**2).sum(axis=1) + self.largest
+        margin = MARGIN * (1 + np.sqrt(square))[:, None]
+        inner = np.sqrt(np.maximum(square[:, None] - 2.0 * high, 0)) - margin
+        need = low.copy()
 
-        def unwanted(only: int) -> bool:
-            return only != MIXED and (only == label) != same
+        def outer() -> np.ndarray:
+            beyond = square[:, None] - 2.0 * need
+            return np.where((beyond < -margin) | (low > high), -1.0, np.sqrt(np.maximum(beyond, 0)) + margin)
 
         reach = outer()
-        heap = [(0.0, 0, np.inf)] if not unwanted(int(self.only[0])) else []
-        while heap:
-            least, at, most = heapq.heappop(heap)
-            if least > reach.max():
-                break
-            if self.count[at]:
-                children = slice(self.first[at], self.first[at] + self.count[at])
-                width_here = int(self.count[at])
-                from_splits = points[self.split[children]] @ query
-                d = np.sqrt(np.maximum(square - 2.0 * from_splits.astype(np.float64), 0))
-                near, far = self.near[children, :width_here], self.far[children, :width_here]
-                lower = np.maximum(np.maximum(d - far, near - d).max(axis=1), least)
-                upper = np.minimum((d + far).min(axis=1), most)
-                meets = ((lower[:, None] <= reach) & (upper[:, None] >= inner)).any(axis=1)
-                for n in np.flatnonzero(meets):
-                    child = int(self.first[at] + n)
-                    if not unwanted(int(self.only[child])):
-                        heapq.heappush(heap, (float(lower[n]), child, float(upper[n])))
+        lower, upper = np.zeros((len(queries), len(self.begin))), np.full((len(queries), len(self.begin)), np.inf)
+        alive = np.zeros(lower.shape, bool)
+        wanted = (self.only == MIXED) | ((self.only == label[:, None]) == same)
+        alive[:, 0] = wanted[:, 0]
+        # Children have larger numbers than their parents.
+        for at in np.flatnonzero(self.count):
+            rows = np.flatnonzero(alive[:, at])
+            if not len(rows):
                 continue
-            mine = slice(self.begin[at], self.end[at])
-            fits = (self.ids[mine] != own) & ((self.labels[mine] == label) == same)
-            ids, scores = self.ids[mine][fits], (points[mine][fits] @ query).astype(np.int64)
-            changed = False
-            for w in range(len(low)):
-                good = (scores >= need[w]) & (scores <= high[w])
-                if not good.any():
-                    continue
-                all_ids = np.concatenate([found[w][0], ids[good]])
-                all_scores = np.concatenate([found[w][1], scores[good]])
-                best = np.lexsort((all_ids, -all_scores))[:k]
-                found[w] = all_ids[best], all_scores[best]
-                if len(best) == k and found[w][1][-1] > need[w]:
-                    need[w], changed = found[w][1][-1], True
-            if changed:
-                reach = outer()
-        return found
+            children = slice(self.first[at], self.first[at] + self.count[at])
+            to_splits = real[rows] @ points[self.split[children]].T.astype(np.float64)
+            d = np.sqrt(np.maximum(square[rows, None] - 2 * to_splits, 0))[:, None, :]
+            near, far = (x[children, : self.count[at]] for x in (self.near, self.far))
+            lower[rows, children] = np.maximum(np.maximum(d - far, near - d).max(axis=2), lower[rows, at][:, None])
+            upper[rows, children] = np.minimum((d + far).min(axis=2), upper[rows, at][:, None])
+            meets = (lower[rows, children][:, :, None] <= reach[rows][:, None]) & (
+                upper[rows, children][:, :, None] >= inner[rows][:, None]
+            )
+            alive[rows, children] = meets.any(axis=2) & wanted[rows, children]
+
+        leaves = np.flatnonzero(self.count == 0)
+        lower, upper, alive = lower[:, leaves], upper[:, leaves], alive[:, leaves]
+        scores = np.full((len(queries), len(self.ids)), NOT_SCORED, np.int64)
+
+        def score(chosen: np.ndarray) -> None:
+            for n in np.flatnonzero(chosen.any(axis=0)):
+                rows, mine = np.flatnonzero(chosen[:, n]), slice(self.begin[leaves[n]], self.end[leaves[n]])
+                found = (left[rows] @ right[mine].T).astype(np.int64)
+                fits = (self.ids[mine] != own[rows, None]) & ((self.labels[mine] == label[rows, None]) == same)
+                scores[rows, mine] = np.where(fits, found, NOT_SCORED)
+                self.scored += found.size
+
+        nearest = np.argsort(np.where(alive, lower, np.inf), axis=1, kind="stable")[:, :NEAREST]
+        first = np.zeros_like(alive)
+        np.put_along_axis(first, nearest, True, axis=1)
+        first &= alive
+        score(first)
+        for row in range(len(queries)):
+            for w in range(low.shape[1]):
+                good = scores[row][(scores[row] >= low[row, w]) & (scores[row] <= high[row, w])]
+                if len(good) >= k:
+                    need[row, w] = np.partition(good, len(good) - k)[len(good) - k]
+        reach = outer()
+        meets = (lower[:, :, None] <= reach[:, None]) & (upper[:, :, None] >= inner[:, None])
+        score(alive & ~first & meets.any(axis=2))
+
+        def best(row: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero((scores[row] >= need[row, w]) & (scores[row] <= high[row, w]))
+            reached = scores[row, at]
+            if len(at) > k:
+                top = reached >= np.partition(reached, len(at) - k)[len(at) - k]
+                at, reached = at[top], reached[top]
+            order = np.lexsort((self.ids[at], -reached))[:k]
+            return self.ids[at][order], reached[order]
+
+        return [[best(row, w) for w in range(low.shape[1])] for row in range(len(queries))]
 
 
 FOUND = pa.schema([("id", pa.int64()), ("window", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+def _windows(lists: pa.ChunkedArray, missing: int) -> np.ndarray:
+    """Rows of window bounds, as many in each row; those that are missing are empty windows."""
+    rows = lists.to_pylist()
+    most = max(map(len, rows))
+    return np.array([row + [missing] * (most - len(row)) for row in rows], dtype=np.int64)
+
+
 def _searched(trees: DataFrame, anchors: DataFrame, shards: int, blocks: int, k: int, same: bool) -> DataFrame:
     """``(id, window, rank, vec_id, score)`` of all anchors ``(id, v, label, home, low, high)`` in all shards."""
 
@@ -215,15 +250,17 @@ def _searched(trees: DataFrame, anchors: DataFrame, shards: int, blocks: int, k:
         tree = Gnat.from_bytes(trees["tree"][0].as_py())
         vectors = _matrix(anchors["v"])
         columns: list[list[np.ndarray]] = [[], [], [], []]
-        lows, highs = anchors["low"].to_pylist(), anchors["high"].to_pylist()
-        labels, ids = anchors["label"].to_pylist(), anchors["id"].to_pylist()
-        for row, anchor in enumerate(ids):
-            low, high = np.array(lows[row], np.int64), np.array(highs[row], np.int64)
-            for window, (vec_ids, scores) in enumerate(tree.search(vectors[row], anchor, labels[row], same, k, low, high)):
-                columns[0].append(np.full(len(vec_ids), anchor))
-                columns[1].append(np.full(len(vec_ids), window))
-                columns[2].append(vec_ids)
-                columns[3].append(scores)
+        ids, labels = anchors["id"].to_numpy(), anchors["label"].to_numpy()
+        lows, highs = _windows(anchors["low"], 1), _windows(anchors["high"], 0)
+        for at in range(0, len(ids), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            found = tree.search(vectors[part], ids[part], labels[part], same, k, lows[part], highs[part])
+            for anchor, windows in zip(ids[part], found, strict=True):
+                for window, (vec_ids, scores) in enumerate(windows):
+                    columns[0].append(np.full(len(vec_ids), anchor))
+                    columns[1].append(np.full(len(vec_ids), window))
+                    columns[2].append(vec_ids)
+                    columns[3].append(scores)
         flat = [np.concatenate(c or [np.empty(0)]).astype(np.int64) for c in columns]
         return pa.table([pa.array(c, t) for c, t in zip(flat, FOUND.types, strict=True)], schema=FOUND)
 

@@ -23,6 +23,7 @@ returns names the files of the successful tasks.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -203,6 +204,7 @@ def write_id_files(
 
     known = F.coalesce(F.col(id), F.raise_error(F.lit("a row has no identifier")).cast("bigint"))
     rows = docs.select(known.cast("bigint").alias("id"), text_or_empty(text).alias("text"))
+    _make_folder(docs.sparkSession, folder)
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     return materialize(ordered.mapInPandas(write, "part int, file string, documents long, ids long"))
 
@@ -242,7 +244,15 @@ def read_id_files(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
     )
 
 
+def _make_folder(spark: SparkSession, folder: str) -> None:
+    """An empty folder, so that a table without rows, of which no task writes, can be read back."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def new_folder(spark: SparkSession) -> str:
-    """A folder of its own below the shared one."""
-    base = shared_dir(spark)
-    return f"{base if ':' in base else 'file://' + base}/auditlake/ids-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one, named with the file system that Spark's tables use."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/auditlake/ids-{uuid.uuid4().hex}")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = system.makeQualified(folder).toString()
+    return re.sub("^file:/+", "file:///", full)

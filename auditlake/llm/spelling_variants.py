@@ -3,7 +3,7 @@
 Words are runs of Latin letters, all below code point 256, so a word is one byte per letter. Each is put
 between a begin and an end mark, and a gram starts at each of its places: it begins with ``Q_MIN`` letters and
 grows while it is frequent, up to ``Q_MAX``. The dictionary that decides this is pruned by frequency: it
-holds the grams that occur more often than a threshold, counted over all words; what lies below a rare gram
+holds the grams that more words have than a threshold, counted over all words; what lies below a rare gram
 is never stored. So a gram is the shortest rare one at its place, and its posting list is short.
 
 Whether a gram is in a word depends on its own letters only. An edit at some place hence changes exactly the
@@ -127,14 +127,14 @@ def gram_codes(letters: np.ndarray, q: int) -> np.ndarray:
 
 
 class Dictionary:
-    """The frequent grams and how often they occur."""
+    """The frequent grams and how many words have them."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
         order = np.argsort(codes)
         self.codes, self.counts = codes[order], counts[order]
 
     def frequency(self, codes: np.ndarray) -> np.ndarray:
-        """Occurrences of each gram, 0 for those that are not frequent."""
+        """Words with each gram, 0 for grams that are not frequent."""
         if not len(self.codes):
             return np.zeros(codes.shape, np.int64)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
@@ -166,8 +166,8 @@ class Dictionary:
     def posted(self, letters: np.ndarray) -> tuple[np.ndarray, ...]:
         """``(codes, sizes, counts, ranks, bounds)``; a gram is posted if its rank is at most the bound.
 
-        Ranks order the grams of a word from rare to frequent: by number of occurrences where they are
-        frequent, then by number.
+        Ranks order the grams of a word from rare to frequent: by number of words where they are frequent,
+        then by code.
         """
         codes, sizes, counts = self.grams(letters)
         order = np.lexsort((codes, counts), axis=1)
@@ -189,7 +189,11 @@ def build_dictionary(words: DataFrame, short_list: int = SHORT_LIST, size: int =
             for length, rows in found.same_length():
                 letters = found.table(rows, length, marks=True)
                 for q in range(Q_MIN, Q_MAX + 1):
-                    codes, counts = np.unique(gram_codes(letters, q), return_counts=True)
+                    # Once per word, however often the word repeats a gram: lists hold words.
+                    codes = np.sort(gram_codes(letters, q), axis=1)
+                    fresh = np.ones(codes.shape, bool)
+                    fresh[:, 1:] = codes[:, 1:] != codes[:, :-1]
+                    codes, counts = np.unique(codes[fresh], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
 
     counts = (
@@ -365,7 +369,7 @@ def _is_first_list(grams, counts, posted, first, sizes, a, b, codes) -> np.ndarr
                 if more:
                     meets |= (grams[y + 1] == code) & posted[y + 1]
                 meets &= posted[x]
-                # Order of the lists: by occurrences, then by number, as the ranks.
+                # Order of the lists: by words, then by code, as the ranks.
                 here = codes[w][:, None]
                 own = np.where(code == here, count, -1).max(axis=1)[:, None]
                 rarer = (count < own) | ((count == own) & (code < here))

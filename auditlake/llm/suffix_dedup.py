@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.anchors import Rolling, segments
-from auditlake.llm.common import batch_bytes, materialize, text_or_empty, texts_of
+from auditlake.llm.common import batch_bytes, in_slices, materialize, text_or_empty, texts_of
 
 WIDTH, GRAM = 200, 64
 # Distinct segments of one anchor that are expanded together; anchors with more are dealt to groups.
 GROUP = 48
-BLOCK_BYTES = 1 << 17
+BLOCK_BYTES = 1 << 16
 NO_ID = -(1 << 63)
 
 
@@ -79,27 +79,35 @@ def repeated_places(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.nda
     found = np.zeros(size, dtype=bool)
     order = suffix_order(symbols, width + 1)
     transform = symbols[order - 1]
-    present, counts = np.unique(symbols, return_counts=True)
+    present, which, counts = np.unique(transform, return_inverse=True, return_counts=True)
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    # before[c][j]: how often character c stands in the transform before j.
-    chars = np.flatnonzero(present != 0)
-    before = np.zeros((len(chars), size + 1), dtype=np.int32)
-    for row, c in enumerate(chars):
-        np.cumsum(transform == present[c], out=before[row, 1:])
-    bucket, bucket_end = first[chars][:, None], first[chars + 1][:, None]
-    open_boundary = np.ones(size, dtype=bool)
+    # to[j][c]: the boundary that backward extension with character c makes of boundary j, which is the
+    # bucket of c plus how often c stands in the transform before j. One row of a boundary is one piece of
+    # memory. Extensions that leave the bucket hit the next one's first boundary, which is never open.
+    chars = len(present) - int(present[0] == 0)
+    to = np.zeros((size + 1, chars), dtype=np.int32)
+    column = which - (len(present) - chars)
+    to[0] = first[len(present) - chars : -1]
+    rows = np.flatnonzero(column >= 0)
+    to[rows + 1, column[rows]] = 1
+    np.cumsum(to, axis=0, out=to)
+    open_boundary = np.ones(size + 1, dtype=bool)
+    open_boundary[size] = False
+    seen_at = np.empty(size + 1, dtype=np.int64)
     # Length 0: where another first character begins, and everywhere among the separators.
     fresh = np.concatenate([np.arange(first[1], dtype=np.int32), first[1:-1]])
     open_boundary[fresh] = False
     for _ in range(width - 1):
         if not len(fresh):
             break
-        longer = bucket + before[:, fresh]
-        longer = longer[(longer > bucket) & (longer < bucket_end)]
+        longer = to[fresh].ravel()
         longer = longer[open_boundary[longer]]
         open_boundary[longer] = False
-        fresh = np.unique(longer)
-    same = np.flatnonzero(open_boundary)
+        # Each once: the last mention of a boundary counts.
+        mention = np.arange(len(longer))
+        seen_at[longer] = mention
+        fresh = longer[seen_at[longer] == mention]
+    same = np.flatnonzero(open_boundary[:size])
     found[order[same]] = True
     found[order[same - 1]] = True
     heads = found.copy()
@@ -118,7 +126,7 @@ def _segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
     schema = "key long, content long, doc long, tid long, start long, windows long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             doc, tid = (batch.column(n).to_numpy(zero_copy_only=False) for n in (0, 1))
             data, ends = batch_bytes(texts_of(batch.column(2)))
             for start, windows, key, content in segments(data, ends, width, gram):
@@ -140,7 +148,7 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     joined = docs.dropDuplicates(["doc", "tid"]).join(by_text, ["doc", "tid"]).select("text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             out: list[list] = [[], [], [], []]
             for text, cuts in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -304,9 +312,9 @@ def _prepared(docs: DataFrame, text: str, id: str) -> DataFrame:
     """Identifier and text as the spans know them, with the text's hash to tell equal identifiers apart."""
     return docs.withColumns(
         {
-            "_doc": F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)),
-            "_tid": F.xxhash64(text_or_empty(text)),
-            "_text": text_or_empty(text),
+            "__dedup_doc": F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)),
+            "__dedup_tid": F.xxhash64(text_or_empty(text)),
+            "__dedup_text": text_or_empty(text),
         }
     )
 
@@ -322,17 +330,17 @@ def suffix_dedup(
     replaced; an empty table gives no rows.
     """
     rows = _prepared(docs, text, id)
-    plain = rows.select(F.col("_doc").alias("doc"), F.col("_tid").alias("tid"), F.col("_text").alias("text"))
+    plain = rows.select(F.col("__dedup_doc").alias("doc"), F.col("__dedup_tid").alias("tid"), F.col("__dedup_text").alias("text"))
     spans = repeated_spans(plain, width, gram).select(
-        F.col("doc").alias("_doc"), F.col("tid").alias("_tid"), F.col("spans").alias("_spans")
+        F.col("doc").alias("__dedup_doc"), F.col("tid").alias("__dedup_tid"), F.col("spans").alias("__dedup_spans")
     )
     keep = [c for c in docs.columns if c not in ("kept", "spans", "n_bytes")]
-    joined = rows.join(spans, ["_doc", "_tid"], "left").select(*keep, "_text", "_spans")
+    joined = rows.join(spans, ["__dedup_doc", "__dedup_tid"], "left").select(*keep, "__dedup_text", "__dedup_spans")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in in_slices(batches):
             kept, merged, sizes = [], [], []
             for value, found in zip(
                 texts_of(batch.column(len(keep))), batch.column(len(keep) + 1).to_pylist(), strict=True

@@ -104,39 +104,34 @@ def test_tree_eliminates_siblings_and_stays_exact():
             for b in children:
                 d = np.linalg.norm(raised[tree.begin[b] : tree.end[b]] - raised[tree.split[a]], axis=1)
                 assert d.min() >= tree.near[b][seen_from] - 1e-3 and d.max() <= tree.far[b][seen_from] + 1e-3
-    scored = []
-    real = Gnat.search.__globals__["np"].lexsort
-    for n in range(0, 3000, 97):
-        q = points[n]
-        scores = points @ q
-        low, high = np.array([int(0.3 * scores.max()), LEAST]), np.array([int(0.5 * scores.max()), MOST])
-        found = tree.search(q, n, int(labels[n]), False, 7, low, high)
-        for w in range(2):
-            fits = [j for j in range(3000) if j != n and labels[j] != labels[n] and low[w] <= scores[j] <= high[w]]
-            best = sorted(fits, key=lambda j: (-scores[j], j))[:7]
-            assert found[w][0].tolist() == best and found[w][1].tolist() == [int(scores[j]) for j in best]
-            scored.append(len(best))
-    assert sum(scored) > 100 and real is np.lexsort
-
-
-def test_search_reads_few_leaves(monkeypatch):
-    """A window far from most rows must not score them."""
+    anchors = np.arange(0, 3000, 97)
+    scores = points[anchors] @ points.T
+    top = scores.max(axis=1)
+    low = np.column_stack([top * 3 // 10, np.full(len(anchors), LEAST), np.ones(len(anchors))]).astype(np.int64)
+    high = np.column_stack([top // 2, np.full(len(anchors), MOST), np.zeros(len(anchors))]).astype(np.int64)
+    found = tree.search(points[anchors], anchors, labels[anchors], False, 7, low, high)
+    for row, n in enumerate(anchors):
+        for w in range(3):
+            fits = [j for j in range(3000) if j != n and labels[j] != labels[n] and low[row, w] <= scores[row, j] <= high[row, w]]
+            best = sorted(fits, key=lambda j: (-scores[row, j], j))[:7]
+            ids, reached = found[row][w]
+            assert ids.tolist() == best and reached.tolist() == scores[row, best].tolist()
+
+
+def test_search_eliminates_most_leaves():
+    """A window that holds few rows must not score the others."""
     rng = np.random.default_rng(5)
     middle = rng.integers(-400, 400, (30, 8))
     labels = np.repeat(np.arange(30), 200)
     points = middle[labels] + rng.integers(-3, 4, (6000, 8))
+    labels = labels % 2
     tree = Gnat.build(np.arange(6000), labels, points, leaf=32)
-    read = Counter()
-
-    class Counted(np.ndarray):
-        def __getitem__(self, key):
-            if isinstance(key, slice):
-                read["rows"] += key.stop - key.start
-            return super().__getitem__(key)
-
-    tree.ids = tree.ids.view(Counted)
-    tree.search(points[0], 0, 0, True, 5, np.array([LEAST]), np.array([MOST]))
-    assert 0 < read["rows"] < 1500
+    whole = np.array([[LEAST]]), np.array([[MOST]])
+    tree.search(points[:1], np.array([0]), labels[:1], True, 5, *whole)
+    assert 0 < tree.scored < 1500
+    best = int((points[0] @ points.T).max())
+    tree.search(points[:1], np.array([0]), labels[:1], False, 5, np.array([[best // 2]]), np.array([[best // 2 + 99]]))
+    assert 0 < tree.scored < 3000
 
 
 def test_query_of_hard_negatives_changes_labels(spark, tmp_path):
@@ -229,7 +224,10 @@ def near(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) == 1
     a, b = sorted((a, b), key=len)
-    return len(a) + 1 == len(b) and any(b[:n] + b[n + 1 :] == a for n in range(len(b)))
+    if len(a) + 1 != len(b):
+        return False
+    n = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[n:] == b[n + 1 :]
 
 
 def brute_words(rows):
@@ -282,12 +280,12 @@ def variant_rows(seed=0):
             words.append("".join(w))
         rows.append((doc if doc % 9 else None, rng.choice(" .,1\n").join(words)))
     frequent = "understanding " * 500 + "understandings " * 40 + "understandngs " * 3 + "undrstandngs undrstandngs "
-    rows += [(211, frequent), (100, "Understanding UNDERSTANDING"), (101, None), (102, ""), (103, "a" * 50_000 + " "), (103, "a" * 49_999)]
-    rows += [(104, ("a" * 50_000 + " ") * 2 + ("a" * 49_999 + " ") * 3)]
+    rows += [(211, frequent), (100, "Understanding UNDERSTANDING"), (101, None), (102, ""), (103, "a" * 3_000 + " "), (103, "a" * 2_999)]
+    rows += [(104, ("a" * 3_000 + " ") * 2 + ("a" * 2_999 + " ") * 3)]
     return rows
 
 
-@pytest.mark.parametrize(("block", "short_list"), [(4096, 128), (7, 5)])
+@pytest.mark.parametrize(("block", "short_list"), [(4096, 128), (16, 5)])
 def test_spelling_variants_are_those_of_brute_force(spark, block, short_list):
     rows = variant_rows()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, word string")
@@ -331,7 +329,7 @@ def test_grams_grow_while_frequent_and_bound_what_an_edit_changes():
     counted = Counter()
     for word in words:
         for q in range(2, 6):
-            counted.update(gram_codes(table(word), q)[0].tolist())
+            counted.update(set(gram_codes(table(word), q)[0].tolist()))
     frequent = {c: n for c, n in counted.items() if n > 20}
     dictionary = Dictionary(np.array(list(frequent)), np.array(list(frequent.values())))
     for word in words[:60]:
