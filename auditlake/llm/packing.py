@@ -43,13 +43,15 @@ def token_pieces(
     text: str = "text",
     id: str = "doc_id",
     kind: str = "byte",
+    release: bool = False,
 ) -> DataFrame:
     """``(id, piece, start, length, ids)``: documents as ids with ``end_id``, cut where too long.
 
     Only documents of more than ``capacity`` ids are cut, into pieces of exactly ``capacity`` but the
     first, which has the rest. ``ids`` are packed little-endian unsigned 32-bit integers. Null texts
     are empty and give one piece with the end id; every row gives its pieces, also repeated rows and
-    rows without identifier.
+    rows without identifier. ``release`` gives the tables of the tokenizer back after every task, for
+    workers that have other work to do afterwards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +77,9 @@ def token_pieces(
                 ],
                 ["id", "piece", "start", "length", "ids"],
             )
+        if release:
+            del encoder
+            corpus_encoder.cache_clear()
 
     id_type = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), text_or_empty(text).alias("text"))
@@ -277,13 +282,14 @@ def pack(
     text: str = "text",
     id: str = "doc_id",
     with_ids: bool = True,
+    release: bool = False,
 ) -> DataFrame:
     """Pack all documents: ``(id, piece, start, length, ids_crc32, sequence_id, offset[, ids])``.
 
     The pieces are stored once in the shared folder, so that nothing is tokenized twice; ``with_ids``
     keeps their ids, else only the checksum of the packed ids.
     """
-    pieces = token_pieces(docs, tokenizer, end_id, capacity, text, id)
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, text, id, release=release)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
     stored = materialize(pieces if with_ids else pieces.drop("ids"))
     return assign(stored, [id, "piece", "start", "ids_crc32"], capacity)
