@@ -70,7 +70,7 @@ def _suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, with_ids=False)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, with_ids=False, release=True)
 
 
 STAGES = [
