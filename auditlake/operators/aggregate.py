@@ -166,11 +166,12 @@ def file_totals(ops: DataFrame, files: DataFrame | None = None) -> DataFrame:
     )
     if files is None:
         return counts
-    listed = files.join(counts, "file", "left").na.fill(0)
+    listed = files.join(counts, "file", "left").na.fill(0, counts.columns)
     others = counts.join(files.select("file"), "file", "left_anti")
     if "file_index" in files.columns:
         others = others.withColumn("file_index", F.lit(-1).cast("bigint"))
-    return listed.unionByName(others)
+    # A file status carries more columns, which files outside the list do not have.
+    return listed.unionByName(others, allowMissingColumns=True)
 
 
 def run_metrics(parsed: DataFrame, profile: Profile = PYTHON) -> DataFrame:

@@ -18,8 +18,10 @@ from auditlake.operators.parse import records
 from auditlake.profiles import PYTHON, Profile
 from auditlake.session import materialize
 
-# About 200 bytes per block (mostly the file path): at most some 50 MB per executor.
-MAX_BROADCAST_BLOCKS = 250_000
+# Measured size up to which the index of the first-N limit is sent to all tasks.
+BROADCAST_BYTES = 64 << 20
+# Places after and before every row of a block.
+WHOLE_BLOCK, NO_ROW = (1 << 63) - 1, -(1 << 63)
 # Place of a file that is not in the file list.
 UNLISTED = 999_999_999
 
@@ -66,6 +68,13 @@ def pattern_counts(
     )
 
 
+def merged_position(file_index: str, pos: str) -> Column:
+    """One number that orders by the place of the file in the list, unlisted files last, and then by place."""
+    place = F.coalesce(file_index, F.lit(UNLISTED)).cast("decimal(10,0)")
+    shifted = place * F.lit("1" + 28 * "0").cast("decimal(29,0)")
+    return (shifted + F.col(pos).cast("decimal(28,0)")).cast("decimal(38,0)")
+
+
 def merge_pattern_counts(per_file: DataFrame, files: DataFrame) -> DataFrame:
     """Per-file pattern counts added up over files: ``(pattern, n, first_pos)``.
 
@@ -73,12 +82,10 @@ def merge_pattern_counts(per_file: DataFrame, files: DataFrame) -> DataFrame:
     in the file. The join is on already aggregated rows; Spark decides by size whether to broadcast.
     Patterns of a file that is not listed count too, and come after those of all listed files.
     """
-    place = F.coalesce("file_index", F.lit(UNLISTED)).cast("decimal(10,0)") * F.lit("1" + 28 * "0").cast("decimal(29,0)")
-    first_pos = (place + F.col("first_pos").cast("decimal(28,0)")).cast("decimal(38,0)")
     return (
         per_file.join(files.select("file", "file_index"), "file", "left")
         .groupBy("pattern")
-        .agg(F.sum("n").alias("n"), F.min(first_pos).alias("first_pos"))
+        .agg(F.sum("n").alias("n"), F.min(merged_position("file_index", "first_pos")).alias("first_pos"))
     )
 
 
@@ -125,55 +132,80 @@ def top_patterns_by_op_type(
     )
 
 
+def first_index(
+    rows: DataFrame, limit: int, block: Sequence[str], order: str, file: str = "file"
+) -> DataFrame:
+    """``(file, *block, last)``: up to which ``order`` the rows of each block are among the first ``limit``.
+
+    ``rows`` are scanned once, into one bit per row: 64 neighbouring places are one mask, so the index is a
+    small fraction of the log. Counts of blocks and their running sum per file give the one block of every
+    file in which the limit falls; only there the masks are walked, and the last place is a bit number. No
+    row is ranked, and none is shuffled: masks combine on the map side.
+    """
+    keys = [file, *block]
+    place = F.col(order).cast("bigint")
+    masks = materialize(
+        rows.groupBy(*keys, F.shiftright(place, 6).alias("word"))
+        .agg(F.expr(f"bit_or(shiftleft(1L, CAST(CAST({order} AS BIGINT) & 63 AS INT)))").alias("bits"))
+        .withColumn("word_rows", F.bit_count("bits").cast("bigint"))
+    )
+    in_file = Window.partitionBy(file).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        masks.groupBy(*keys)
+        .agg(F.sum("word_rows").alias("block_rows"))
+        .withColumn("before", F.coalesce(F.sum("block_rows").over(in_file), F.lit(0)))
+    )
+    blocks = materialize(blocks)
+    wanted = F.lit(limit) - F.col("before")
+    boundary = blocks.where((F.col("before") < limit) & (F.col("before") + F.col("block_rows") > limit))
+    in_block = Window.partitionBy(*keys).orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
+    set_bits = F.filter(
+        F.sequence(F.lit(0), F.lit(63)), lambda n: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), n)) != 0
+    )
+    cut = (
+        masks.join(boundary.select(*keys, wanted.alias("wanted")), keys)
+        .withColumn("seen", F.coalesce(F.sum("word_rows").over(in_block), F.lit(0)))
+        .where((F.col("seen") < F.col("wanted")) & (F.col("wanted") <= F.col("seen") + F.col("word_rows")))
+        .withColumn("bit", F.element_at(set_bits, (F.col("wanted") - F.col("seen")).cast("int")))
+        .select(*keys, (F.shiftleft("word", 6) + F.col("bit")).alias("cut"))
+    )
+    last = F.when(wanted >= F.col("block_rows"), F.lit(WHOLE_BLOCK)).when(wanted <= 0, F.lit(NO_ROW)).otherwise(F.col("cut"))
+    return materialize(blocks.join(cut, keys, "left").select(*keys, last.alias("last")))
+
+
 def first_records(
     parsed: DataFrame,
     limit: int | None,
     block: Sequence[str],
     order: str,
     file: str = "file",
+    profile: Profile = PYTHON,
 ) -> DataFrame:
     """The first ``limit`` counted rows of every file, in file order; all of them for 0 or None.
 
-    ``block`` names columns that cut a file into ordered blocks of bounded size (for text files the
-    start of the file split), and ``order`` the place within a block. The counted rows of every
-    block are counted, a running sum over that small table gives each block its offset, and only
-    blocks that begin within the limit are read further; the row number is taken inside a block. So
-    neither a sort of a whole file nor a task that holds one is needed.
+    ``block`` names columns that cut a file into ordered blocks (for text files the start of the file
+    split), and ``order`` the place within a block, a whole number that no two rows of a block share.
+    Profile A counts only rows with a fingerprint. Rows pass by comparing their place with the last one
+    that ``first_index`` gives for their block: whole blocks and the boundary block alike go through
+    without a sort or an exchange of log rows.
 
-    The block table is computed once and broadcast only while it is small; beyond that the join
-    shuffles. The blocks of the first pass must be those of the second: a row whose block is unknown
-    means that the file splits changed in between, and fails the job instead of giving a wrong
+    The index has a row per block. It is sent to all tasks where its measured size allows that, else Spark
+    joins it as it sees fit. The blocks of the first pass must be those of the second: a row whose block is
+    unknown means that the file splits changed in between, and fails the job instead of giving a wrong
     answer. Fixing ``spark.sql.files.minPartitionNum`` keeps the splits stable when the number of
     cores varies.
     """
     rows = records(parsed)
     if not limit or limit <= 0:
         return rows
+    if profile.name == "A":
+        rows = rows.where(normalize.normalize(F.col("stmt"), profile.name) != "")
     keys = [file, *block]
-    running = (
-        Window.partitionBy(file)
-        .orderBy(*block)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    blocks = materialize(
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("block_rows"))
-        .withColumn("before", F.sum("block_rows").over(running) - F.col("block_rows"))
-        .select(*keys, "before")
-    )
-    if blocks.count() <= MAX_BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    before = F.coalesce(
-        F.col("before"),
-        F.raise_error(F.lit("file splits changed between passes")).cast("bigint"),
-    )
-    in_block = Window.partitionBy(*keys).orderBy(order)
-    return (
-        rows.join(blocks, keys, "left")
-        .where(before < limit)
-        .withColumn("row_in_block", F.row_number().over(in_block))
-        # Implied by the next condition, and the form Spark can apply before the shuffle.
-        .where(F.col("row_in_block") <= limit)
-        .where(F.col("before") + F.col("row_in_block") <= limit)
-        .drop("before", "row_in_block")
-    )
+    index = first_index(rows, limit, block, order, file)
+    size = index.agg(
+        F.coalesce(F.sum(sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(16 * (len(keys) + 1)))), F.lit(0))
+    ).first()[0]
+    if size <= BROADCAST_BYTES:
+        index = F.broadcast(index)
+    last = F.coalesce(F.col("last"), F.raise_error(F.lit("file splits changed between passes")).cast("bigint"))
+    return rows.join(index, keys, "left").where(F.col(order) <= last).drop("last")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import fixed_values as fx
 from auditlake.operators import aggregate, parse, patterns, rejects
-from auditlake.plans.base import base_aggregates
+from auditlake.plans.base import base_aggregates, measured_bytes, merged_aggregates
 from auditlake.profiles import AWK, PYTHON, SHELL, Profile
 
 MERGED_SECTIONS = ("read", "write")
@@ -36,7 +36,7 @@ def _limited_patterns(
 ) -> DataFrame | None:
     if not limit or limit <= 0:
         return None
-    first = patterns.first_records(parsed, limit, block, order)
+    first = patterns.first_records(parsed, limit, block, order, profile=profile)
     return patterns.pattern_counts(first, profile, by, pos)
 
 
@@ -82,14 +82,21 @@ def merged_report(
     ``files`` is the ``(file, file_index)`` list; a pattern limit applies to every file on its own.
     """
     parsed = parse.parse_lines(lines, PYTHON, ignore, tz)
-    base = base_aggregates(parsed, PYTHON, by=("file",), pos=pos)
+    if measured_bytes(files, "file", "file_index") <= patterns.BROADCAST_BYTES:
+        base = merged_aggregates(parsed, files, pos)
+        per_file, merged, counts = base.per_file, base.ops, base.patterns
+    else:
+        # Too many files to give every task their list: kept apart until they are aggregated.
+        base = base_aggregates(parsed, PYTHON, by=("file",), pos=pos)
+        per_file, merged = base.ops, aggregate.merge_files(base.ops)
+        counts = patterns.merge_pattern_counts(base.patterns, files)
     limited = _limited_patterns(parsed, PYTHON, pattern_limit, block, order, ("file",), pos)
-    counts = patterns.merge_pattern_counts(base.patterns if limited is None else limited, files)
-    merged = aggregate.merge_files(base.ops)
+    if limited is not None:
+        counts = patterns.merge_pattern_counts(limited, files)
     return {
-        "file_totals": aggregate.file_totals(base.ops, files),
-        "totals": aggregate.totals(base.ops),
-        "category_counts": _sections(aggregate.category_counts(base.ops), MERGED_SECTIONS),
+        "file_totals": aggregate.file_totals(per_file, files),
+        "totals": aggregate.totals(merged),
+        "category_counts": _sections(aggregate.category_counts(merged), MERGED_SECTIONS),
         "concurrency_overall": _sections(aggregate.concurrency_overall(merged), MERGED_SECTIONS),
         "concurrency_all_types": aggregate.concurrency_overall(merged),
         "top_patterns": patterns.top_patterns(counts, merged=True),

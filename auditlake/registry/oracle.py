@@ -6,6 +6,9 @@ from __future__ import annotations
 
 IGNORE = ("SET ROLE", "SHOW TABLES", "/* rid 1 */ SELECT")
 FIRST_N = 500
+# More rows than a block of the view has, and more than small tables have at all.
+FIRST_MANY = 10_000
+DELAY_DAYS = 3
 
 LINES = r"""
 ev AS (
@@ -182,6 +185,7 @@ def _sql(profile: str, body: str, ignore=(), extra: str = "") -> str:
     return f"WITH {LINES.strip()},{_parsed(profile, ignore)}{extra}\n{body.strip()}"
 
 
+# The normalisation rules of the three fingerprints.
 RULES_P = [
     (r"''[^'']*''", "''STRING''"),
     (r"\b\d+\b", "NUMBER"),
@@ -318,6 +322,19 @@ SELECT file, count(*) AS total_ops,
   count(*) FILTER (op_type = 'other') AS other_ops
 FROM rec GROUP BY file"""
 
+LATE_LEDGER = f"""
+SELECT op_type, op_category, second,
+  count(*) FILTER (NOT late AND ends <= mark_all) AS n_closed,
+  count(*) FILTER (NOT late AND ends > mark_all) AS n_open,
+  count(*) FILTER (late) AS n_late
+FROM (
+  SELECT *, (event_id % 2 = 1 AND ends <= mark_even) AS late FROM (
+    SELECT *, (ts_ms // 1000 + 1) * 1000 AS ends,
+      max(ts_ms) FILTER (event_id % 2 = 0) OVER () - {DELAY_DAYS} * 86400000 AS mark_even,
+      max(ts_ms) OVER () - {DELAY_DAYS} * 86400000 AS mark_all
+    FROM rec))
+GROUP BY ALL"""
+
 METRICS = """
 SELECT count(*) AS lines,
   count(*) FILTER (reason IS NULL OR reason = 'ignored_after_cut') AS parsed,
@@ -374,11 +391,13 @@ def _top_long(top: str, group: str) -> str:
 def oracle_sql() -> dict[str, str]:
     rw = "op_type IN ('read', 'write')"
     rws = "op_type IN ('read', 'write', 'schema_change')"
-    first_n = f""",
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) AS rn FROM rec)
-  WHERE rn <= {FIRST_N})"""
+    def firsts(limit: int, where: str = "TRUE") -> str:
+        return f""",
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) AS rn FROM rec WHERE {where})
+  WHERE rn <= {limit})"""
+
+    first_n = firsts(FIRST_N)
     ops = _sql("P", OPS, extra=CELLS)
-    metrics = _sql("P", METRICS, IGNORE)
     summary_fields = """
 SELECT count(*) AS total_operations, count(*) FILTER (op_type = 'read') AS read_operations,
   count(*) FILTER (op_type = 'metadata') AS metadata_operations,
@@ -432,6 +451,12 @@ SELECT count(*) AS total_operations, count(*) FILTER (op_type = 'read') AS read_
         "top_patterns_multi": _sql("P", _top(True, "first_in_files"), extra=_pats()),
         "top_patterns_a": _sql("A", TOP_A, extra=_pats("A", "op_type, ")),
         "pattern_first_n": _sql("P", "SELECT pattern, n FROM pats", extra=first_n + _pats(source="firsts")),
+        "pattern_first_n_many": _sql("P", "SELECT pattern, n FROM pats", extra=firsts(FIRST_MANY) + _pats(source="firsts")),
+        "pattern_first_n_a": _sql(
+            "A",
+            "SELECT op_type, pattern, n FROM pats",
+            extra=firsts(FIRST_N, f"{PATTERN['A']} <> ''") + _pats("A", "op_type, ", "firsts"),
+        ),
         "file_totals": _sql("P", FILE_TOTALS),
         "merged_totals": _sql("P", _totals("P")),
         "rejects_a": _sql("A", REJECTS_A, IGNORE),
@@ -440,7 +465,7 @@ SELECT count(*) AS total_operations, count(*) FILTER (op_type = 'read') AS read_
         "run_metrics": _metrics("P"),
         "run_metrics_a": _metrics("A"),
         "run_metrics_e": _metrics("E"),
-        "observed_metrics_csv": metrics,
+        "observed_metrics_csv": _metrics("P"),
         "report_single": report_single,
         "report_merged": _report(
             "P",
@@ -492,10 +517,16 @@ FROM ({_totals("P")}) t JOIN ({_overall("P")}) o USING (op_type)""", extra=CELLS
         "pattern_dictionary": _sql("P", "SELECT pattern, n FROM pats", extra=_pats()),
         "parsed_table": _sql("P", "SELECT event_id, op_type, op_category, second, execution_time FROM rec"),
         "text_file_totals": _sql("P", FILE_TOTALS),
+        "text_skipped_files": _sql(
+            "P",
+            f"SELECT *, FALSE AS skipped FROM ({FILE_TOTALS}) UNION ALL SELECT '3', 0, 0, 0, 0, 0, 0, TRUE",
+        ),
         "text_ops_per_second": ops,
         "text_top_patterns": _sql("P", _top(True, "first_in_files"), extra=_pats()),
         "text_first_n": _sql("P", "SELECT pattern, n FROM pats", extra=first_n + _pats(source="firsts")),
         "text_rejects_e": _sql("E", "SELECT line FROM judged WHERE reason IS NOT NULL", IGNORE),
         "stream_ops_per_second": ops,
         "stream_windowed_ops": ops,
+        "stream_text_ops": ops,
+        "stream_late_ledger": _sql("P", LATE_LEDGER),
     }

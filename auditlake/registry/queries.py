@@ -6,16 +6,17 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import fixed_values as fx
 from auditlake.functions import normalize
 from auditlake.operators import aggregate, parse, patterns, rejects
 from auditlake.plans import reports
+from auditlake.plans.base import base_aggregates
 from auditlake.profiles import AWK, PYTHON, SHELL, Profile
-from auditlake.registry.oracle import FIRST_N, IGNORE
-from auditlake.session import shared_dir
+from auditlake.registry.oracle import DELAY_DAYS, FIRST_MANY, FIRST_N, IGNORE
+from auditlake.session import qualified, shared_dir
 from auditlake.sinks import results
 from auditlake.sources import text
 from auditlake.sources.events import audit_lines, read_audit_lines
@@ -92,10 +93,13 @@ def _top_patterns_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.top_patterns(counts, merged=True)
 
 
-def _pattern_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _in_blocks(_parsed(spark, sf_dir))
-    first = patterns.first_records(parsed, FIRST_N, ["block"], "event_id")
-    return patterns.pattern_counts(first)
+def _pattern_first_n(limit: int, profile: Profile = PYTHON) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parsed = _in_blocks(_parsed(spark, sf_dir, profile))
+        first = patterns.first_records(parsed, limit, ["block"], "event_id", profile=profile)
+        return patterns.pattern_counts(first, profile)
+
+    return query
 
 
 def _reject_rows(profile: Profile) -> Query:
@@ -226,14 +230,10 @@ def _parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _observed_metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "metrics")
-    observation = Observation()
     started = time.time()
-    parsed = parse.parse_lines(
-        read_audit_lines(spark, sf_dir), PYTHON, IGNORE, observation=observation
-    )
-    aggregate.ops_per_second(parsed).write.parquet(f"{path}/ops")
-    results.write_run_metrics(spark, observation, f"{path}/csv", "done", time.time() - started)
-    columns = ("lines", "parsed", "operations", "ignored", "rejected")
+    report = base_aggregates(_parsed(spark, sf_dir, PYTHON, IGNORE), PYTHON)
+    results.write_run_metrics(report.line_counts, f"{path}/csv", "done", time.time() - started)
+    columns = ("lines", "parsed", "operations", "ignored", "rejected", "unparsed")
     read = spark.read.option("header", "true").csv(f"{path}/csv")
     return read.select(*[F.col(c).cast("bigint").alias(c) for c in columns])
 
@@ -298,6 +298,43 @@ def _text_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.pattern_counts(first)
 
 
+def _cut_logs(lines: DataFrame, folder: str) -> DataFrame:
+    """Write ``line`` as gzip files that end too early; returns their names."""
+
+    def write(batches):
+        import gzip
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for number, batch in enumerate(batches):
+            packed = gzip.compress("\n".join(batch.column(0).to_pylist()).encode())
+            name = f"{root}/part-{TaskContext.get().partitionId():05d}-{number:05d}.gz"
+            with store.open_output_stream(name, compression=None) as out:
+                out.write(packed[: len(packed) * 2 // 3])
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    return lines.select("line").mapInArrow(write, "name string")
+
+
+def _text_skipped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text logs, and a copy of the first one of which every file is cut: it counts nothing."""
+    root = write_text_logs(spark, sf_dir)
+    cut = read_audit_lines(spark, sf_dir).where("file = '0'")
+    _cut_logs(cut, qualified(spark, f"{root}/log=3")).count()
+    paths = [f"{root}/log={i}" for i in range(4)]
+    status = text.file_status(spark, paths)
+    lines = text.read_lines(spark, paths, status=status)
+    ops = aggregate.ops_per_second(parse.parse_lines(lines), by=("file",))
+    totals = aggregate.file_totals(ops, status).withColumn("file", _log_name())
+    measures = ["total_ops", *[f"{t}_ops" for t in fx.OP_TYPES]]
+    skipped = (F.count("reason") == F.count(F.lit(1))).alias("skipped")
+    return totals.groupBy("file").agg(*[F.sum(m).alias(m) for m in measures], skipped)
+
+
 def _text_rejects_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "rejects")
     rejected = rejects.rejects(_parsed(spark, sf_dir, SHELL, IGNORE), SHELL)
@@ -323,11 +360,32 @@ def _stream_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _scratch(spark, "stream")
-    counts = stream.windowed_counts(_event_stream(spark, sf_dir))
+    counts = stream.windowed_counts(_event_stream(spark, sf_dir), delay="10 minutes")
     stream.write_windowed(counts, f"{root}/out", f"{root}/state").awaitTermination()
     return stream.read_windowed(spark, f"{root}/out")
 
 
+def _stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two queries with checkpoints of their own add the text logs to one folder, several files a batch."""
+    logs, root = write_text_logs(spark, sf_dir), _scratch(spark, "stream")
+    for name, folders in (("first", "log=[01]"), ("second", "log=2")):
+        lines = spark.readStream.option("maxFilesPerTrigger", 3).text(f"{logs}/{folders}")
+        counted = lines.select(F.col("value").alias("line"))
+        stream.append_counts(counted, f"{root}/out", f"{root}/{name}").awaitTermination()
+    return stream.read_counts(spark, f"{root}/out")
+
+
+def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with even identifiers come first, the odd ones in a second run of the same query."""
+    root, delay = _scratch(spark, "stream"), f"{DELAY_DAYS} days"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).write.parquet(f"{root}/in/part={part}")
+        lines = audit_lines(spark.readStream.schema(events.schema).parquet(f"{root}/in/part=*"))
+        stream.ledger_counts(lines, f"{root}/out", f"{root}/state", delay).awaitTermination()
+    return stream.read_ledger(spark, f"{root}/out", delay)
+
+
 def queries() -> dict[str, Query]:
     return {
         "parse_json_lines": _parse(PYTHON, json=True),
@@ -372,7 +430,9 @@ def queries() -> dict[str, Query]:
         "top_patterns_a": lambda s, d: patterns.top_patterns_by_op_type(
             patterns.pattern_counts(_parsed(s, d, AWK), AWK)
         ),
-        "pattern_first_n": _pattern_first_n,
+        "pattern_first_n": _pattern_first_n(FIRST_N),
+        "pattern_first_n_a": _pattern_first_n(FIRST_N, AWK),
+        "pattern_first_n_many": _pattern_first_n(FIRST_MANY),
         "file_totals": lambda s, d: aggregate.file_totals(_ops(s, d, by=("file",))),
         "merged_totals": lambda s, d: aggregate.totals(
             aggregate.merge_files(_ops(s, d, by=("file",)))
@@ -395,10 +455,13 @@ def queries() -> dict[str, Query]:
         "pattern_dictionary": _pattern_dictionary,
         "parsed_table": _parsed_table,
         "text_file_totals": _text_file_totals,
+        "text_skipped_files": _text_skipped_files,
         "text_ops_per_second": _text_ops,
         "text_top_patterns": _text_top_patterns,
         "text_first_n": _text_first_n,
         "text_rejects_e": _text_rejects_e,
         "stream_ops_per_second": _stream_ops,
         "stream_windowed_ops": _stream_windowed,
+        "stream_text_ops": _stream_text,
+        "stream_late_ledger": _stream_late,
     }

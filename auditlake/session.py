@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -52,6 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark's tables use, for other readers of it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:///", system.makeQualified(place).toString())
+
+
 def materialize(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Compute ``df`` once, write it as a Parquet table in the shared folder, and read that.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import fixed_values as fx
@@ -146,15 +146,15 @@ def write_summary(
     result.write.mode("overwrite").json(path)
 
 
-def write_run_metrics(
-    spark: SparkSession, observation: Observation, path: str, stage: str, elapsed: float
-) -> None:
-    """Line counts that a parse observed, as a CSV with one row per run."""
-    counts = observation.get
-    row = [(stage, *(int(counts[c]) for c in counts), float(elapsed))]
-    schema = "stage string, " + ", ".join(f"{c} bigint" for c in counts) + ", elapsed double"
+def write_run_metrics(counts: DataFrame, path: str, stage: str, elapsed: float) -> None:
+    """Line counts of a run as a CSV with one row.
+
+    ``counts`` is ``run_metrics`` of a report, which is added up from the stored base table: every line is in
+    it once, however often a task was repeated. Counts that tasks report on the way could include a task
+    that ran twice.
+    """
     (
-        spark.createDataFrame(row, schema)
+        counts.select(F.lit(stage).alias("stage"), "*", F.lit(float(elapsed)).alias("elapsed"))
         .withColumn("timestamp", F.current_timestamp())
         .write.mode("overwrite")
         .csv(path, header=True)

@@ -1,6 +1,8 @@
 """Invariants, order of ties, limits, several files, streams, sinks and plan shapes."""
 
+import bz2
 import gzip
+import os
 import json
 import re
 
@@ -188,6 +190,36 @@ def test_first_records_equals_sequential_limit(parsed, limit):
     assert found == expected
 
 
+@pytest.mark.parametrize("limit", [1, 40, 41, 500])
+def test_first_records_of_profile_a_count_only_fingerprints(lines, limit):
+    """Statements whose fingerprint is empty do not use up the limit."""
+    texts = [json_line(f"DROP TABLE t{n % 3}" if n % 4 else "  ;", n) for n in range(200)]
+    df = parse.parse_lines(lines(texts), AWK).withColumn("block", F.floor(F.col("pos") / 64))
+    counted = [
+        r.pos
+        for r in parse.records(df).withColumn("p", patterns.pattern_column(AWK)).orderBy("pos").collect()
+        if r.p != ""
+    ]
+    got = patterns.first_records(df, limit, ["block"], "pos", profile=AWK)
+    assert sorted(r.pos for r in got.select("pos").collect()) == counted[:limit]
+
+
+def test_first_records_read_whole_blocks_without_an_exchange(parsed, capsys):
+    df = parsed["P"].withColumn("block", F.floor(F.col("event_id") / 64))
+    plan = plan_of(patterns.first_records(df, 100, ["block"], "event_id"), capsys)
+    assert "BroadcastHashJoin" in plan and "Window" not in plan and "Sort" not in plan
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
+    assert plan.count("events.parquet") == 1
+
+
+def test_first_index_has_a_row_per_block(parsed):
+    df = parsed["P"].withColumn("block", F.floor(F.col("event_id") / 64))
+    index = patterns.first_index(parse.records(df), 30, ["block"], "event_id").collect()
+    assert len(index) == parse.records(df).select("file", "block").distinct().count()
+    inside = [r for r in index if patterns.NO_ROW < r.last < patterns.WHOLE_BLOCK]
+    assert len(inside) == 3 and all(r.last // 64 == r.block for r in inside)
+
+
 def test_pattern_limit_in_a_report(spark, sf_dir):
     lines = read_audit_lines(spark, sf_dir).withColumn("block", F.floor(F.col("event_id") / 64))
     report = reports.merged_report(
@@ -314,6 +346,53 @@ def test_a_broken_file_fails(spark, tmp_path):
         aggregate.totals(aggregate.ops_per_second(df)).collect()
 
 
+def cut_file(path, texts):
+    whole = gzip.compress("\n".join(texts).encode())
+    path.write_bytes(whole[: len(whole) // 2])
+    return str(path)
+
+
+def test_a_broken_file_counts_nothing_and_says_why(spark, tmp_path):
+    texts = [json_line(f"DROP TABLE t{n}", n) for n in range(20_000)]
+    good = write(tmp_path / "a.log", texts[:7])
+    packed = tmp_path / "b.log.gz"
+    packed.write_bytes(gzip.compress("\n".join(texts[:5]).encode()) + gzip.compress(b"\n" + texts[5].encode()))
+    cut = cut_file(tmp_path / "c.log.gz", texts)
+    empty = write(tmp_path / "d e+%.log", [])
+    other = tmp_path / "f.bz2"
+    other.write_bytes(bz2.compress(texts[0].encode())[:-9])
+    missing = str(tmp_path / "missing.log")
+    paths = [cut, str(packed), good, empty, str(other), missing]
+    status = text.file_status(spark, paths)
+    found = {r.file: r for r in status.collect()}
+    assert [found[p].file_index for p in paths] == list(range(6))
+    assert {p for p in paths if found[p].reason} == {cut, str(other), missing}
+    assert found[missing].reason.startswith("FileNotFoundError") and found[cut].length is None
+    assert found[good].length == os.path.getsize(good) and found[empty].length == os.path.getsize(empty)
+
+    lines = text.with_line_position(text.read_lines(spark, paths, status=status))
+    report = reports.merged_report(lines, status)
+    totals = {r.file: (r.total_ops, r.reason is None) for r in report["file_totals"].collect()}
+    assert totals == {
+        cut: (0, False), str(packed): (6, True), good: (7, True), empty: (0, True), str(other): (0, False), missing: (0, False)
+    }
+    assert report["totals"].where("op_type = 'total'").first().n == 13
+    assert report["run_metrics"].first().operations == 13
+    # Whole files are still read strictly: one that breaks after it was found whole fails the job.
+    packed.write_bytes(packed.read_bytes()[:40])
+    again = text.read_lines(spark, paths, status=status)
+    with pytest.raises(Exception):  # noqa: B017
+        again.collect()
+
+
+def test_too_many_broken_files_fail(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "MAX_BROKEN", 1)
+    paths = [cut_file(tmp_path / f"{n}.gz", ["x" * 500]) for n in range(2)]
+    status = text.file_status(spark, paths)
+    with pytest.raises(ValueError, match="more than 1 files"):
+        text.read_lines(spark, paths, status=status)
+
+
 def test_unlisted_files_still_count(spark, tmp_path):
     a, b = (write(tmp_path / f"{n}.log", [json_line(f"DROP TABLE {n}")] * 2) for n in "ab")
     lines = text.with_line_position(text.read_lines(spark, [a, b]))
@@ -432,7 +511,7 @@ def test_stream_of_several_batches_equals_batch(spark, sf_dir, log_folder, tmp_p
     query = stream.append_counts(line_stream(spark, log_folder), out, state)
     query.awaitTermination()
     assert rows(stream.read_counts(spark, out)) == expected
-    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) > 1
+    assert stream.manifest(spark, out).count() > 1
     # A second run over the same folder finds nothing new, and new files are added once.
     stream.append_counts(line_stream(spark, log_folder), out, state).awaitTermination()
     assert rows(stream.read_counts(spark, out)) == expected
@@ -448,6 +527,69 @@ def test_windowed_stream_equals_batch(spark, sf_dir, log_folder, tmp_path):
     out = str(tmp_path / "out")
     stream.write_windowed(counts, out, str(tmp_path / "state")).awaitTermination()
     assert rows(stream.read_windowed(spark, out)) == expected
+    # A query with another checkpoint reads all input again and adds to the folder.
+    counts = stream.windowed_counts(line_stream(spark, log_folder), delay="60 days")
+    stream.write_windowed(counts, out, str(tmp_path / "other")).awaitTermination()
+    assert rows(stream.read_windowed(spark, out)) == [(*r[:3], 2 * r[3]) for r in expected]
+
+
+def test_a_new_checkpoint_adds_and_a_repeated_batch_does_not(spark, log_folder, tmp_path):
+    out = str(tmp_path / "out")
+    for name in ("one", "two"):
+        stream.append_counts(line_stream(spark, log_folder), out, str(tmp_path / name)).awaitTermination()
+    twice = rows(stream.read_counts(spark, out))
+    once = rows(aggregate.ops_per_second(parse.parse_lines(line_batch(spark, log_folder))))
+    assert twice == [(*r[:3], 2 * r[3]) for r in once]
+    # The same batch again, as after a failure behind its commit: nothing is added.
+    first = stream.manifest(spark, out).orderBy("query", "batch").first()
+    counts = aggregate.ops_per_second(parse.parse_lines(line_batch(spark, log_folder)))
+    assert not stream.commit_batch(counts, out, first.query, first.batch)
+    assert rows(stream.read_counts(spark, out)) == twice
+    # An attempt that failed before its commit is not seen, and the next one of the batch is.
+    counts.write.parquet(f"{out}/data/query=lost/batch=0/attempt=a")
+    assert rows(stream.read_counts(spark, out)) == twice
+    assert stream.commit_batch(counts, out, "lost", 0)
+    assert rows(stream.read_counts(spark, out)) == [(*r[:3], 3 * r[3]) for r in once]
+
+
+def test_streams_without_input(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    empty = line_stream(spark, tmp_path / "in")
+    out = str(tmp_path / "out")
+    stream.append_counts(empty, out, str(tmp_path / "a")).awaitTermination()
+    stream.ledger_counts(empty, out + "2", str(tmp_path / "b"), "1 day").awaitTermination()
+    stream.write_windowed(stream.windowed_counts(empty, "1 day"), out + "3", str(tmp_path / "c")).awaitTermination()
+    assert rows(stream.read_counts(spark, out)) == rows(stream.read_ledger(spark, out + "2", "1 day")) == []
+    assert rows(stream.read_windowed(spark, out + "3")) == []
+
+
+def line_batch(spark, folder):
+    return spark.read.text(str(folder)).select(F.col("value").alias("line"))
+
+
+def test_late_lines_are_kept_apart_and_lose_nothing(spark, tmp_path):
+    """Closed, open and late counts of each step, with a restart in between."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    steps = [
+        [json_line("SELECT 1", s) for s in (0, 0, 100)] + ["noise"],
+        # The watermark is at 90 s and 123 ms: second 89 is closed, second 90 is not.
+        [json_line("SELECT 1", s) for s in (89, 90, 95, 0)] + [json_line("DROP TABLE t", 300)],
+        [json_line("SELECT 1", s) for s in (289, 290, 400)],
+    ]
+    found = []
+    for n, step in enumerate(steps):
+        write(folder / f"{n}.txt", step)
+        lines = spark.readStream.text(str(folder)).select(F.col("value").alias("line"))
+        stream.ledger_counts(lines, out, state, "10 seconds").awaitTermination()
+        ledger = stream.read_ledger(spark, out, "10 seconds")
+        found.append(tuple(ledger.agg(*[F.sum(c) for c in ("n_closed", "n_open", "n_late")]).first()))
+    assert found == [(2, 1, 0), (5, 1, 2), (7, 1, 3)]
+    assert sum(found[-1]) == stream_lines(steps)
+
+
+def stream_lines(steps):
+    return sum(line != "noise" for step in steps for line in step)
 
 
 # ---- Plan shapes -------------------------------------------------------------------------------
@@ -495,6 +637,38 @@ def test_text_position_aggregates_by_hash(spark, tmp_path, capsys):
     assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
+def test_merged_report_groups_by_file_only_for_file_totals(spark, lines):
+    """Many files, the same seconds and patterns: the stored table does not grow with files x patterns."""
+    texts = [json_line(f"DROP TABLE t WHERE a = {n}", n % 10) for n in range(100)]
+    rows_of = []
+    for hosts in (1, 20):
+        files = spark.createDataFrame([(f"h{n}", n) for n in range(hosts)], "file string, file_index bigint")
+        df = lines(texts).crossJoin(files.select(F.col("file").alias("host"))).drop("file").withColumnRenamed("host", "file")
+        found = base.merged_aggregates(parse.parse_lines(df), files, "pos")
+        rows_of.append((found.ops.count(), found.patterns.count(), found.per_file.count()))
+        assert found.line_counts.first().lines == 100 * hosts
+    assert rows_of == [(10, 1, 1), (10, 1, 20)]
+
+
+def test_merged_report_with_a_list_of_files_too_large_to_send(spark, sf_dir, monkeypatch):
+    lines_of = read_audit_lines(spark, sf_dir)
+    small = reports.merged_report(lines_of, text_files(spark, 2), pos="event_id")
+    monkeypatch.setattr(patterns, "BROADCAST_BYTES", 0)
+    large = reports.merged_report(lines_of, text_files(spark, 2), pos="event_id")
+    for name in small:
+        assert rows(small[name]) == rows(large[name]), name
+
+
+def test_metrics_come_from_the_stored_table(spark, sf_dir, tmp_path):
+    """The CSV has the counts of the stored base table, which every line enters once."""
+    df = parse.parse_lines(read_audit_lines(spark, sf_dir).repartition(3), PYTHON, IGNORE)
+    expected = aggregate.run_metrics(df).first().asDict()
+    counts = base.base_aggregates(df).line_counts
+    results.write_run_metrics(counts, str(tmp_path / "m"), "done", 1.5)
+    row = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "m")).first().asDict()
+    assert {k: row[k] for k in expected} == expected and (row["stage"], row["elapsed"]) == ("done", 1.5)
+
+
 def test_report_reads_the_logs_once(spark, sf_dir, capsys):
     report = reports.single_report(read_audit_lines(spark, sf_dir), pos="event_id")
     for name, df in report.items():
