@@ -48,10 +48,18 @@ def single_report(
     pattern_limit: int | None = None,
     block: Sequence[str] = ("block_start",),
     order: str = "rid",
+    files: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Report over one log, from a single pass (a pattern limit costs two more)."""
+    """Report over one log, from a single pass (a pattern limit costs two more).
+
+    A log that consists of several files needs their list ``files``: positions are places in a file, and
+    patterns of equal count are ordered by file first.
+    """
     parsed = parse.parse_lines(lines, PYTHON, ignore, tz)
-    base = base_aggregates(parsed, PYTHON, pos=pos)
+    if files is None:
+        base = base_aggregates(parsed, PYTHON, pos=pos)
+    else:
+        base = merged_aggregates(parsed, files, pos or "pos")
     limited = _limited_patterns(parsed, PYTHON, pattern_limit, block, order, (), pos)
     counts = base.patterns if limited is None else limited
     return {

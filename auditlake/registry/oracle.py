@@ -9,6 +9,9 @@ FIRST_N = 500
 # More rows than a block of the view has, and more than small tables have at all.
 FIRST_MANY = 10_000
 DELAY_DAYS = 3
+# Seconds of the first event's day, as bounds in SQL.
+FIRST_DAY = """(SELECT strftime(min(ts), '%Y%m%d') || '000000' FROM events)
+  AND (SELECT strftime(min(ts), '%Y%m%d') || '235959' FROM events)"""
 
 LINES = r"""
 ev AS (
@@ -54,6 +57,26 @@ lines AS (
   FROM st
 )"""
 
+EDGE_LINES = r"""
+es AS (
+  SELECT event_id AS e, epoch_ms(date_trunc('day', ts)) + (event_id % 7) * 1000 + 123 AS line_ms, CASE event_id % 9
+    WHEN 0 THEN 'SELECT ' || repeat('col' || (event_id % 3) || ' = 12 and ', 500)
+    WHEN 1 THEN 'SELECT x FROM t WHERE k = a1b2c3d4-ab12-cd34-ef56-abcdef123456 AND d = ''' || event_type || ''''
+    WHEN 2 THEN 'insert overwrite t PARTITION(p' || (event_id % 4) || ',q) values (' || event_id || ', "' || event_type || '", "it")'
+    WHEN 3 THEN 'CREATE   PIPE p' || (event_id % 2) || ' AS SELECT 1'
+    WHEN 4 THEN 'LOAD    LABEL l' || (event_id % 2)
+    WHEN 5 THEN '/* hint ' || (event_id % 2) || '?*/ SELECT 1'
+    WHEN 6 THEN 'select  a.x from t where a.id = ' || event_id || '  and b' || (event_id % 3) || '=3 limit ' || (user_id % 3)
+    WHEN 7 THEN 'DELETE FROM t'
+    ELSE 'DROP TABLE t' END AS s
+  FROM events),
+lines AS (
+  SELECT e AS event_id, CAST(e % 3 AS VARCHAR) AS file, CASE e % 9
+    WHEN 7 THEN '{"message":"|User=u|Stmt=' || s || '|Time=' || (e % 500) || '|"}'
+    WHEN 8 THEN '{"message":"|Timestamp=' || line_ms || '|Stmt=' || s || '|Time=' || (e % 500) || '"}'
+    ELSE '{"message":"|Timestamp=' || line_ms || '|User=u|Stmt=' || s || '|Time=' || (e % 500) || '|"}' END AS line
+  FROM es)"""
+
 PLAIN_TS = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}\+\d{2}:\d{2})"
 
 
@@ -362,6 +385,11 @@ def _metrics(profile: str) -> str:
     return _sql(profile, METRICS.replace("\nFROM judged", more), IGNORE)
 
 
+def _edge(profile: str, body: str) -> str:
+    """SQL over the view of edge cases, with the same rules."""
+    return _sql(profile, body, IGNORE).replace(LINES.strip(), EDGE_LINES.strip())
+
+
 def _long(section: str, table: str, item: str, measures: list[str], where: str = "TRUE") -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{section}' AS section, {item} AS item, '{m}' AS metric, CAST({m} AS DOUBLE) AS value "
@@ -435,6 +463,15 @@ SELECT count(*) AS total_operations, count(*) FILTER (op_type = 'read') AS read_
         "ops_per_second": ops,
         "ops_per_second_a": _sql("A", OPS, extra=CELLS),
         "totals": _sql("P", _totals("P")),
+        **{
+            f"edge_records_{profile.lower()}": _edge(
+                profile,
+                f"""SELECT event_id, op_type, op_category, length(stmt) AS stmt_chars, execution_time,
+                {PATTERN[profile]} AS pattern FROM rec""",
+            )
+            for profile in "PAE"
+        },
+        "edge_metrics_p": _metrics("P").replace(LINES.strip(), EDGE_LINES.strip()),
         "op_share": _sql("P", _totals("P"), IGNORE),
         "op_share_a": _sql("A", _totals("A"), IGNORE),
         "category_counts": _sql("P", CATEGORIES),
@@ -506,7 +543,7 @@ LEFT JOIN (SELECT op_type, count(DISTINCT op_category) AS categories FROM rec GR
                             extra=CELLS),
         "result_json_merged": _sql("P", f"""
 SELECT t.op_type, t.n AS total, o.max_concurrency, o.avg_concurrency, o.total_seconds,
-  CAST(3 AS BIGINT) AS total_files
+  CAST(4 AS BIGINT) AS total_files, '2,0,1,0' AS files
 FROM ({_totals("P")}) t JOIN ({_overall("P")}) o USING (op_type)""", extra=CELLS),
         "summary_json_a": _sql("A", summary_fields + " FROM rec", IGNORE),
         "summary_json_e": _sql(
@@ -516,6 +553,11 @@ FROM ({_totals("P")}) t JOIN ({_overall("P")}) o USING (op_type)""", extra=CELLS
         ),
         "pattern_dictionary": _sql("P", "SELECT pattern, n FROM pats", extra=_pats()),
         "parsed_table": _sql("P", "SELECT event_id, op_type, op_category, second, execution_time FROM rec"),
+        "parsed_table_range": _sql(
+            "P",
+            f"""SELECT event_id, op_category, second, execution_time FROM rec
+            WHERE op_type = 'write' AND second BETWEEN {FIRST_DAY}""",
+        ),
         "text_file_totals": _sql("P", FILE_TOTALS),
         "text_skipped_files": _sql(
             "P",

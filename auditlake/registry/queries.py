@@ -19,7 +19,7 @@ from auditlake.registry.oracle import DELAY_DAYS, FIRST_MANY, FIRST_N, IGNORE
 from auditlake.session import qualified, shared_dir
 from auditlake.sinks import results
 from auditlake.sources import text
-from auditlake.sources.events import audit_lines, read_audit_lines
+from auditlake.sources.events import audit_lines, edge_lines, read_audit_lines
 from auditlake.streaming import ops as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,7 +180,9 @@ def _result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _result_json_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "merged")
-    results.write_merged_result(_merged(spark, sf_dir), path)
+    # Not in the order of the names, and one named twice.
+    arguments = spark.createDataFrame([(f, n) for n, f in enumerate("2010")], "file string, position bigint")
+    results.write_merged_result(_merged(spark, sf_dir), path, arguments)
     overall = "struct<max_concurrency:bigint,avg_concurrency:double,total_seconds:bigint>"
     names = ["total", *fx.OP_TYPES]
     schema = "file_info struct<total_files:bigint>, combined_summary struct<"
@@ -190,8 +192,13 @@ def _result_json_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in fx.OP_TYPES
     )
     result = spark.read.schema(schema).json(f"{path}/result")
-    files = lambda s: F.col("file_info")["total_files"].alias("total_files")
-    return _section_rows(result, "combined_", "combined_summary", [files])
+    # As they stand in the part files.
+    written = spark.read.schema("position bigint, file string").json(f"{path}/files")
+    place = F.struct(F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("row"), "file")
+    in_order = written.select(place.alias("p")).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    names = in_order.select(F.array_join(F.transform("p", lambda x: x["file"]), ",").alias("files")).first()[0]
+    more = [lambda s: F.col("file_info")["total_files"].alias("total_files"), lambda s: F.lit(names).alias("files")]
+    return _section_rows(result, "combined_", "combined_summary", more)
 
 
 def _summary_schema() -> str:
@@ -228,6 +235,36 @@ def _parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _parsed_table_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "clustered")
+    results.write_clustered(_parsed(spark, sf_dir), path)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    low = events.agg(F.unix_date(F.min("ts").cast("date"))).first()[0] * 86400
+    return results.read_clustered(spark, path, "write", low, low + 86399).select(
+        "event_id", "op_category", parse.second_text().alias("second"), "execution_time"
+    )
+
+
+def _edge_records(profile: Profile) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = edge_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+        return parse.records(parse.parse_lines(lines, profile, IGNORE)).select(
+            "event_id",
+            "op_type",
+            "op_category",
+            F.char_length("stmt").cast("bigint").alias("stmt_chars"),
+            "execution_time",
+            normalize.normalize(F.col("stmt"), profile.name).alias("pattern"),
+        )
+
+    return query
+
+
+def _edge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = edge_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return aggregate.run_metrics(parse.parse_lines(lines, PYTHON, IGNORE), PYTHON)
+
+
 def _observed_metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "metrics")
     started = time.time()
@@ -454,6 +491,11 @@ def queries() -> dict[str, Query]:
         "summary_json_e": _summary_json_e,
         "pattern_dictionary": _pattern_dictionary,
         "parsed_table": _parsed_table,
+        "parsed_table_range": _parsed_table_range,
+        "edge_records_p": _edge_records(PYTHON),
+        "edge_records_a": _edge_records(AWK),
+        "edge_records_e": _edge_records(SHELL),
+        "edge_metrics_p": _edge_metrics,
         "text_file_totals": _text_file_totals,
         "text_skipped_files": _text_skipped_files,
         "text_ops_per_second": _text_ops,

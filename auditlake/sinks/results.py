@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import fixed_values as fx
@@ -21,6 +21,10 @@ BY_CATEGORY = (
 )
 
 
+# Files that a read names one by one; beyond that it goes by the type's folder.
+MAX_NAMED_FILES = 10_000
+
+
 def _write_lines(df: DataFrame, path: str) -> DataFrame:
     """Write as JSON lines and read back, so that later steps do not compute the rows again."""
     df.write.mode("overwrite").json(path)
@@ -89,18 +93,32 @@ def write_result(report: dict[str, DataFrame], path: str) -> None:
     result.write.mode("overwrite").json(f"{path}/result")
 
 
-def write_merged_result(report: dict[str, DataFrame], path: str) -> None:
-    """Result of several logs: file list with totals, merged summary and concurrency, patterns."""
+def write_ordered(table: DataFrame, order: str, path: str) -> None:
+    """JSON lines in the order of a column: tasks write ranges of it, so part files follow one another."""
+    table.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").json(path)
+
+
+def write_merged_result(
+    report: dict[str, DataFrame], path: str, arguments: DataFrame | None = None
+) -> None:
+    """Result of several logs: file list with totals, merged summary and concurrency, patterns.
+
+    ``arguments`` is ``(file, position)`` in argument order, a file that was named twice twice. It is
+    written as ``files`` in that order; without it the order of ``file_index`` counts.
+    """
     merged = report["pattern_counts"].select("pattern", "n")
     merged.write.mode("overwrite").json(f"{path}/combined_sql_patterns")
     files = _write_lines(report["file_totals"], f"{path}/file_stats")
+    if arguments is None:
+        arguments = files.select("file", F.col("file_index").alias("position"))
+    write_ordered(arguments.select("position", "file"), "position", f"{path}/files")
 
     parts = [
         _kind("totals", report["totals"]),
         _kind("overall", report["concurrency_all_types"]),
-        _kind("files", files.agg(F.count(F.lit(1)).alias("total_files"))),
+        _kind("files", arguments.agg(F.count(F.lit(1)).alias("total_files"))),
     ]
-    file_info = [F.max("total_files").alias("total_files"), F.lit("file_stats").alias("file_stats_folder")]
+    file_info = [F.max("total_files").alias("total_files"), F.lit("files").alias("files_folder"), F.lit("file_stats").alias("file_stats_folder")]
     result = _one_row(parts).agg(
         F.struct(*file_info).alias("file_info"),
         _summary().alias("combined_summary"),
@@ -170,8 +188,47 @@ def write_parsed(parsed: DataFrame, path: str) -> None:
     """Counted records as Parquet, one folder per operation type.
 
     No shuffle: every task writes its own rows, so a type that holds most rows is still written by
-    all tasks, and later queries on one type read only its folder.
+    all tasks, and later queries on one type read only its folder. For queries on a range of time see
+    ``write_clustered``.
     """
     parsed.where(F.col("reject_reason").isNull()).write.mode("overwrite").partitionBy(
         "op_type"
     ).parquet(path)
+
+
+def write_clustered(parsed: DataFrame, path: str, files: int | None = None) -> None:
+    """Counted records clustered by operation type and second, with an index of the files' ranges.
+
+    One range shuffle puts neighbouring seconds of a type into the same file; rows of one second spread
+    by their place in the input, so a hot second can fill several files. There are about ``files`` files
+    (default: the shuffle partitions that hold data) and one more per type, whatever the number of
+    tasks that read the logs. ``index`` has the least and largest second of every file; it is written
+    from the files themselves, of which it reads one column.
+    """
+    spark = parsed.sparkSession
+    rows = parsed.where(F.col("reject_reason").isNull()).withColumn("_row", F.monotonically_increasing_id())
+    order = ("op_type", "second_key", "_row")
+    ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).drop("_row").write.mode("overwrite").partitionBy("op_type").parquet(f"{path}/rows")
+    (
+        spark.read.parquet(f"{path}/rows")
+        .groupBy("op_type", F.col("_metadata.file_name").alias("name"))
+        .agg(F.min("second_key").alias("low"), F.max("second_key").alias("high"), F.count(F.lit(1)).alias("rows"))
+        .write.mode("overwrite")
+        .parquet(f"{path}/index")
+    )
+
+
+def read_clustered(
+    spark: SparkSession, path: str, op_type: str, low: int | str, high: int | str
+) -> DataFrame:
+    """Records of one type with ``low <= second_key <= high``, from the files whose range meets it."""
+    meets = (F.col("op_type") == op_type) & (F.col("low") <= high) & (F.col("high") >= low)
+    index = spark.read.parquet(f"{path}/index").where(meets)
+    wanted = (F.col("op_type") == op_type) & F.col("second_key").between(low, high)
+    rows = spark.read.parquet(f"{path}/rows").where(wanted)
+    if index.count() <= MAX_NAMED_FILES:
+        # A condition on file names alone: Spark applies it to the list of files, before any is opened.
+        rows = rows.where(F.col("_metadata.file_name").isin([r.name for r in index.select("name").collect()]))
+    # A wider range reads all files of the type and lets their footers decide.
+    return rows

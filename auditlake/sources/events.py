@@ -84,3 +84,40 @@ def audit_lines(events: DataFrame) -> DataFrame:
 def read_audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit-line view of ``<sf_dir>/events.parquet``; only the needed columns are read."""
     return audit_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+# Statements at the edges of the rules, by ``event_id % 9``: longer than the cut, identifiers, double quotes,
+# loose spaces, a question-mark comment, names with numbers, a line without timestamp, a time without end.
+EDGE_STATEMENTS = (
+    "SELECT {long}",
+    "SELECT x FROM t WHERE k = a1b2c3d4-ab12-cd34-ef56-abcdef123456 AND d = '{type}'",
+    'insert overwrite t PARTITION(p{id%4},q) values ({id}, "{type}", "it")',
+    "CREATE   PIPE p{id%2} AS SELECT 1",
+    "LOAD    LABEL l{id%2}",
+    "/* hint {id%2}?*/ SELECT 1",
+    "select  a.x from t where a.id = {id}  and b{id%3}=3 limit {user%3}",
+    "DELETE FROM t",
+    "DROP TABLE t",
+)
+LONG_TEXT = "repeat(concat('col', event_id % 3, ' = 12 and '), 500)"
+EDGE_LINE = """
+CASE slot
+  WHEN 7 THEN concat('{"message":"|User=u|Stmt=', stmt_text, '|Time=', event_id % 500, '|"}')
+  WHEN 8 THEN concat('{"message":"|Timestamp=', line_ms, '|Stmt=', stmt_text, '|Time=', event_id % 500, '"}')
+  ELSE concat('{"message":"|Timestamp=', line_ms, '|User=u|Stmt=', stmt_text, '|Time=', event_id % 500, '|"}')
+END"""
+
+
+def edge_lines(events: DataFrame) -> DataFrame:
+    """``(event_id, file, line)`` from ``events(event_id, ts, user_id, event_type)``: the edge cases."""
+    slots = len(EDGE_STATEMENTS)
+    quoted = ", ".join(f"'{t}'" if '"' in t else f'"{t}"' for t in EDGE_STATEMENTS)
+    stmt = f"element_at(array({quoted}), CAST(event_id % {slots} AS INT) + 1)"
+    for name, value in (PLACEHOLDERS | {"{long}": LONG_TEXT}).items():
+        stmt = f"replace({stmt}, '{name}', CAST({value} AS STRING))"
+    day_ms = "unix_date(CAST(ts AS DATE)) * 86400000L"
+    return (
+        events.selectExpr("*", f"event_id % {slots} AS slot", f"{day_ms} + (event_id % 7) * 1000 + 123 AS line_ms")
+        .selectExpr("event_id", "slot", "line_ms", f"{stmt} AS stmt_text")
+        .selectExpr("event_id", "CAST(event_id % 3 AS STRING) AS file", f"{EDGE_LINE} AS line")
+    )

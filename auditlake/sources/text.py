@@ -53,6 +53,7 @@ def read_lines(
     paths: str | Sequence[str],
     skip_missing: bool = False,
     status: DataFrame | None = None,
+    partitions: Sequence[str] = (),
 ) -> DataFrame:
     """``(file, block_start, rid, line)`` of all files, in one parallel scan.
 
@@ -62,6 +63,9 @@ def read_lines(
     reason there are not opened at all, and the others are read as strictly. Large files are split, so one file that
     holds most of the data is still read by many tasks; only compressed files are read whole.
 
+    ``partitions`` names columns that the folder names give (``day=2025-08-05``); they come along, and a
+    condition on them, applied to the lines before they are parsed, decides which folders are read.
+
     ``rid`` increases along the lines of a block; ``(file, block_start, rid)`` is the line order.
     These columns must be computed before any shuffle, which is why they are made here.
     """
@@ -69,7 +73,8 @@ def read_lines(
     if skip_missing or status is not None:
         paths = [p for p in paths if _read_text(spark, p, True) is not None]
     if not paths:
-        return spark.createDataFrame([], "file string, block_start bigint, rid bigint, line string")
+        more = "".join(f", `{p}` string" for p in partitions)
+        return spark.createDataFrame([], f"file string, block_start bigint, rid bigint, line string{more}")
     lines = spark.read.text(paths)
     broken = [] if status is None else _broken_files(status)
     if broken:
@@ -80,6 +85,7 @@ def read_lines(
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("rid"),
         F.col("value").alias("line"),
+        *partitions,
     )
 
 
@@ -104,16 +110,27 @@ def file_list(
     fails, or with ``skip_missing`` stays in the list, so that per-file reports show it with zeros.
     Only names are listed; no file is read.
     """
-    ordered: dict[str, None] = {}
-    for path in [paths] if isinstance(paths, str) else paths:
-        lines = _read_text(spark, path, skip_missing)
-        files = [_plain(path)] if lines is None else sorted({_plain(f) for f in lines.inputFiles()})
-        for file in files:
-            ordered.setdefault(file)
+    ordered = dict.fromkeys(_named_files(spark, paths, skip_missing))
     rows = [(file, index) for index, file in enumerate(ordered)]
     return spark.createDataFrame(rows, "file string, file_index bigint")
 
 
+def argument_list(
+    spark: SparkSession, paths: str | Sequence[str], skip_missing: bool = False
+) -> DataFrame:
+    """``(file, position)``: the files of ``file_list``, those that are named twice twice."""
+    rows = [(file, position) for position, file in enumerate(_named_files(spark, paths, skip_missing))]
+    return spark.createDataFrame(rows, "file string, position bigint")
+
+
+def _named_files(spark: SparkSession, paths: str | Sequence[str], skip_missing: bool) -> list[str]:
+    named: list[str] = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        lines = _read_text(spark, path, skip_missing)
+        named += [_plain(path)] if lines is None else sorted({_plain(f) for f in lines.inputFiles()})
+    return named
+
+
 # ---- Whole files -------------------------------------------------------------------------------
 
 # Broken files whose names a scan can leave out; more of them mean that the place itself is broken.

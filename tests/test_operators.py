@@ -488,6 +488,53 @@ def test_parsed_table_is_pruned_by_type(spark, parsed, tmp_path, capsys):
     assert df.count() == parsed["P"].where("op_type = 'write'").count()
 
 
+def test_clustered_table_reads_few_files(spark, parsed, tmp_path, capsys):
+    path = str(tmp_path / "t")
+    results.write_clustered(parsed["P"].repartition(13), path, files=8)
+    index = spark.read.parquet(f"{path}/index").collect()
+    # About as many files as asked for and one more per type, not tasks x types.
+    assert len(index) <= 8 + 5
+    assert sum(r.rows for r in index) == parse.records(parsed["P"]).count()
+    low, high = sorted((r.low, r.high) for r in index if r.op_type == "write")[0]
+    df = results.read_clustered(spark, path, "write", low, low + 3600)
+    expected = parse.records(parsed["P"]).where((F.col("op_type") == "write") & F.col("second_key").between(low, low + 3600))
+    assert sorted(r.event_id for r in df.collect()) == sorted(r.event_id for r in expected.collect()) != []
+    meeting = [r for r in index if r.op_type == "write" and r.low <= low + 3600 and r.high >= low]
+    assert df.select("_metadata.file_path").distinct().count() <= len(meeting) < sum(r.op_type == "write" for r in index)
+
+
+def test_a_day_of_a_dated_folder_is_read_alone(spark, tmp_path, capsys):
+    for day, n in (("2025-08-04", 2), ("2025-08-05", 3)):
+        (tmp_path / f"day={day}").mkdir()
+        write(tmp_path / f"day={day}" / "a.log", [json_line("SELECT 1")] * n)
+    lines = text.with_line_position(text.read_lines(spark, str(tmp_path), partitions=("day",)))
+    ops = aggregate.ops_per_second(parse.parse_lines(lines.where("day = '2025-08-05'")))
+    assert ops.first().n == 3
+    plan = plan_of(ops, capsys)
+    assert re.search(r"PartitionFilters: \[[^]]*day[^]]*2025-08-05", plan)
+    report = reports.single_report(lines.where("day = '2025-08-04'"), pos="pos")
+    assert report["run_metrics"].first().lines == 2
+
+
+def test_single_report_over_files_orders_ties_by_file(spark, tmp_path):
+    b = write(tmp_path / "b.log", ["noise", "noise"] + [json_line("SELECT b FROM t")] * 2)
+    a = write(tmp_path / "a.log", [json_line("SELECT a FROM t")] * 2)
+    files = text.file_list(spark, [b, a])
+    lines = text.with_line_position(text.read_lines(spark, [b, a]))
+    top = reports.single_report(lines, pos="pos", files=files)["top_patterns"].orderBy("rank").collect()
+    assert [r.pattern for r in top] == ["SELECT b FROM t", "SELECT a FROM t"]
+
+
+def test_result_lists_files_in_argument_order(spark, tmp_path):
+    paths = [write(tmp_path / f"{n}.log", [json_line("SELECT 1")] * 2) for n in (3, 1, 2)]
+    arguments = text.argument_list(spark, [*paths, paths[0]])
+    assert [r.file for r in arguments.orderBy("position").collect()] == [*paths, paths[0]]
+    results.write_ordered(arguments.repartition(3), "position", str(tmp_path / "files"))
+    parts = sorted(p for p in (tmp_path / "files").iterdir() if p.name.startswith("part-"))
+    written = [json.loads(line)["file"] for p in parts for line in p.read_text().splitlines()]
+    assert written == [*paths, paths[0]]
+
+
 # ---- Streams -----------------------------------------------------------------------------------
 
 
