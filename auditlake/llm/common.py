@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,21 @@ def batch_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches cut into smaller ones, so that a task holds few texts and results at a time."""
+    """The batches cut into smaller ones, so that a task holds few texts and results at a time.
+
+    At the end of a task's input, memory that is free but held by the worker goes back to the machine: the
+    worker lives on, and other stages need it.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what the allocators of this worker hold without using it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        return

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import in_slices, materialize, text_or_empty, texts_of
+from auditlake.llm.common import give_back, in_slices, materialize, text_or_empty, texts_of
 from auditlake.llm.tokenizer import corpus_encoder
 
 CAPACITY = 1024
@@ -80,6 +80,7 @@ def token_pieces(
         if release:
             del encoder
             corpus_encoder.cache_clear()
+            give_back()
 
     id_type = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), text_or_empty(text).alias("text"))
