@@ -23,7 +23,8 @@ large group, both sides are compared block by block inside tasks, and only links
 the rounds look at every pair of a list that could join two components.
 
 Skewed lists are hot keys of joins with a plain exchange on either side, which Spark splits, and all
-counts combine before their shuffles. Intermediate tables lie in the shared folder.
+counts combine before their shuffles. Sets travel as compressed texts, which are a fraction of their
+hashes, and only those of classes in a pair. Intermediate tables lie in the shared folder.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,9 @@ from auditlake.llm.components import components
 COORDINATES, MATCHES, OVERLAP = 64, 36, 4
 PREFIX = COORDINATES - MATCHES + OVERLAP
 SIMILAR, OF = 80, 100
-# Groups with more pairs than this to look at are compared in blocks of so many classes.
-GROUP_PAIRS, BLOCK_OUTSIDE, BLOCK_ALL = 16_384, 128, 256
+# Groups with more pairs than this to look at are compared in blocks of about so many classes, or of so
+# many shingles if these are fewer classes.
+GROUP_PAIRS, BLOCK_OUTSIDE, BLOCK_ALL, BLOCK_SHINGLES = 16_384, 512, 1024, 1 << 19
 
 _RANDOM = np.random.default_rng(7)
 _FACTORS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,30 +167,37 @@ def _sizes_fit(n: str, m: str) -> Column:
     return F.least(n, m) * OF >= F.greatest(n, m) * SIMILAR
 
 
-def _full_sets(postings: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(doc, signature, shingles)`` of every class that is posted.
+def _set_of(packed: bytes) -> np.ndarray:
+    """The shingles of a text that travelled compressed."""
+    return shingle_set(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
+
+
+def _full_texts(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(doc, signature, packed)`` of every class that is posted: its text compressed, which is smaller
+    than its set.
 
     An identifier that comes with several texts has a row for each; a link of one of them is a link of
     the document.
     """
     needed = postings.select(F.col("rep").alias("doc")).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=6, write_checksum=False)
         for batch in in_slices(batches):
-            made = [shingle_set(t) for t in texts_of(batch.column(1))]
-            filled = pa.array([len(m) > 0 for m in made], pa.bool_())
-            packed = [signature(m).tobytes() for m in made if len(m)]
+            doc, signatures, packed = [], [], []
+            for number, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                shingles = shingle_set(text)
+                if len(shingles):
+                    doc.append(number)
+                    signatures.append(signature(shingles).tobytes())
+                    packed.append(compressor.compress(text.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).filter(filled),
-                    pa.array(packed, pa.binary()),
-                    pa.array([m.tobytes() for m in made if len(m)], pa.binary()),
-                ],
-                ["doc", "signature", "shingles"],
+                [pa.array(doc, pa.int64()), pa.array(signatures, pa.binary()), pa.array(packed, pa.binary())],
+                ["doc", "signature", "packed"],
             )
 
     texts = docs.select("doc", "text").join(needed, "doc", "left_semi")
-    return materialize(texts.mapInArrow(sets, "doc long, signature binary, shingles binary"))
+    return materialize(texts.mapInArrow(run, "doc long, signature binary, packed binary"))
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
@@ -208,7 +218,8 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
     def sides(pairs: DataFrame, column: str) -> DataFrame:
         def side(name: str) -> DataFrame:
-            return full.select(F.col("doc").alias(name), F.col(column).alias(f"{name}_{column}"))
+            rows = full.select(F.col("doc").alias(name), F.col(column).alias(f"{name}_{column}"))
+            return rows.join(pairs.select(name).distinct(), name, "left_semi")
 
         joined = pairs.join(side("b"), "b").join(side("a"), "a")
         return joined.select("a", "b", f"a_{column}", f"b_{column}")
@@ -228,11 +239,11 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
         return int((np.frombuffer(mine, np.uint32) == np.frombuffer(theirs, np.uint32)).sum()) >= MATCHES
 
     def similar(left: bytes, right: bytes) -> bool:
-        a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+        a, b = _set_of(left), _set_of(right)
         common = len(np.intersect1d(a, b, assume_unique=True))
         return OF * common >= SIMILAR * (len(a) + len(b) - common)
 
-    return kept(sides(kept(sides(materialize(pairs), "signature"), matching), "shingles"), similar)
+    return kept(sides(kept(sides(materialize(pairs), "signature"), matching), "packed"), similar)
 
 
 def _pivot() -> Column:
@@ -281,17 +292,23 @@ def _links_in_blocks(members: DataFrame, full: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between classes outside a main component and all classes of its lists, at least
     one for every two components that a class joins.
 
-    ``members`` are ``(main, rep, component, outside, all)`` with the numbers of either kind. Both sides
-    are dealt to blocks of bounded size and every pair of blocks is compared in one task, so that a group
-    sends each of its sets to a few blocks instead of to every partner.
+    ``members`` are ``(main, rep, component, outside, all, outside_n, all_n)`` with the numbers of classes
+    and of shingles of either kind. Both sides are dealt to blocks of bounded size and every pair of
+    blocks is compared in one task, so that a group sends each of its texts to a few blocks instead of to
+    every partner.
     """
-    sets = full.select(F.col("doc").alias("rep"), "signature", "shingles")
+    texts = full.select(F.col("doc").alias("rep"), "signature", "packed")
+    texts = texts.join(members.select("rep").distinct(), "rep", "left_semi")
+
+    def blocks(classes: str, shingles: str, most: int) -> Column:
+        return F.ceil(F.greatest(F.col(classes) / most, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
     rows = (
-        members.join(sets, "rep")
-        .withColumn("x_blocks", F.ceil(F.col("outside") / BLOCK_OUTSIDE).cast("int"))
-        .withColumn("y_blocks", F.ceil(F.col("all") / BLOCK_ALL).cast("int"))
+        members.join(texts, "rep")
+        .withColumn("x_blocks", blocks("outside", "outside_n", BLOCK_OUTSIDE))
+        .withColumn("y_blocks", blocks("all", "all_n", BLOCK_ALL))
     )
-    fields = ("main", "x", "y", "rep", "component", "signature", "shingles")
+    fields = ("main", "x", "y", "rep", "component", "signature", "packed")
 
     def dealt(rows: DataFrame, own: str, other: str, seed: int) -> DataFrame:
         place = F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(f"{own}_blocks")).cast("int")
@@ -311,23 +328,23 @@ def _links_in_blocks(members: DataFrame, full: DataFrame) -> DataFrame:
                 np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
                 for t in (left, right)
             )
-            y_sets = [np.frombuffer(raw, np.uint64) for raw in right["shingles"].to_pylist()]
+            y_sets = [_set_of(raw) for raw in right["packed"].to_pylist()]
             sizes = np.array([len(s) for s in y_sets])
             owner = np.repeat(np.arange(len(y)), sizes)
             pooled = np.concatenate(y_sets)
             order = np.argsort(pooled)
             pooled, owner = pooled[order], owner[order]
-            for row, raw in enumerate(left["shingles"].to_pylist()):
+            for row, raw in enumerate(left["packed"].to_pylist()):
                 wanted = (y_part != x_part[row]) & (~y_out | (x[row] < y))
                 wanted &= (y_sig == x_sig[row]).sum(axis=1) >= MATCHES
                 if not wanted.any():
                     continue
-                mine = np.frombuffer(raw, np.uint64)
-                begin, end = np.searchsorted(pooled, mine), np.searchsorted(pooled, mine, side="right")
-                edges = np.zeros(len(pooled) + 1, dtype=np.int32)
-                np.add.at(edges, begin, 1)
-                np.add.at(edges, end, -1)
-                common = np.bincount(owner[np.cumsum(edges[:-1]) > 0], minlength=len(y))
+                mine = _set_of(raw)
+                begin = np.searchsorted(pooled, mine)
+                found = np.searchsorted(pooled, mine, side="right") - begin
+                # The places begin, begin + 1, ... of every shingle, one run after the other.
+                places = np.repeat(begin - np.cumsum(found) + found, found) + np.arange(found.sum())
+                common = np.bincount(owner[places], minlength=len(y))
                 linked = wanted & (OF * common >= SIMILAR * (sizes + len(mine) - common))
                 # One link joins a component as well as many do.
                 _, some = np.unique(y_part[linked], return_index=True)
@@ -343,15 +360,20 @@ def _links_in_blocks(members: DataFrame, full: DataFrame) -> DataFrame:
 def _crossing_links(postings: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
     """The links between different components: by pairs in small groups, by blocks in large ones."""
     mixed = _mixed_lists(postings, found)
-    members = materialize(mixed.select("main", "rep", "component").distinct())
-    outside = F.sum((F.col("component") != F.col("main")).cast("long"))
+    members = materialize(mixed.select("main", "rep", "component", "n").distinct())
+    is_outside = (F.col("component") != F.col("main")).cast("long")
     large = materialize(
         members.groupBy("main")
-        .agg(outside.alias("outside"), F.count(F.lit(1)).alias("all"))
+        .agg(
+            F.sum(is_outside).alias("outside"),
+            F.count(F.lit(1)).alias("all"),
+            F.sum(is_outside * F.col("n")).alias("outside_n"),
+            F.sum("n").alias("all_n"),
+        )
         .where(F.col("outside") * F.col("all") > GROUP_PAIRS)
     )
     by_pairs = _confirmed(_counted(_crossing_pairs(mixed.join(large, "main", "left_anti"))), full)
-    return by_pairs.unionByName(_links_in_blocks(members.join(large, "main"), full))
+    return by_pairs.unionByName(_links_in_blocks(members.drop("n").join(large, "main"), full))
 
 
 def _crossing_pairs(mixed: DataFrame) -> DataFrame:
@@ -392,7 +414,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
         .agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     )
     postings = materialize(_postings(classes))
-    full = _full_sets(postings, known)
+    full = _full_texts(postings, known)
     links = _confirmed(_counted(_pivot_pairs(postings)), full)
     found = components(links)
     rest = _crossing_links(postings, found, full)
