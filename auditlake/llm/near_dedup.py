@@ -181,23 +181,27 @@ def _full_texts(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """
     needed = postings.select(F.col("rep").alias("doc")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=6, write_checksum=False)
         for batch in in_slices(batches):
-            doc, signatures, packed = [], [], []
-            for number, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                shingles = shingle_set(text)
-                if len(shingles):
-                    doc.append(number)
-                    signatures.append(signature(shingles).tobytes())
-                    packed.append(compressor.compress(text.encode("utf-8", "surrogatepass")))
+            raw = (text.encode("utf-8", "surrogatepass") for text in texts_of(batch.column(1)))
+            packed = pa.array([compressor.compress(r) for r in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc", "packed"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            made = [_set_of(packed) for packed in batch.column(1).to_pylist()]
+            filled = pa.array([len(m) > 0 for m in made], pa.bool_())
+            signatures = pa.array([signature(m).tobytes() for m in made if len(m)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(signatures, pa.binary()), pa.array(packed, pa.binary())],
+                [batch.column(0).filter(filled), signatures, batch.column(1).filter(filled)],
                 ["doc", "signature", "packed"],
             )
 
-    texts = docs.select("doc", "text").join(needed, "doc", "left_semi")
-    return materialize(texts.mapInArrow(run, "doc long, signature binary, packed binary"))
+    # Compressed before the join, so that the join moves small rows however it is planned.
+    packed = docs.select("doc", "text").mapInArrow(pack, "doc long, packed binary")
+    texts = packed.join(needed, "doc", "left_semi")
+    return materialize(texts.mapInArrow(sign, "doc long, signature binary, packed binary"))
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
