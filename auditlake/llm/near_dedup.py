@@ -377,7 +377,9 @@ def _crossing_links(postings: DataFrame, found: DataFrame, full: DataFrame) -> D
         .where(F.col("outside") * F.col("all") > GROUP_PAIRS)
     )
     by_pairs = _confirmed(_counted(_crossing_pairs(mixed.join(large, "main", "left_anti"))), full)
-    return by_pairs.unionByName(_links_in_blocks(members.drop("n").join(large, "main"), full))
+    # Stored, so that its size is known where texts are looked up by it.
+    of_large = materialize(members.drop("n").join(large, "main"))
+    return by_pairs.unionByName(_links_in_blocks(of_large, full))
 
 
 def _crossing_pairs(mixed: DataFrame) -> DataFrame:
