@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.anchors import Rolling, segments
@@ -42,6 +42,8 @@ WIDTH, GRAM = 200, 64
 # Distinct segments of one anchor that are expanded together; anchors with more are dealt to groups.
 GROUP = 48
 BLOCK_BYTES = 1 << 16
+# Spans are merged within parts of a text of so many bytes before they are gathered.
+SPAN_PART = 4096
 NO_ID = -(1 << 63)
 
 
@@ -165,7 +167,7 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "key long, content long, parts int, segment binary")
 
 
-RUNS = "array<struct<begin:int,end:int>>"
+RUNS, SPANS = "array<struct<begin:int,end:int>>", "array<struct<begin:bigint,end:bigint>>"
 
 
 def _by_blocks(reps: DataFrame, width: int, by: tuple[str, ...]) -> DataFrame:
@@ -283,18 +285,47 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("windows").cast("int").alias("end"))).cast(RUNS)
     full = distinct.where(F.col("n") > 1).select("key", "content", whole.alias("runs"))
     marks = materialize(full.unionByName(partial))
-    spans = candidates.join(marks, ["key", "content"]).select(
+    runs = candidates.join(marks, ["key", "content"]).select("doc", "tid", "start", F.explode("runs").alias("run"))
+    return _gathered(
+        runs.select(
+            "doc",
+            "tid",
+            (F.col("start") + F.col("run.begin")).alias("begin"),
+            (F.col("start") + F.col("run.end") + (width - 1)).alias("end"),
+        )
+    )
+
+
+def _gathered(spans: DataFrame) -> DataFrame:
+    """``(doc, tid, spans)`` from single spans: cut at the edges of parts of a text, merged part by part.
+
+    A text whose every window repeats has a span for each byte, and each row that repeats a text has
+    them again. Equal spans of a part combine before the exchange; merged, a part holds few, as spans are
+    long, so what is gathered for a text is a small share of its bytes.
+    """
+    cut = spans.withColumn(
+        "part", F.explode(F.expr(f"sequence(begin div {SPAN_PART}, (end - 1) div {SPAN_PART})"))
+    ).select(
         "doc",
         "tid",
-        F.transform(
-            "runs",
-            lambda r: F.struct(
-                (F.col("start") + r["begin"]).alias("begin"),
-                (F.col("start") + r["end"] + (width - 1)).alias("end"),
-            ),
-        ).alias("spans"),
+        "part",
+        F.greatest("begin", F.col("part") * SPAN_PART).alias("begin"),
+        F.least("end", (F.col("part") + 1) * SPAN_PART).alias("end"),
     )
-    return spans.groupBy("doc", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def add(merged: Column, span: Column) -> Column:
+        last = F.try_element_at(merged, F.lit(-1))
+        longer = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"))
+        touching = F.concat(F.slice(merged, 1, F.size(merged) - 1), F.array(longer)).cast(SPANS)
+        return F.when(span["begin"] <= last["end"], touching).otherwise(
+            F.concat(merged, F.array(span)).cast(SPANS)
+        )
+
+    parts = cut.groupBy("doc", "tid", "part").agg(
+        F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("found")
+    )
+    merged = parts.select("doc", "tid", F.aggregate("found", F.array().cast(SPANS), add).alias("spans"))
+    return merged.groupBy("doc", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merge_spans(spans: list[dict]) -> list[tuple[int, int]]:
@@ -319,6 +350,18 @@ def _prepared(docs: DataFrame, text: str, id: str) -> DataFrame:
     )
 
 
+def _with_spans(docs: DataFrame, keep: list[str], width: int, gram: int, text: str, id: str) -> DataFrame:
+    """Columns ``keep`` of every row of ``docs``, then its text, never null, and its spans or null."""
+    rows = _prepared(docs, text, id)
+    names = {"doc": "__dedup_doc", "tid": "__dedup_tid", "text": "__dedup_text"}
+    plain = rows.select(*[F.col(name).alias(short) for short, name in names.items()])
+    spans = repeated_spans(plain, width, gram).select(
+        F.col("doc").alias("__dedup_doc"), F.col("tid").alias("__dedup_tid"), F.col("spans").alias("__dedup_spans")
+    )
+    joined = rows.join(spans, ["__dedup_doc", "__dedup_tid"], "left")
+    return joined.select(*keep, "__dedup_text", "__dedup_spans")
+
+
 def suffix_dedup(
     docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text: str = "text", id: str = "doc_id"
 ) -> DataFrame:
@@ -329,13 +372,8 @@ def suffix_dedup(
     Rows without identifier are treated by their texts. Existing columns of the three names are
     replaced; an empty table gives no rows.
     """
-    rows = _prepared(docs, text, id)
-    plain = rows.select(F.col("__dedup_doc").alias("doc"), F.col("__dedup_tid").alias("tid"), F.col("__dedup_text").alias("text"))
-    spans = repeated_spans(plain, width, gram).select(
-        F.col("doc").alias("__dedup_doc"), F.col("tid").alias("__dedup_tid"), F.col("spans").alias("__dedup_spans")
-    )
     keep = [c for c in docs.columns if c not in ("kept", "spans", "n_bytes")]
-    joined = rows.join(spans, ["__dedup_doc", "__dedup_tid"], "left").select(*keep, "__dedup_text", "__dedup_spans")
+    joined = _with_spans(docs, keep, width, gram, text, id)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,9 +394,33 @@ def suffix_dedup(
                 [*keep, "kept", "spans", "n_bytes"],
             )
 
-    return joined.mapInArrow(
-        run, f"{fields}, kept binary, spans array<struct<begin:bigint,end:bigint>>, n_bytes long"
-    )
+    return joined.mapInArrow(run, f"{fields}, kept binary, spans {SPANS}, n_bytes long")
+
+
+def drop_passages(
+    docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text: str = "text", id: str = "doc_id"
+) -> DataFrame:
+    """``docs`` with what ``suffix_dedup`` keeps as the text, all other columns as they are.
+
+    Characters that a repeated passage covers only in part stay, so a text is whole characters. A null
+    text becomes an empty one.
+    """
+    columns = docs.columns
+    at = columns.index(text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            found = zip(texts_of(batch.column(len(columns))), batch.column(len(columns) + 1).to_pylist(), strict=True)
+            texts = [
+                whole_characters(value, [{"begin": a, "end": b} for a, b in merge_spans(gone)]) if gone else value
+                for value, gone in found
+            ]
+            arrays = list(batch.columns[: len(columns)])
+            arrays[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return _with_spans(docs, columns, width, gram, text, id).mapInArrow(run, fields)
 
 
 def whole_characters(text: str, spans: list[dict]) -> str:

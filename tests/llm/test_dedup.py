@@ -177,6 +177,42 @@ def test_suffix_dedup_long_text_is_cut_into_blocks(make_docs, monkeypatch):
     check_suffix(make_docs(rows), rows, 60)
 
 
+def test_spans_of_a_text_of_one_byte_are_merged_before_they_are_gathered(spark):
+    """Every byte begins a repeated window; what is gathered is one span a part, in every copy."""
+    text, part = "x" * 100_000, suffix_dedup.SPAN_PART
+    docs = spark.createDataFrame([(1, 7, text), (1, 7, text), (2, 8, "y" * 150)], "doc long, tid long, text string")
+    found = suffix_dedup.repeated_spans(docs.repartition(2)).collect()
+    assert [(r.doc, r.tid) for r in found] == [(1, 7)]
+    assert len(found[0].spans) == -(-len(text) // part)
+    assert suffix_dedup.merge_spans(found[0].spans) == [(0, len(text))]
+
+
+def test_gathered_spans_cover_what_single_spans_cover(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPAN_PART", 64)
+    rng = random.Random(3)
+    rows = [(d, d % 3, b, b + rng.randint(1, 150)) for d in range(8) for b in rng.choices(range(900), k=12)]
+    found = suffix_dedup._gathered(spark.createDataFrame(rows, "doc long, tid long, begin long, end long")).collect()
+    assert sorted((r.doc, r.tid) for r in found) == sorted({r[:2] for r in rows})
+    for r in found:
+        mine = [{"begin": b, "end": e} for d, _, b, e in rows if d == r.doc]
+        assert suffix_dedup.merge_spans(r.spans) == suffix_dedup.merge_spans(mine)
+
+
+def test_drop_passages_keeps_columns_and_whole_characters(make_docs):
+    rows = [(d, t[:3000] if t else t) for d, t in awkward()] + [(30, "é日" * 90), (31, "日" + "é日" * 60)]
+    found = suffix_dedup.drop_passages(make_docs(rows), 60, 20)
+    assert found.columns == make_docs(rows).columns
+    expected = []
+    for (d, t), flags in zip(rows, covered([t for _, t in rows], 60), strict=True):
+        kept, at = "", 0
+        for c in t or "":
+            size = len(c.encode())
+            kept += "" if all(flags[at : at + size]) else c
+            at += size
+        expected.append((str(d), kept, "d"))
+    assert sorted((str(r.doc_id), r.text, r.digest) for r in found.collect()) == sorted(expected)
+
+
 def test_suffix_dedup_empty(make_docs):
     assert suffix_dedup.suffix_dedup(make_docs([])).collect() == []
 
