@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
-from auditlake.llm.common import in_slices, materialize, table, texts_of
+from auditlake.llm.common import materialize, table
 from auditlake.llm.queries import tokenizer_path
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -43,29 +43,8 @@ def _suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Characters that such a passage covers only in part stay, so the text is whole characters.
     """
-    columns = docs.columns
-    found = suffix_dedup.suffix_dedup(docs).select(*columns, "spans")
-    at = columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def cut(batches):
-        import pyarrow as pa
-
-        for batch in in_slices(batches):
-            spans = batch.column(len(columns)).to_pylist()
-            texts = [
-                suffix_dedup.whole_characters(text, gone) if gone else text
-                for text, gone in zip(texts_of(batch.column(at)), spans, strict=True)
-            ]
-            arrays = list(batch.columns[: len(columns)])
-            arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, columns)
-
-    return (
-        found.mapInArrow(cut, fields)
-        .withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-        .select(*columns)
-    )
+    found = suffix_dedup.drop_passages(docs)
+    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
