@@ -25,7 +25,8 @@ def labelled_sample(
     """``(id, text, label)`` of at most ``per_class`` documents of either class, by hash order.
 
     Identifiers without a label, or labelled both ways, are left out. The chosen identifiers are at
-    most ``2 * per_class`` rows, which is the bound of the broadcast that finds their texts.
+    most ``2 * per_class`` rows, which is the bound of the broadcast that finds their texts. An identifier
+    gives one row however many rows repeat it; of several texts it is the least.
     """
     once = (
         labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1) & learnable)
@@ -39,4 +40,5 @@ def labelled_sample(
         part = once.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select(F.col(id).alias("id"), text_or_empty(text).alias("text"))
-    return rows.join(F.broadcast(chosen), "id").select("id", "text", "label")
+    found = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    return found.select("id", "text", "label")

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from cases import awkward, prose
 from compare import compare, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from auditlake.llm import kd_search, license_scan, oracle, quality_cnn, queries, toxicity
+from auditlake.llm.labelled import labelled_sample
 from auditlake.llm.quality_cnn import ByteConvNet, chunks_of
 
 
@@ -236,3 +238,13 @@ def test_quality(spark, make_docs):
     held = [r for r in found if r.held_out and r.doc_id < 160]
     assert held and sum(r.predicted == r.doc_id % 2 for r in held) >= 0.9 * len(held)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
+
+
+def test_labelled_sample_is_bounded_by_identifiers(spark):
+    """An identifier that thousands of rows repeat is one row of the sample, with its least text."""
+    rows = [(1, "b")] * 3000 + [(1, "a")] + [(n, f"text {n}") for n in range(2, 30)] + [(None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1, 30)] + [(1, 1)], "doc_id long, toxic int")
+    found = labelled_sample(docs, labels, "toxic", F.lit(True), per_class=50).collect()
+    assert sorted((r.id, r.label, r.text) for r in found) == [(1, 1, "a")] + [(n, n % 2, f"text {n}") for n in range(2, 30)]
+    assert len(labelled_sample(docs, labels, "toxic", F.lit(True), per_class=5).collect()) == 10
