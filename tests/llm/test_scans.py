@@ -26,9 +26,9 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     assert compare(spark, con, name, sf_dir) is None
 
 
-def test_ten_operators_are_registered():
+def test_all_thirteen_operators_are_registered():
     numbers = [int(name[2:].split("_")[0]) for name in queries.queries()]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(queries.queries()) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
