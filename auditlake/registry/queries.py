@@ -19,7 +19,7 @@ from auditlake.registry.oracle import DELAY_DAYS, FIRST_MANY, FIRST_N, IGNORE
 from auditlake.session import qualified, shared_dir
 from auditlake.sinks import results
 from auditlake.sources import text
-from auditlake.sources.events import audit_lines, edge_lines, read_audit_lines
+from auditlake.sources.events import audit_lines, read_audit_lines, read_edge_lines
 from auditlake.streaming import ops as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,7 +247,7 @@ def _parsed_table_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edge_records(profile: Profile) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = edge_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+        lines = read_edge_lines(spark, sf_dir)
         return parse.records(parse.parse_lines(lines, profile, IGNORE)).select(
             "event_id",
             "op_type",
@@ -261,7 +261,7 @@ def _edge_records(profile: Profile) -> Query:
 
 
 def _edge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = edge_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    lines = read_edge_lines(spark, sf_dir)
     return aggregate.run_metrics(parse.parse_lines(lines, PYTHON, IGNORE), PYTHON)
 
 

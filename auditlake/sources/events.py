@@ -100,6 +100,9 @@ EDGE_STATEMENTS = (
     "DROP TABLE t",
 )
 LONG_TEXT = "repeat(concat('col', event_id % 3, ' = 12 and '), 500)"
+# Events a task turns into edge lines. A compressed event takes some 20 bytes and its line up to 7,000, so splits
+# by bytes of the events, or by their row groups, leave whole tables to a few tasks.
+EVENTS_A_TASK = 25_000
 EDGE_LINE = """
 CASE slot
   WHEN 7 THEN concat('{"message":"|User=u|Stmt=', stmt_text, '|Time=', event_id % 500, '|"}')
@@ -113,11 +116,21 @@ def edge_lines(events: DataFrame) -> DataFrame:
     slots = len(EDGE_STATEMENTS)
     quoted = ", ".join(f"'{t}'" if '"' in t else f'"{t}"' for t in EDGE_STATEMENTS)
     stmt = f"element_at(array({quoted}), CAST(event_id % {slots} AS INT) + 1)"
-    for name, value in (PLACEHOLDERS | {"{long}": LONG_TEXT}).items():
+    for name, value in PLACEHOLDERS.items():
         stmt = f"replace({stmt}, '{name}', CAST({value} AS STRING))"
+    # The long text is made only where it is put in.
+    filled = f"IF(contains(stmt_text, '{{long}}'), replace(stmt_text, '{{long}}', {LONG_TEXT}), stmt_text) AS stmt_text"
     day_ms = "unix_date(CAST(ts AS DATE)) * 86400000L"
     return (
         events.selectExpr("*", f"event_id % {slots} AS slot", f"{day_ms} + (event_id % 7) * 1000 + 123 AS line_ms")
         .selectExpr("event_id", "slot", "line_ms", f"{stmt} AS stmt_text")
+        .selectExpr("event_id", "slot", "line_ms", filled)
         .selectExpr("event_id", "CAST(event_id % 3 AS STRING) AS file", f"{EDGE_LINE} AS line")
     )
+
+
+def read_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge cases of ``<sf_dir>/events.parquet``, dealt evenly to tasks before lines are made of them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    tasks = -(-events.count() // EVENTS_A_TASK)  # counted from the footers
+    return edge_lines(events.repartition(max(1, tasks)))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from auditlake import AWK, PYTHON, SHELL
 from auditlake.functions import classify, normalize
+from auditlake.functions import fixed_values as fx
 from auditlake.operators import aggregate, parse
+from auditlake.sources import events
 
 MS = "1754366404909"
 PROFILES = {"P": PYTHON, "A": AWK, "E": SHELL}
@@ -233,3 +235,45 @@ def test_empty_log(spark, lines, profile):
     overall = aggregate.concurrency_overall(ops, p).collect()
     assert len(overall) == 5 and all(tuple(r)[1:] == (0, 0.0, 0) for r in overall)
     assert tuple(aggregate.run_metrics(empty).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_awk_pattern_is_that_of_every_rule_in_turn(spark):
+    """Statements that skip the rules for hyphens and last numbers get the pattern of all rules."""
+    import re
+
+    ends = ["", "5", "b", ")", "'", '"', " ", "\t", "-", ";", "é", "x = 7", "x = 7 ", "= 7", "x=1 =5"]
+    starts = ["", "a  b\n", "k = 3 ", "d = '2024-01-02'", "2024-01-02 03:04:05 ", "PARTITION (p1,q) ", "x = 'a = 5' ", 'x "- 1" ']
+    uuid = "a1b2c3d4-ab12-cd34-ef56-abcdef123456"
+    texts = [s + m + e for s in starts for m in ("", uuid, " y1 = 22 and ") for e in ends]
+    rules = [
+        (fx.QUOTED, "'STRING'"),
+        (fx.DOUBLE_QUOTED, '"STRING"'),
+        (fx.FIELD_EQUALS_NUMBER, "FIELD=NUMBER "),
+        (fx.FIELD_EQUALS_LAST_NUMBER.replace(r"\z", r"\Z"), "FIELD=NUMBER"),
+        (fx.UUID, "UUID"),
+        (fx.TIMESTAMP_TEXT, "TIMESTAMP"),
+        (fx.DATE_TEXT, "DATE"),
+        (fx.PARTITION_LIST, "PARTITION (PARTITIONS)"),
+    ]
+
+    def expected(text):
+        text = re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
+        for pattern, replacement in rules:
+            text = re.sub(pattern, replacement, text, flags=re.ASCII)
+        return text
+
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "stmt string")
+    found = {r.stmt: r.pattern for r in frame.select("stmt", normalize.normalize(F.col("stmt"), "A").alias("pattern")).collect()}
+    assert found == {t: expected(t) for t in texts} | {None: None}
+
+
+def test_edge_lines_are_dealt_to_tasks_by_events(spark, tmp_path):
+    """One row group of events, which one task reads, becomes lines in several tasks of bounded size."""
+    n = 2 * events.EVENTS_A_TASK + 9
+    made = spark.range(n).selectExpr("id AS event_id", "timestamp_ntz'2024-01-02 03:04:05' AS ts", "id AS user_id", "'a' AS event_type")
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    lines = events.read_edge_lines(spark, str(tmp_path))
+    sizes = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and sum(sizes) == n and max(sizes) <= events.EVENTS_A_TASK
+    plain = events.edge_lines(spark.read.parquet(f"{tmp_path}/events.parquet"))
+    assert lines.exceptAll(plain).count() == plain.exceptAll(lines).count() == 0
