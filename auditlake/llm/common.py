@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.session import materialize
 
-__all__ = ["batch_bytes", "in_slices", "materialize", "table", "text_or_empty", "texts_of"]
+__all__ = ["batch_bytes", "in_slices", "materialize", "release", "table", "text_or_empty", "texts_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +57,15 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library, which has no such call
         return
+
+
+def release(spark: SparkSession) -> None:
+    """Free what finished steps left on the driver, and the shuffle files they left on executors.
+
+    Plans, broadcast blocks and shuffles of tables that are written go when the driver collects its
+    garbage. With many small steps in a row its heap reaches its limit before that; called between steps
+    it stays near what is still used.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()

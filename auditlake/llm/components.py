@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import materialize
+from auditlake.llm.common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         )
         changed = joined.where(F.col("next") != F.col("label")).limit(1).count()
         labels = joined.select("a", F.col("next").alias("label"))
+        release(edges.sparkSession)
         if not changed:
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))

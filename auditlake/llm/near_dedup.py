@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.anchors import BLOCK, Rolling, mix
-from auditlake.llm.common import in_slices, materialize, text_or_empty, texts_of
+from auditlake.llm.common import in_slices, materialize, release, text_or_empty, texts_of
 from auditlake.llm.components import components
 
 COORDINATES, MATCHES, OVERLAP = 64, 36, 4
@@ -420,10 +420,14 @@ def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
         .agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     )
     postings = materialize(_postings(classes))
+    release(docs.sparkSession)
     full = _full_texts(postings, known)
+    release(docs.sparkSession)
     links = _confirmed(_counted(_pivot_pairs(postings)), full)
+    release(docs.sparkSession)
     found = components(links)
     rest = _crossing_links(postings, found, full)
+    release(docs.sparkSession)
     found = materialize(components(links.unionByName(rest)))
     of_class = materialize(
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.anchors import Rolling, segments
-from auditlake.llm.common import batch_bytes, in_slices, materialize, text_or_empty, texts_of
+from auditlake.llm.common import batch_bytes, in_slices, materialize, release, text_or_empty, texts_of
 
 WIDTH, GRAM = 200, 64
 # Distinct segments of one anchor that are expanded together; anchors with more are dealt to groups.
@@ -258,6 +258,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         .select("key", (F.col("low") != F.col("high")).alias("mixed"))
     )
     candidates = materialize(found.join(again, "key"))
+    release(docs.sparkSession)
     distinct = materialize(
         candidates.groupBy("key", "content")
         .agg(
@@ -280,11 +281,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         .select("key", "content", "parts", "doc", "tid", "start", (F.col("windows") + width - 1).alias("length"))
     )
     reps = materialize(_bytes_of(docs, wanted)).withColumn("hot", F.col("parts") > 1)
+    release(docs.sparkSession)
     few = _by_blocks(reps.where(~F.col("hot")), width, ("key",)).select("key", "content", "runs")
     partial = few.unionByName(_hot_anchors(reps.where("hot"), width))
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("windows").cast("int").alias("end"))).cast(RUNS)
     full = distinct.where(F.col("n") > 1).select("key", "content", whole.alias("runs"))
     marks = materialize(full.unionByName(partial))
+    release(docs.sparkSession)
     runs = candidates.join(marks, ["key", "content"]).select("doc", "tid", "start", F.explode("runs").alias("run"))
     return _gathered(
         runs.select(

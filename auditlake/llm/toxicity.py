@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import in_slices, text_or_empty, texts_of
+from auditlake.llm.common import in_slices, release, text_or_empty, texts_of
 from auditlake.llm.labelled import fold, labelled_sample
 
 PER_CLASS, MARKS, FEATURES = 2_000, 2_000, 4_000
@@ -58,6 +58,13 @@ def features_of(text: str) -> set[str]:
     return {mark for word in words_of(text) for mark in marks_of(word)}
 
 
+def features_in(texts: Iterator[str]) -> Iterator[tuple[str, ...]]:
+    """The features of each text; equal features are one string, and a tuple is a fraction of a set."""
+    known: dict[str, str] = {}
+    for text in texts:
+        yield tuple(known.setdefault(feature, feature) for feature in features_of(text))
+
+
 @dataclass
 class Voters:
     """Lists of marks; each is a voter, and so is having at least so many different marks."""
@@ -72,9 +79,9 @@ class Voters:
     def __len__(self) -> int:
         return len(self.lists) + len(self.at_least)
 
-    def vote(self, features: set[str]) -> np.ndarray:
+    def vote(self, features: Collection[str]) -> np.ndarray:
         fired = np.zeros(len(self), dtype=np.int64)
-        hits = features & self.lists_of.keys()
+        hits = self.lists_of.keys() & features
         words = 0
         for mark in hits:
             fired[self.lists_of[mark]] = 1
@@ -84,7 +91,7 @@ class Voters:
         return fired
 
 
-def without_copies(sample: list[tuple[int, set[str]]]) -> list[tuple[int, set[str]]]:
+def without_copies(sample: Iterator[tuple[int, Collection[str]]]) -> list[tuple[int, Collection[str]]]:
     """The sample without near copies, whose common words would look like marks.
 
     A text goes if four of five MinHash values of its words agree with one that stays.
@@ -109,7 +116,7 @@ def surprise(rows: float, hits: float, share: float) -> float:
     return total + (misses * np.log(misses / (rows * (1 - share))) if misses > 0 else 0.0)
 
 
-def make_voters(sample: list[tuple[int, set[str]]]) -> Voters:
+def make_voters(sample: list[tuple[int, Collection[str]]]) -> Voters:
     """Voters from labelled feature sets: marks with far higher odds among toxic texts."""
     counts: dict[str, list[int]] = {}
     total = [0, 0]
@@ -223,7 +230,7 @@ def count_votes(docs: DataFrame, voters: Voters, text: str = "text") -> np.ndarr
 
 
 def train_linear(
-    features: list[set[str]], posterior: np.ndarray, steps: int = 800, rate: float = 5.0, decay: float = 1e-4
+    features: list[Collection[str]], posterior: np.ndarray, steps: int = 800, rate: float = 5.0, decay: float = 1e-4
 ) -> tuple[dict[str, float], float]:
     """Logistic regression on posterior labels: weights by feature, and the bias."""
     sums: dict[str, np.ndarray] = {}
@@ -237,7 +244,7 @@ def train_linear(
     index = {feature: n for n, feature in enumerate(chosen)}
     rows, columns = [], []
     for row, present in enumerate(features):
-        mine = [index[f] for f in present & index.keys()]
+        mine = sorted(index[f] for f in index.keys() & present)
         rows += [row] * len(mine)
         columns += mine
     rows, columns = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
@@ -295,7 +302,9 @@ def train(
     learnable = fold(id, FOLDS) != HELD_OUT
     sample = labelled_sample(docs, labels, label, learnable, PER_CLASS, text, id)
     rows = sorted((r["id"], r["label"], r["text"]) for r in sample.collect())  # bounded by PER_CLASS
-    known = without_copies([(value, features_of(text)) for _, value, text in rows])
+    features = features_in(text for *_, text in rows)
+    known = without_copies((value, found) for (_, value, _), found in zip(rows, features, strict=True))
+    del rows, features
     if len({value for value, _ in known}) < 2:
         return None
     counted = labels.where(learnable & F.col(label).isin(0, 1)).agg(F.avg(label).alias("share")).first()
@@ -303,6 +312,8 @@ def train(
     model = fit_label_model(count_votes(docs, voters, text), counted["share"])
     votes = np.array([voters.vote(features) for _, features in known])
     weights, bias = train_linear([features for _, features in known], model.posterior(votes))
+    del known
+    release(docs.sparkSession)
     return ToxicityModel(voters, model, weights, bias)
 
 

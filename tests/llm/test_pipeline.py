@@ -93,3 +93,38 @@ def test_awkward_documents(spark, sf_dir, tmp_path):
         found = corpus_pipeline.run(spark, folder).collect()
         expected = {"some": [None, 2, 4], "none": []}[name]
         assert sorted((r.doc_id for r in found), key=str) == sorted(expected, key=str)
+
+
+def test_toxicity_training_holds_little_on_the_driver(spark):
+    """Texts that share their words share the strings of their features."""
+    import tracemalloc
+
+    from auditlake.llm import toxicity
+
+    words = [f"{a}{b}{c}{d}" for a in "bdfg" for b in "aeiou" for c in "klmnprst" for d in ("ado", "emi", "oru", "usk")]
+    texts = [(i, " ".join(words[i % 7 :: 1 + i % 3] + [f"u{chr(97 + i % 26)}q{chr(97 + i // 26)}"] * 2)) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    tracemalloc.start()
+    toxicity.train(docs, labels)
+    features = list(toxicity.features_in(text for _, text in texts))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [set(f) for f in features] == [toxicity.features_of(t) for _, t in texts]
+    assert len({id(f) for found in features for f in found}) == len({f for found in features for f in found})
+    assert peak < 20e6
+
+
+def test_finished_steps_are_released(spark, monkeypatch):
+    """Near dedup frees the driver between its steps, and so do the rounds of components."""
+    from auditlake.llm import components as parts
+    from auditlake.llm import near_dedup
+
+    calls = []
+    for module in (parts, near_dedup):
+        free = module.release
+        monkeypatch.setattr(module, "release", lambda s, free=free, name=module.__name__: (calls.append(name), free(s)))
+    docs = spark.createDataFrame([(i, f"same words here and there {i // 2}") for i in range(6)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()}
+    assert found == {i: i - i % 2 for i in range(6)}
+    assert calls.count(near_dedup.__name__) >= 4 and calls.count(parts.__name__) >= 2
