@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import give_back, in_slices, materialize, text_or_empty, texts_of
+from auditlake.llm.common import give_back, in_slices, materialize, text_or_empty
 from auditlake.llm.tokenizer import corpus_encoder
 
 CAPACITY = 1024
@@ -58,8 +58,8 @@ def token_pieces(
         encoder, end = corpus_encoder(tokenizer, kind), struct.pack("<I", end_id)
         for batch in in_slices(batches):
             which, piece, start, ids = [], [], [], []
-            for row, value in enumerate(texts_of(batch.column(1))):
-                packed = encoder.encode(value) + end
+            for row, packed in enumerate(encoder.encode_texts(batch.column(1))):
+                packed += end
                 size = len(packed) // 4
                 cuts = [0, *range(size % capacity or capacity, size, capacity), size]
                 for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

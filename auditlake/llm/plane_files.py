@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -180,8 +181,10 @@ def write_id_files(
         def packed() -> Iterator[tuple[int, bytes]]:
             batch = first
             while batch is not None:
-                for doc_id, value in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
-                    yield doc_id, encoder.encode(value) + end
+                for at in range(0, len(batch), 256):
+                    part_of = batch.iloc[at : at + 256]
+                    ids = encoder.encode_texts(pa.array(part_of["text"].tolist(), pa.string()))
+                    yield from ((doc_id, i + end) for doc_id, i in zip(part_of["id"].tolist(), ids, strict=True))
                 batch = next(batches, None)
 
         parts, index = file_bytes(packed(), planes, chunk_ids)

@@ -1,10 +1,10 @@
 """Token ids from the ``tokenizers`` library at corpus speed.
 
 The library's model does the encoding, word by word; what is saved is repeated work. A text is cut at
-places where the tokenizer's own splitting rule always cuts, and the ids of every piece seen are
+places where the tokenizer's own splitting rule always cuts, and the ids of pieces seen lately are
 remembered in bounded tables that a Python worker keeps from task to task. Texts outside the simple
-case (special tokens, unusual white space) go to the library whole, and pieces with characters beyond
-Latin-1 go to it piece by piece, so the ids are the library's in every case.
+case (special tokens, unusual white space) are found a batch at a time and go to the library whole, and
+pieces with characters beyond Latin-1 go to it piece by piece, so the ids are the library's in every case.
 """
 
 from __future__ import annotations
@@ -12,10 +12,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
-# Limits of the tables of remembered pieces and words, to bound a worker's memory.
-PIECES, WORDS = 500_000, 200_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Limits of either half of the tables of remembered pieces and words, to bound a worker's memory.
+PIECES, WORDS = 250_000, 100_000
 
 # The splitting rules of both tokenizers within Latin-1.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -29,9 +33,9 @@ WORD_SPLIT = re.compile(rf"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
-ODD_SPACE = re.compile(r"[^\S \n]")
-# A space inside a run of white space that does not end right after it.
-INNER_SPACE = re.compile(r"[ \n] (?:[ \n]|$)")
+# White space but space and line feed; a space inside a run of white space that does not end right after it.
+ODD_SPACE = "[" + "".join(rf"\x{{{n:x}}}" for n in range(0x3001) if chr(n).isspace() and chr(n) not in " \n") + "]"
+INNER_SPACE = r"[ \n] (?:[ \n]|\z)"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -42,13 +46,12 @@ def byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = byte_alphabet()
-_PLAIN_WORD = re.compile(r"[!-~]+")
 
 
 def in_alphabet(word: str) -> str:
     """A word in the characters of a byte-level vocabulary."""
-    if _PLAIN_WORD.fullmatch(word):
-        return word
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", _ALPHABET[ord(" ")])
     return "".join([_ALPHABET[b] for b in word.encode("utf-8", "surrogatepass")])
 
 
@@ -57,6 +60,35 @@ def pack(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+class Recent:
+    """A table of what was seen lately: when ``size`` entries are new, the ones before them go."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+def ids_of_texts(
+    texts: pa.Array, odd: str, plain: Callable[[str], bytes], whole: Callable[[str], bytes]
+) -> list[bytes]:
+    """Packed ids of every text (null: empty): by ``whole`` where ``odd`` matches, else by ``plain``."""
+    texts = pc.fill_null(texts, "")
+    rows = zip(texts.to_pylist(), pc.match_substring_regex(texts, odd).to_pylist(), strict=True)
+    return [whole(text) if is_odd else plain(text) for text, is_odd in rows]
+
+
 class CorpusEncoder:
     """Encodes texts to packed ids with ``add_special_tokens=False``.
 
@@ -72,55 +104,68 @@ class CorpusEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.encode = {"byte": self._byte_text, "word": self._word_text}[kind]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces, self.words = Recent(PIECES), Recent(WORDS)
+        self.plain = {"byte": self._byte_text, "word": self._word_text}[kind]
+        self.odd = "|".join([*special, *{"byte": (ODD_SPACE, INNER_SPACE), "word": (SEPARATORS.pattern,)}[kind]])
         self.split, self.lower = (WORD_SPLIT, True) if kind == "word" else (BYTE_SPLIT, False)
 
+    def encode_texts(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of every text of a batch."""
+        return ids_of_texts(texts, self.odd, self.plain, self.whole)
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of one text."""
+        return self.encode_texts(pa.array([text], pa.string()))[0]
+
     def whole(self, text: str) -> bytes:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _has_special(self, text: str) -> bool:
-        return any(token in text for token in self.special)
+    def _new_word(self, word: str) -> bytes:
+        return pack([t.id for t in self.model.tokenize(in_alphabet(word))])
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        # A word behind a space is also a piece, and the table of those has it already or from now on.
+        at_space = not self.lower and len(word) > 1 and word[0] == " "
+        table, key = (self.pieces, word[1:]) if at_space else (self.words, word)
+        found = table.get(key)
         if found is None:
-            found = pack([t.id for t in self.model.tokenize(in_alphabet(word))])
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[word] = found
+            found = self._new_word(word)
+            table.put(key, found)
         return found
 
+    def _ids(self, piece: str) -> bytes:
+        if not piece.isascii() and BEYOND_LATIN.search(piece):
+            return self.whole(piece)
+        return b"".join([self._word(w) for w in self.split.findall(piece.lower() if self.lower else piece)])
+
     def _piece(self, piece: str) -> bytes:
-        if BEYOND_LATIN.search(piece):
-            found = self.whole(piece)
-        else:
-            words = self.split.findall(piece.lower() if self.lower else piece)
-            found = b"".join([self._word(w) for w in words])
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        self.pieces[piece] = found
+        """Ids of a piece that is not among the newest."""
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self._ids(piece)
+            self.pieces.put(piece, found)
         return found
 
-    def _join(self, pieces: list[str]) -> bytes:
-        known = self.pieces.get
-        return b"".join([known(p) or self._piece(p) for p in pieces])
+    def _spaced(self, piece: str) -> bytes:
+        """The same of a piece behind a space, which its key does not repeat."""
+        found = self.pieces.get(piece)
+        if found is None:
+            # Letters are one word for the splitting rule.
+            simple = piece.isascii() and piece.isalpha()
+            found = self._new_word(" " + piece) if simple else self._ids(" " + piece)
+            self.pieces.put(piece, found)
+        return found
 
     def _word_text(self, text: str) -> bytes:
-        if SEPARATORS.search(text) or self._has_special(text):
-            return self.whole(text)
-        return self._join(text.split())
+        known = self.pieces.new.get
+        return b"".join([known(p) or self._piece(p) for p in text.split()])
 
     def _byte_text(self, text: str) -> bytes:
         """Cut before every space: the rule starts a word there unless white space goes on after it."""
-        if ODD_SPACE.search(text) or INNER_SPACE.search(text) or self._has_special(text):
-            return self.whole(text)
         first, *rest = text.split(" ")
-        return self._piece(first) + self._join([" " + p for p in rest]) if first else self._join(
-            [" " + p for p in rest]
-        )
+        known = self.pieces.new.get
+        return self._ids(first) + b"".join([known(p) or self._spaced(p) for p in rest])
 
 
 @lru_cache(maxsize=4)

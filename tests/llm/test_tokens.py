@@ -7,11 +7,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import awkward
 from tokenizers import Tokenizer
 
-from auditlake.llm import bpe_automaton, packing, plane_files
+from auditlake.llm import bpe_automaton, packing, plane_files, tokenizer
 from auditlake.llm.bpe_automaton import MergeAutomaton, WordTokenizer
 from auditlake.llm.tokenizer import CorpusEncoder, pack
 
@@ -219,3 +220,15 @@ def test_packing(spark, make_docs):
     lengths = [len(r.ids) // 4 for r in packing.sequences(frame).collect()]
     assert sum(lengths) == total
     assert packing.pack(make_docs([]), BYTE, end_id=2).collect() == []
+
+
+def test_frequent_words_stay_known_when_tables_are_full(monkeypatch):
+    """Before, a full table was emptied, and frequent words were encoded again and again."""
+    made = []
+    monkeypatch.setattr(tokenizer, "PIECES", 40)
+    monkeypatch.setattr(tokenizer, "WORDS", 40)
+    monkeypatch.setattr(tokenizer, "in_alphabet", lambda w, f=tokenizer.in_alphabet: made.append(w) or f(w))
+    encoder, ids = CorpusEncoder(BYTE, "byte"), ids_of(BYTE)
+    texts = [f"Once lantern{n}x lantern harbour, {n * 7919}" for n in range(300)]
+    assert [encoder.encode(t) for t in texts] == [pack(ids(t)) for t in texts]
+    assert made.count(" lantern") == made.count(" harbour") == 1
