@@ -40,11 +40,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import in_slices, text_or_empty, texts_of
-from auditlake.llm.tokenizer import BEYOND_LATIN, SEPARATORS, WORD_SPLIT, in_alphabet, pack
-
-# Limits of the tables a worker keeps.
-ARCS, PIECES, WORDS = 300_000, 200_000, 100_000
+from auditlake.llm.common import in_slices, text_or_empty
+from auditlake.llm.tokenizer import (
+    BEYOND_LATIN,
+    SEPARATORS,
+    WORD_SPLIT,
+    Recent,
+    ids_of_texts,
+    in_alphabet,
+    pack,
+)
+
+# Limits of the tables a worker keeps, of pieces and words of either half.
+ARCS, PIECES, WORDS = 300_000, 200_000, 200_000
 END = "\0"
 FIRST_MERGES = 1 << 60  # above every rank
 
@@ -63,15 +71,16 @@ class MergeAutomaton:
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
         # Labels by the text they cover; END stands for the end of a word.
+        # Beginnings of such texts that are none themselves have -1.
         self.spelled: dict[str, int] = {}
-        self.prefixes: set[str] = set()
         for token, i in vocab.items():
             if i in self.unmade:
                 continue
             if suffix and token.endswith(suffix) and len(token) > len(suffix):
                 token = token[: -len(suffix)] + END
+            for n in range(1, len(token)):
+                self.spelled.setdefault(token[:n], -1)
             self.spelled[token] = i
-            self.prefixes.update(token[:n] for n in range(1, len(token) + 1))
         self.arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
@@ -113,21 +122,25 @@ class MergeAutomaton:
         """Ids of one pre-split word."""
         if self.suffix:
             word += END
-        size, spelled, prefixes, arc = len(word), self.spelled, self.prefixes, self.arc
+        size, known, arc, known_arc = len(word), self.spelled.get, self.arc, self.arcs.get
+        if (token := known(word, -1)) >= 0:
+            return [token]  # the longest label of all
         path: list[tuple[int, int, list[tuple[int, int]]]] = []
         left: set[int] = set()
         place, state = 0, -1
         while place < size:
             choices, end = [], place + 1
-            while end <= size and (part := word[place:end]) in prefixes:
-                if (token := spelled.get(part)) is not None:
+            while end <= size and (token := known(word[place:end])) is not None:
+                if token >= 0:
                     choices.append((end, token))
                 end += 1
             while True:
                 step = None
                 while choices:
                     end, token = choices.pop()
-                    if end not in left and (state < 0 or arc(state, token)):
+                    if end in left:
+                        continue
+                    if state < 0 or known_arc(state << 32 | token) or arc(state, token):
                         step = (end, token)
                         break
                 if step:
@@ -168,15 +181,14 @@ class WordTokenizer:
         self.normalizer, self.splitter = rules.normalizer, rules.pre_tokenizer
         names = {i: token for token, i in vocab.items()} | {i: token for token, i in added.items()}
         self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)])
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Recent(PIECES), Recent(WORDS)
+        self.odd = "|".join([*map(re.escape, added), SEPARATORS.pattern])
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            found = self.words[word] = pack(self.automaton.encode(word))
+            found = pack(self.automaton.encode(word))
+            self.words.put(word, found)
         return found
 
     def _by_rules(self, text: str) -> bytes:
@@ -184,32 +196,32 @@ class WordTokenizer:
         return b"".join([self._word(word) for word, _ in split])
 
     def _piece(self, piece: str) -> bytes:
-        if BEYOND_LATIN.search(piece):
-            found = self._by_rules(piece)
-        else:
-            words = WORD_SPLIT.findall(piece.lower())
-            found = b"".join([self._word(in_alphabet(w)) for w in words])
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        self.pieces[piece] = found
+        """Ids of a piece that is not among the newest."""
+        found = self.pieces.get(piece)
+        if found is None:
+            if not piece.isascii() and BEYOND_LATIN.search(piece):
+                found = self._by_rules(piece)
+            else:
+                found = b"".join([self._word(in_alphabet(w)) for w in WORD_SPLIT.findall(piece.lower())])
+            self.pieces.put(piece, found)
         return found
 
     def _plain(self, text: str) -> bytes:
-        if SEPARATORS.search(text):
-            return self._by_rules(text)
-        known = self.pieces.get
+        known = self.pieces.new.get
         return b"".join([known(p) or self._piece(p) for p in text.split()])
 
+    def _with_added(self, text: str) -> bytes:
+        """Packed ids of a text with special tokens or with separators, part by part."""
+        parts = self.at_added.split(text) if self.at_added else [text]
+        return b"".join([pack([self.added[p]]) if p in self.added else self._by_rules(p) for p in parts])
+
+    def encode_texts(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of every text of a batch."""
+        return ids_of_texts(texts, self.odd, self._plain, self._with_added)
+
     def encode(self, text: str) -> bytes:
         """Packed ids of one text."""
-        if self.at_added is None or not any(token in text for token in self.added):
-            return self._plain(text)
-        return b"".join(
-            [
-                pack([self.added[part]]) if part in self.added else self._plain(part)
-                for part in self.at_added.split(text)
-            ]
-        )
+        return self.encode_texts(pa.array([text], pa.string()))[0]
 
 
 @lru_cache(maxsize=2)
@@ -228,7 +240,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         for batch in in_slices(batches):
-            packed = [tokenizer.encode(t) for t in texts_of(batch.column(1))]
+            packed = tokenizer.encode_texts(batch.column(1))
             ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
             ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
             yield pa.RecordBatch.from_arrays(

@@ -232,3 +232,24 @@ def test_frequent_words_stay_known_when_tables_are_full(monkeypatch):
     texts = [f"Once lantern{n}x lantern harbour, {n * 7919}" for n in range(300)]
     assert [encoder.encode(t) for t in texts] == [pack(ids(t)) for t in texts]
     assert made.count(" lantern") == made.count(" harbour") == 1
+
+
+def test_automaton_keeps_frequent_words_when_tables_are_full(monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "PIECES", 40)
+    monkeypatch.setattr(bpe_automaton, "WORDS", 40)
+    words, ids, made = WordTokenizer(WORD), ids_of(WORD), []
+    walk = words.automaton.encode
+    monkeypatch.setattr(words.automaton, "encode", lambda w: made.append(w) or walk(w))
+    texts = [f"Lantern{n}x lantern harbour, {n * 7919}" for n in range(300)]
+    assert [words.encode(t) for t in texts] == [pack(ids(t)) for t in texts]
+    assert made.count("harbour") == 1
+
+
+@pytest.mark.parametrize(
+    "make", [lambda: CorpusEncoder(BYTE, "byte"), lambda: CorpusEncoder(WORD, "word"), lambda: WordTokenizer(WORD)]
+)
+def test_a_batch_of_odd_and_plain_texts_keeps_its_order(make):
+    encoder = make()
+    odd = ["", None, "a", " a  b ", "a\tb", "a \n b", "x\x1cy", "<|endoftext|> z", "a\u2003b", "a\x85b", "\n ", "end "]
+    ids = ids_of(WORD if encoder.__class__ is WordTokenizer or encoder.lower else BYTE)
+    assert encoder.encode_texts(pa.array(odd)) == [pack(ids(t or "")) for t in odd]
