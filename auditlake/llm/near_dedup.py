@@ -48,6 +48,8 @@ SIMILAR, OF = 80, 100
 # Groups with more pairs than this to look at are compared in blocks of about so many classes, or of so
 # many shingles if these are fewer classes.
 GROUP_PAIRS, BLOCK_OUTSIDE, BLOCK_ALL, BLOCK_SHINGLES = 16_384, 512, 1024, 1 << 19
+# Bits per posted class in the filter of texts, bits in a row of it, and rows at most (8 MB in all).
+FILTER_BITS, FILTER_ROW, FILTER_ROWS = 16, 1 << 15, 2048
 
 _RANDOM = np.random.default_rng(7)
 _FACTORS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,12 +95,16 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash values of a set that is not empty."""
-    best = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint64)
+    """MinHash values of a set that is not empty, each as 32 mixed bits.
+
+    The least values of large sets lie close together, so their leading bits agree by chance, the more
+    often the more documents there are. Mixed from all 64 bits they agree only where the values do.
+    """
+    best = np.full(COORDINATES, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096, None] * _FACTORS + _SHIFTS
-        best = np.minimum(best, part.min(axis=0) >> np.uint64(32))
-    return best.astype(np.uint32)
+        best = np.minimum(best, part.min(axis=0))
+    return (mix(best) >> np.uint64(32)).astype(np.uint32)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -172,6 +178,25 @@ def _set_of(packed: bytes) -> np.ndarray:
     return shingle_set(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
 
 
+def _filter_of(needed: DataFrame) -> tuple[np.ndarray, Column]:
+    """A bit for every hash of ``needed(doc)``, as packed bytes, and the hash's place among them.
+
+    Rows whose bit is not set are not needed; a few of the others are not either. The filter is at most
+    ``FILTER_ROWS`` rows whatever the size of the tables; with more identifiers it lets more rows pass.
+    """
+    rows = min(FILTER_ROWS, needed.count() * FILTER_BITS // FILTER_ROW + 1)
+    place = F.pmod(F.xxhash64("doc"), F.lit(rows * FILTER_ROW))
+    bits = (
+        needed.select(place.alias("place"))
+        .groupBy(F.expr(f"place div {FILTER_ROW}").alias("row"))
+        .agg(F.expr(f"bitmap_construct_agg(place % {FILTER_ROW})").alias("bits"))
+    )
+    known = np.zeros((rows, FILTER_ROW // 8), dtype=np.uint8)
+    for row in bits.collect():  # at most ``FILTER_ROWS`` rows of 4 KB
+        known[row["row"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return known.reshape(-1), place
+
+
 def _full_texts(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """``(doc, signature, packed)`` of every class that is posted: its text compressed, which is smaller
     than its set.
@@ -179,11 +204,14 @@ def _full_texts(postings: DataFrame, docs: DataFrame) -> DataFrame:
     An identifier that comes with several texts has a row for each; a link of one of them is a link of
     the document.
     """
-    needed = postings.select(F.col("rep").alias("doc")).distinct()
+    needed = materialize(postings.select(F.col("rep").alias("doc")).distinct())
+    known, place = _filter_of(needed)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=6, write_checksum=False)
         for batch in in_slices(batches):
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
             raw = (text.encode("utf-8", "surrogatepass") for text in texts_of(batch.column(1)))
             packed = pa.array([compressor.compress(r) for r in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc", "packed"])
@@ -198,8 +226,9 @@ def _full_texts(postings: DataFrame, docs: DataFrame) -> DataFrame:
                 ["doc", "signature", "packed"],
             )
 
-    # Compressed before the join, so that the join moves small rows however it is planned.
-    packed = docs.select("doc", "text").mapInArrow(pack, "doc long, packed binary")
+    # Compressed before the join, so that the join moves small rows however it is planned; texts that
+    # the filter knows not to be needed are not moved at all.
+    packed = docs.select("doc", "text", place.alias("place")).mapInArrow(pack, "doc long, packed binary")
     texts = packed.join(needed, "doc", "left_semi")
     return materialize(texts.mapInArrow(sign, "doc long, signature binary, packed binary"))
 

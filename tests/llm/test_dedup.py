@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from cases import awkward, changed, components, covered, prose, shingles
+from pyspark.sql import functions as F
 
 from auditlake.llm import near_dedup, suffix_dedup
 from auditlake.llm.anchors import segments
@@ -95,6 +96,27 @@ def test_near_dedup_groups(make_docs, monkeypatch, pairs):
     assert len(set(expected.values())) > 6
 
 
+@pytest.mark.parametrize("rows", [1, 2048])
+def test_only_needed_texts_are_moved(spark, monkeypatch, rows):
+    """The filter passes all texts that are needed, and few others unless it is too small for them."""
+    monkeypatch.setattr(near_dedup, "FILTER_ROWS", rows)
+    needed = spark.range(-9000, 9000, 3).select(F.col("id").alias("doc"))
+    known, place = near_dedup._filter_of(needed)
+    bits = np.unpackbits(known, bitorder="little")
+    passed = {r.doc for r in spark.range(-9000, 9000).select(F.col("id").alias("doc"), place.alias("p")).collect() if bits[r.p]}
+    assert passed >= set(range(-9000, 9000, 3))
+    assert len(passed) < 6000 + 12000 * (0.1 if rows > 1 else 0.2)
+    docs = spark.range(40).selectExpr("id AS doc", "concat('some words of ', id) AS text").repartition(3)
+    full = near_dedup._full_texts(docs.where("doc % 4 = 1").selectExpr("doc AS rep"), docs)
+    assert sorted(r.doc for r in full.collect()) == list(range(1, 40, 4))
+
+
+def test_signatures_of_large_sets_do_not_agree_by_chance():
+    rng = np.random.default_rng(5)
+    made = np.array([near_dedup.signature(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) for _ in range(300)])
+    assert all(len(np.unique(made[:, k])) == 300 for k in range(near_dedup.COORDINATES))
+
+
 def test_near_dedup_empty(make_docs):
     assert near_dedup.near_dedup(make_docs([])).collect() == []
     alone = near_dedup.near_dedup(make_docs([(1, None), (2, "")])).collect()
