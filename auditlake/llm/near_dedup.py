@@ -5,10 +5,12 @@ A document's set are its distinct 2-word shingles; documents link when 100 * int
 
 1. Every document gets ``COORDINATES`` MinHash values. Documents with equal sets are one class from here
    on, so thousands of copies are one row.
-2. Classes are posted under each (coordinate, value) pair. A pair that links agrees in at least
-   ``MATCHES`` coordinates (a linked pair misses this with a probability below 1e-5 at similarity 0.8 and
-   far less above it). Values nobody shares are dropped.
-3. Prefix: with the values of each class in order of document frequency, two classes with ``MATCHES``
+2. Classes that share no whole group of ``GROUPED`` coordinates with another class are left out: in a large
+   table most texts share single values with others by chance, but hardly ever a group of them.
+3. The other classes are posted under each (coordinate, value) pair. A pair that links agrees in at least
+   ``MATCHES`` coordinates and in a group of them (a linked pair misses this with a probability below 1e-5
+   at similarity 0.8 and far less above it). Values nobody shares are dropped.
+   Prefix: with the values of each class in order of document frequency, two classes with ``MATCHES``
    common values have ``OVERLAP`` of them among their ``PREFIX`` rarest, so only those are merged.
    Frequent values are skipped; they count when signatures are compared.
 4. Collisions are counted per pair over the prefix lists, pairs with fewer than ``OVERLAP`` fall away, and
@@ -44,11 +46,13 @@ from auditlake.llm.components import components
 
 COORDINATES, MATCHES, OVERLAP = 64, 36, 4
 PREFIX = COORDINATES - MATCHES + OVERLAP
+# Coordinates a group; at similarity 0.8 a pair agrees in none of the groups with a probability of 3e-7.
+GROUPED = 3
 SIMILAR, OF = 80, 100
 # Groups with more pairs than this to look at are compared in blocks of about so many classes, or of so
 # many shingles if these are fewer classes.
 GROUP_PAIRS, BLOCK_OUTSIDE, BLOCK_ALL, BLOCK_SHINGLES = 16_384, 512, 1024, 1 << 19
-# Bits per posted class in the filter of texts, bits in a row of it, and rows at most (8 MB in all).
+# Bits per identifier in a filter of rows, bits in a row of it, and rows at most (8 MB in all).
 FILTER_BITS, FILTER_ROW, FILTER_ROWS = 16, 1 << 15, 2048
 
 _RANDOM = np.random.default_rng(7)
@@ -126,12 +130,71 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, n long, digest binary, signature binary")
 
 
-def _values(classes: DataFrame) -> DataFrame:
-    """``(rep, n, key)``: every class under each of its (coordinate, value) pairs, as one number."""
+def _filter_of(needed: DataFrame, name: str = "doc") -> tuple[np.ndarray, Column]:
+    """A bit for every hash of the identifiers ``name`` of ``needed``, as packed bytes, and the hash's place
+    among them.
+
+    Rows whose bit is not set are not needed; a few of the others are not either. The filter is at most
+    ``FILTER_ROWS`` rows whatever the size of the tables; with more identifiers it lets more rows pass.
+    """
+    rows = min(FILTER_ROWS, needed.count() * FILTER_BITS // FILTER_ROW + 1)
+    place = F.pmod(F.xxhash64(name), F.lit(rows * FILTER_ROW))
+    bits = (
+        needed.select(place.alias("place"))
+        .groupBy(F.expr(f"place div {FILTER_ROW}").alias("row"))
+        .agg(F.expr(f"bitmap_construct_agg(place % {FILTER_ROW})").alias("bits"))
+    )
+    known = np.zeros((rows, FILTER_ROW // 8), dtype=np.uint8)
+    for row in bits.collect():  # at most ``FILTER_ROWS`` rows of 4 KB
+        known[row["row"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return known.reshape(-1), place
+
+
+def _passed(batch: pa.RecordBatch, known: np.ndarray) -> pa.RecordBatch:
+    """The rows whose place, the last column, has its bit set in the filter."""
+    at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+
+
+def _grouped(classes: DataFrame) -> DataFrame:
+    """``(rep, key)``: every class under each group of its coordinates, as one number."""
+    groups = COORDINATES // GROUPED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(groups, dtype=np.uint64)
+        for batch in in_slices(batches, 2048):
+            rep = batch.column(0).to_numpy(zero_copy_only=False)
+            if len(rep):
+                packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32)
+                values = packed.reshape(-1, COORDINATES)[:, : groups * GROUPED].astype(np.uint64)
+                keys = np.tile(mix(place), (len(rep), 1))
+                for k in range(GROUPED):
+                    keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, k::GROUPED])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(rep, groups)), pa.array(keys.reshape(-1).view(np.int64))], ["rep", "key"]
+                )
+
+    return classes.select("rep", "signature").mapInArrow(run, "rep long, key long")
+
+
+def _able_to_link(classes: DataFrame) -> DataFrame:
+    """``(rep)`` of the classes that share a whole group of coordinates with another class."""
+    grouped = _grouped(classes)
+    shared = materialize(
+        grouped.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1).select("key")
+    )
+    return materialize(grouped.join(shared, "key", "left_semi").select("rep").distinct())
+
+
+def _values(classes: DataFrame, able: DataFrame) -> DataFrame:
+    """``(rep, n, key)``: every class of ``able(rep)``, and few others, under each of its (coordinate, value)
+    pairs, as one number."""
+    known, place = _filter_of(able, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = np.arange(COORDINATES, dtype=np.int64) << 32
         for batch in in_slices(batches, 2048):
+            batch = _passed(batch, known)
             rep, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             if len(rep):
                 values = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32)
@@ -141,15 +204,16 @@ def _values(classes: DataFrame) -> DataFrame:
                     ["rep", "n", "key"],
                 )
 
-    return classes.select("rep", "n", "signature").mapInArrow(run, "rep long, n long, key long")
+    rows = classes.select("rep", "n", "signature", place.alias("place"))
+    return rows.mapInArrow(run, "rep long, n long, key long")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """``(key, rep, n, spread)``: the prefix of every class, without values of its own.
+    """``(key, rep, n, spread)``: the prefix of every class that may link, without values of its own.
 
     ``spread`` adds up how many classes share each of the values of a class.
     """
-    values = _values(classes)
+    values = _values(classes, _able_to_link(classes))
     shared = materialize(
         values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     )
@@ -178,25 +242,6 @@ def _set_of(packed: bytes) -> np.ndarray:
     return shingle_set(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
 
 
-def _filter_of(needed: DataFrame) -> tuple[np.ndarray, Column]:
-    """A bit for every hash of ``needed(doc)``, as packed bytes, and the hash's place among them.
-
-    Rows whose bit is not set are not needed; a few of the others are not either. The filter is at most
-    ``FILTER_ROWS`` rows whatever the size of the tables; with more identifiers it lets more rows pass.
-    """
-    rows = min(FILTER_ROWS, needed.count() * FILTER_BITS // FILTER_ROW + 1)
-    place = F.pmod(F.xxhash64("doc"), F.lit(rows * FILTER_ROW))
-    bits = (
-        needed.select(place.alias("place"))
-        .groupBy(F.expr(f"place div {FILTER_ROW}").alias("row"))
-        .agg(F.expr(f"bitmap_construct_agg(place % {FILTER_ROW})").alias("bits"))
-    )
-    known = np.zeros((rows, FILTER_ROW // 8), dtype=np.uint8)
-    for row in bits.collect():  # at most ``FILTER_ROWS`` rows of 4 KB
-        known[row["row"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return known.reshape(-1), place
-
-
 def _full_texts(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """``(doc, signature, packed)`` of every class that is posted: its text compressed, which is smaller
     than its set.
@@ -210,8 +255,7 @@ def _full_texts(postings: DataFrame, docs: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=6, write_checksum=False)
         for batch in in_slices(batches):
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            batch = _passed(batch, known)
             raw = (text.encode("utf-8", "surrogatepass") for text in texts_of(batch.column(1)))
             packed = pa.array([compressor.compress(r) for r in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc", "packed"])
@@ -246,13 +290,20 @@ def _counted(pairs: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs whose signatures match often enough and whose full sets are similar.
 
-    Signatures go first: they are a fraction of the sets, and most pairs end there.
+    Signatures go first: they are a fraction of the sets, and most pairs end there. Of either, only rows
+    that a filter knows to be in a pair are moved.
     """
 
     def sides(pairs: DataFrame, column: str) -> DataFrame:
         def side(name: str) -> DataFrame:
+            known, place = _filter_of(materialize(pairs.select(name).distinct()), name)
+
+            def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in in_slices(batches):
+                    yield _passed(batch, known).select([0, 1])
+
             rows = full.select(F.col("doc").alias(name), F.col(column).alias(f"{name}_{column}"))
-            return rows.join(pairs.select(name).distinct(), name, "left_semi")
+            return rows.withColumn("place", place).mapInArrow(pick, f"{name} long, {name}_{column} binary")
 
         joined = pairs.join(side("b"), "b").join(side("a"), "a")
         return joined.select("a", "b", f"a_{column}", f"b_{column}")

@@ -117,6 +117,30 @@ def test_signatures_of_large_sets_do_not_agree_by_chance():
     assert all(len(np.unique(made[:, k])) == 300 for k in range(near_dedup.COORDINATES))
 
 
+def classes_of(spark, made):
+    rows = [(n, 100, bytes([n % 256, n // 256]), values.astype(np.uint32).tobytes()) for n, values in enumerate(made)]
+    return spark.createDataFrame(rows, "rep long, n long, digest binary, signature binary")
+
+
+def test_classes_that_share_values_by_chance_are_not_posted(spark):
+    """Nearly all values are shared, but only two classes have enough of them in common."""
+    rng = np.random.default_rng(11)
+    made = rng.integers(0, 400, (800, near_dedup.COORDINATES))
+    made[799] = made[0]
+    made[799, rng.permutation(near_dedup.COORDINATES)[near_dedup.MATCHES + 4 :]] += 1000
+    posted = near_dedup._postings(classes_of(spark, made)).select("rep").distinct().collect()
+    assert {r.rep for r in posted} == {0, 799}
+
+
+def test_no_class_of_a_linked_pair_is_left_out(spark):
+    """Pairs that agree in as many coordinates as sets at the limit mostly do."""
+    rng = np.random.default_rng(12)
+    made = np.repeat(rng.integers(0, 2**32, (1000, near_dedup.COORDINATES)), 2, axis=0)
+    made[1::2] += rng.random((1000, near_dedup.COORDINATES)) >= near_dedup.SIMILAR / near_dedup.OF
+    able = near_dedup._able_to_link(classes_of(spark, made % 2**32))
+    assert sorted(r.rep for r in able.collect()) == list(range(2000))
+
+
 def test_near_dedup_empty(make_docs):
     assert near_dedup.near_dedup(make_docs([])).collect() == []
     alone = near_dedup.near_dedup(make_docs([(1, None), (2, "")])).collect()
