@@ -130,9 +130,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, n long, digest binary, signature binary")
 
 
-def _filter_of(needed: DataFrame, name: str = "doc") -> tuple[np.ndarray, Column]:
-    """A bit for every hash of the identifiers ``name`` of ``needed``, as packed bytes, and the hash's place
-    among them.
+def _bits(needed: DataFrame, name: str) -> tuple[DataFrame, int, Column]:
+    """``(row, bits)``: a bit for every hash of the identifiers ``name`` of ``needed``; the number of rows; and
+    the hash's place among the bits.
 
     Rows whose bit is not set are not needed; a few of the others are not either. The filter is at most
     ``FILTER_ROWS`` rows whatever the size of the tables; with more identifiers it lets more rows pass.
@@ -144,6 +144,26 @@ def _filter_of(needed: DataFrame, name: str = "doc") -> tuple[np.ndarray, Column
         .groupBy(F.expr(f"place div {FILTER_ROW}").alias("row"))
         .agg(F.expr(f"bitmap_construct_agg(place % {FILTER_ROW})").alias("bits"))
     )
+    return bits, rows, place
+
+
+def _likely(rows: DataFrame, needed: DataFrame, name: str) -> DataFrame:
+    """The rows whose identifier ``name`` has its bit among those of ``needed``, without a worker for it."""
+    bits, _, place = _bits(needed, name)
+    byte = F.expr(f"substring(bits, cast(place % {FILTER_ROW} div 8 as int) + 1, 1)")
+    is_set = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) > 0
+    return (
+        rows.withColumn("place", place)
+        .withColumn("row", F.expr(f"place div {FILTER_ROW}"))
+        .join(F.broadcast(bits), "row")  # at most ``FILTER_ROWS`` rows of 4 KB
+        .where(is_set)
+        .select(*rows.columns)
+    )
+
+
+def _filter_of(needed: DataFrame, name: str = "doc") -> tuple[np.ndarray, Column]:
+    """The bits of ``needed`` as packed bytes, and a hash's place among them."""
+    bits, rows, place = _bits(needed, name)
     known = np.zeros((rows, FILTER_ROW // 8), dtype=np.uint8)
     for row in bits.collect():  # at most ``FILTER_ROWS`` rows of 4 KB
         known[row["row"]] = np.frombuffer(row["bits"], dtype=np.uint8)
@@ -296,14 +316,8 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
     def sides(pairs: DataFrame, column: str) -> DataFrame:
         def side(name: str) -> DataFrame:
-            known, place = _filter_of(materialize(pairs.select(name).distinct()), name)
-
-            def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in in_slices(batches):
-                    yield _passed(batch, known).select([0, 1])
-
             rows = full.select(F.col("doc").alias(name), F.col(column).alias(f"{name}_{column}"))
-            return rows.withColumn("place", place).mapInArrow(pick, f"{name} long, {name}_{column} binary")
+            return _likely(rows, materialize(pairs.select(name).distinct()), name)
 
         joined = pairs.join(side("b"), "b").join(side("a"), "a")
         return joined.select("a", "b", f"a_{column}", f"b_{column}")

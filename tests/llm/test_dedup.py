@@ -106,6 +106,8 @@ def test_only_needed_texts_are_moved(spark, monkeypatch, rows):
     passed = {r.doc for r in spark.range(-9000, 9000).select(F.col("id").alias("doc"), place.alias("p")).collect() if bits[r.p]}
     assert passed >= set(range(-9000, 9000, 3))
     assert len(passed) < 6000 + 12000 * (0.1 if rows > 1 else 0.2)
+    likely = near_dedup._likely(spark.range(-9000, 9000).withColumnRenamed("id", "doc"), needed, "doc").collect()
+    assert sorted(r.doc for r in likely) == sorted(passed)
     docs = spark.range(40).selectExpr("id AS doc", "concat('some words of ', id) AS text").repartition(3)
     full = near_dedup._full_texts(docs.where("doc % 4 = 1").selectExpr("doc AS rep"), docs)
     assert sorted(r.doc for r in full.collect()) == list(range(1, 40, 4))
