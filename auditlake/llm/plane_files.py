@@ -30,18 +30,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import materialize, text_or_empty
+from auditlake.llm.common import give_back, materialize, text_or_empty
 from auditlake.llm.tokenizer import corpus_encoder
 from auditlake.session import shared_dir
 
 MAGIC = b"IDPLANES"
 CHUNK_IDS = 1 << 16
 LEVEL = 3
+# Bytes of text that are encoded at once: the more, the more of their words are equal.
+TEXT_BYTES = 4 << 20
 
 
 def to_planes(ids: np.ndarray, planes: str = "byte") -> list[bytes]:
@@ -146,6 +149,17 @@ def read_documents(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield doc_id, np.concatenate(parts)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into slices of at most ``limit`` bytes of text; a longer text is one by itself."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write_id_files(
     docs: DataFrame,
     tokenizer: str,
@@ -166,14 +180,14 @@ def write_id_files(
     """
     run = uuid.uuid4().hex
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         encoder = corpus_encoder(tokenizer, kind)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         first = next(batches, None)
-        while first is not None and first.empty:
+        while first is not None and first.num_rows == 0:
             first = next(batches, None)
         if first is None:
             return
@@ -181,11 +195,11 @@ def write_id_files(
         def packed() -> Iterator[tuple[int, bytes]]:
             batch = first
             while batch is not None:
-                for at in range(0, len(batch), 256):
-                    part_of = batch.iloc[at : at + 256]
-                    ids = encoder.encode_texts(pa.array(part_of["text"].tolist(), pa.string()))
-                    yield from ((doc_id, i + end) for doc_id, i in zip(part_of["id"].tolist(), ids, strict=True))
+                for part_of in text_slices(batch, 1, TEXT_BYTES):
+                    ids = encoder.encode_texts(part_of.column(1))
+                    yield from ((doc_id, i + end) for doc_id, i in zip(part_of.column(0).to_pylist(), ids, strict=True))
                 batch = next(batches, None)
+            give_back()
 
         parts, index = file_bytes(packed(), planes, chunk_ids)
         store, root = fs.FileSystem.from_uri(folder)
@@ -196,20 +210,18 @@ def write_id_files(
             for piece in parts:
                 out.write(piece)
         store.move(temporary, f"{root}/{name}")
-        yield pd.DataFrame(
-            {
-                "part": [part],
-                "file": [f"{folder}/{name}"],
-                "documents": [index["documents"]],
-                "ids": [index["ids"]],
-            }
+        manifest = [[part], [f"{folder}/{name}"], [index["documents"]], [index["ids"]]]
+        types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(column, kind) for column, kind in zip(manifest, types, strict=True)],
+            ["part", "file", "documents", "ids"],
         )
 
     known = F.coalesce(F.col(id), F.raise_error(F.lit("a row has no identifier")).cast("bigint"))
     rows = docs.select(known.cast("bigint").alias("id"), text_or_empty(text).alias("text"))
     _make_folder(docs.sparkSession, folder)
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return materialize(ordered.mapInPandas(write, "part int, file string, documents long, ids long"))
+    return materialize(ordered.mapInArrow(write, "part int, file string, documents long, ids long"))
 
 
 def read_id_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tokenizing operators against the library, and round trips."""
 
 import random
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -8,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from cases import awkward
 from tokenizers import Tokenizer
@@ -41,6 +43,14 @@ def test_corpus_encoder_equals_library(path, kind):
     assert [t for t in texts() if encoder.encode(t) != pack(ids(t))] == []
 
 
+def test_corpus_encoder_equals_library_on_batches():
+    encoder, ids, many = CorpusEncoder(WORD, "word"), ids_of(WORD), texts()
+    expected = [pack(ids(t)) for t in many]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.array(["cut off", *many], kind)[1:]
+        assert encoder.encode_texts(batch) == expected
+
+
 def test_automaton_equals_library():
     tokenizer, ids = WordTokenizer(WORD), ids_of(WORD)
     assert [t for t in texts() if tokenizer.encode(t) != pack(ids(t))] == []
@@ -253,3 +263,45 @@ def test_a_batch_of_odd_and_plain_texts_keeps_its_order(make):
     odd = ["", None, "a", " a  b ", "a\tb", "a \n b", "x\x1cy", "<|endoftext|> z", "a\u2003b", "a\x85b", "\n ", "end "]
     ids = ids_of(WORD if encoder.__class__ is WordTokenizer or encoder.lower else BYTE)
     assert encoder.encode_texts(pa.array(odd)) == [pack(ids(t or "")) for t in odd]
+
+
+def test_different_words_of_a_batch_are_encoded_once(monkeypatch):
+    """Before, every piece of every text was looked up by itself, and known pieces left no room for words."""
+    asked, encode = [], tokenizer.KnownWords.ids_of
+    monkeypatch.setattr(tokenizer.KnownWords, "ids_of", lambda s, w: asked.append(w.to_pylist()) or encode(s, w))
+    encoder, ids = CorpusEncoder(WORD, "word"), ids_of(WORD)
+    texts = ["The lantern, the LANTERN!", "Ünder the\xa0lantern it's 12", "日本 lantern, 日本", "\x1c lantern", "", None]
+    texts = [t for n in range(20) for t in texts] + ["lantern" * 40]
+    made = []
+    monkeypatch.setattr(encoder.known, "encode", lambda w, f=encoder.known.encode: made.append(w) or f(w))
+    for _ in range(2):
+        assert encoder.encode_texts(pa.array(texts)) == [pack(ids(t or "")) for t in texts]
+    words = ["the", "lantern", ",", "!", "ünder", "it", "'s", "1", "2", "日本", "lantern" * 40]
+    assert [sorted(a) for a in asked] == [sorted(words)] * 2
+    # What is too long to be remembered is encoded once a batch.
+    assert sorted(made) == sorted([*words, words[-1]])
+
+
+def test_known_words_keep_those_used_last():
+    made = []
+    known = tokenizer.KnownWords(3, lambda w: made.append(w) or w.encode() * 2)
+    for words in (["a", "b"], ["a", "c", "d"], ["a", "e"], ["a", "b"], []):
+        assert known.ids_of(pa.array(words, pa.string())).to_pylist() == [w.encode() * 2 for w in words]
+    assert made == ["a", "b", "c", "d", "e", "b"] and known.words.to_pylist() == ["a", "b", "e"]
+
+
+def test_arrow_sees_latin_letters_as_the_splitting_rule_does():
+    latin = [chr(n) for n in range(256)]
+    assert pc.utf8_lower(pa.array(latin)).to_pylist() == [c.lower() for c in latin]
+    letters = [bool(re.match(f"[{tokenizer._L}]", c)) for c in latin]
+    assert pc.utf8_is_alpha(pa.array(latin)).to_pylist() == letters
+    beyond = pc.match_substring_regex(pa.array([*latin, "Ā", "日", "İ"]), tokenizer.NOT_LATIN)
+    assert beyond.to_pylist() == [False] * 256 + [True] * 3
+
+
+def test_text_slices_hold_every_row_once():
+    texts = ["x" * n for n in (3, 3, 3, 50, 0, 0, 9, 1, 10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["id", "text"]).slice(1)
+    slices = [s.column(0).to_pylist() for s in plane_files.text_slices(batch, 1, 10)]
+    assert slices == [[1, 2], [3], [4, 5, 6, 7], [8]]
+    assert list(plane_files.text_slices(batch.slice(0, 0), 1, 10)) == []
